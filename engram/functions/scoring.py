@@ -67,7 +67,7 @@ def score_messages(messages: DataFrame) -> DataFrame:
     """Selectable items of request messages.
 
     Needs request_id, ordinal, role, content, token_cost, turns_from_end and
-    query_words; adds kind, mandatory, the six signals and value.
+    query_words; adds kind, mandatory, the six signals and score.
     """
     role, content, turns = F.col("role"), F.col("content"), F.col("turns_from_end")
     rows = _plus(
@@ -100,14 +100,14 @@ def score_messages(messages: DataFrame) -> DataFrame:
         pick(0.9, 0.95, F.when(ack, 0.05).when(turns <= 2, 0.85).otherwise(0.6))
         .alias("information_gain"),
     ).drop("_plain", "_ack", "_decided", "_relevance")
-    return _plus(scored, item_value(*[F.col(c) for c in SIGNALS]).alias("value"))
+    return _plus(scored, item_value(*[F.col(c) for c in SIGNALS]).alias("score"))
 
 
 def score_memories(items: DataFrame) -> DataFrame:
     """Selectable items of retrieved memories; zero scores fall back to defaults.
 
     Needs content, type, topic_key, scope, status, the five scores and query_words;
-    adds token_cost, mandatory, relevance and value and replaces the scores.
+    adds token_cost, mandatory, relevance and score and replaces zero signals.
     """
     query = F.col("query_words")
     topic = F.coalesce(F.col("topic_key"), F.lit(""))
@@ -138,4 +138,4 @@ def score_memories(items: DataFrame) -> DataFrame:
         (durable & status.isin("active", "")).alias("mandatory"),
         F.when(status == "superseded", F.greatest(F.lit(0.35), kept * F.lit(0.85)))
         .otherwise(kept).alias("relevance"))])
-    return _plus(out, item_value(*[F.col(c) for c in SIGNALS]).alias("value"))
+    return _plus(out, item_value(*[F.col(c) for c in SIGNALS]).alias("score"))

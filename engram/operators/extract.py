@@ -146,6 +146,16 @@ def message_facts(messages: DataFrame, text: str = "content") -> DataFrame:
     return messages.selectExpr("*", str(facts.alias("facts")))
 
 
+def gated_facts(messages: DataFrame) -> DataFrame:
+    """Core facts per message, low-information and interrogative sentences left out."""
+    rows = messages.selectExpr("*", str(R.split_sentences(col("content")).alias("_sentences")))
+    kept = F.filter(col("_sentences"), lambda s: (
+        ~all_low_info(normalize_utterance(s)) & ~is_interrogative(s)))
+    facts = F.let(R.facts_of_statements(F.flatten(F.transform(kept, R.statements))),
+                  lambda found: R.first_per_key(F.transform(found, lambda x: x["f"])))
+    return rows.selectExpr("*", str(facts.alias("facts"))).drop("_sentences")
+
+
 def _core_candidates(prepared: DataFrame) -> DataFrame:
     rows = prepared.selectExpr("*", str(R.split_sentences(col("_text")).alias("_sentences")))
     # Only sentences with other than ASCII letters travel to the Arrow function.
