@@ -34,35 +34,25 @@ def assertions(routed: DataFrame) -> DataFrame:
                     "importance", "stability", "freshness"))
 
 
-def admitted(events: DataFrame) -> DataFrame:
+def admitted(events: DataFrame, line: chains.Whole) -> DataFrame:
     """Drops speculation that may not replace what is active.
 
     Within an epoch (between closes) speculation counts only while nothing firm has been
     said: the first such statement, a better founded one after it, or a repetition of the
-    content that holds.  ``events`` carries the chunk columns and ``close_status``.
+    content that holds.
     """
     closing = F.col("close_status").isNotNull()
     weak = ~closing & (F.col("authority") == "speculation")
-    firm_state = F.struct(F.when(closing, F.lit(None)).otherwise(F.col("state")).alias("s"))
-    marked = chains.running(
-        events.withColumn("_weak", weak), CHAIN, ORDER,
-        sums={"_epoch": closing.cast("int")},
-        lasts={"_firm": F.when(closing | ~F.col("_weak"), firm_state)})
-    place = F.struct(*ORDER)
-    openings = marked.filter("_weak and _firm.s is null").groupBy(*CHAIN, "_epoch").agg(
-        F.min(place).alias("_first"), F.min_by("state", place).alias("_first_state"),
-        F.min(F.when(F.col("confidence") > 0.6, place)).alias("_raised"),
-        F.min_by("state", F.when(F.col("confidence") > 0.6, place)).alias("_raised_state"))
-    joined = marked.join(openings, [*CHAIN, "_epoch"], "left")
-    after_raise = F.coalesce(F.col("_raised") <= place, F.lit(False))
-    holds = F.when(after_raise, F.col("_raised_state")).otherwise(F.col("_first_state"))
-    keep = (F.when(~F.col("_weak"), True)
-            .when(F.col("_firm.s").isNotNull(), F.col("state") == F.col("_firm.s"))
-            .otherwise((place == F.col("_first")) | F.coalesce(place == F.col("_raised"),
-                                                               F.lit(False))
-                       | (F.col("state") == holds)))
-    return joined.filter(keep).drop("_weak", "_epoch", "_firm", "_first", "_first_state",
-                                    "_raised", "_raised_state")
+    firm = F.struct(F.when(closing, F.lit(None)).otherwise(F.col("state")).alias("s"))
+    marked = line.running(
+        events.withColumn("_weak", weak), sums={"_epoch": closing.cast("int")},
+        lasts={"_firm": F.when(~F.col("_weak"), firm)})
+    opened = line.firsts(marked, "_epoch", {
+        "_first": F.when(F.col("_weak"), F.col("state")),
+        "_raised": F.when(F.col("_weak") & (F.col("confidence") > 0.6), F.col("state"))})
+    holds = F.coalesce("_firm.s", "_raised", "_first")
+    return opened.filter(~F.col("_weak") | (F.col("state") == holds)).drop(
+        "_weak", "_epoch", "_firm", "_first", "_raised")
 
 
 def segment(asserted: DataFrame, closes: DataFrame | None = None,
@@ -71,18 +61,25 @@ def segment(asserted: DataFrame, closes: DataFrame | None = None,
     events = asserted.withColumn("close_status", F.lit(None).cast("string"))
     if closes is not None:
         events = events.unionByName(closes, allowMissingColumns=True)
-    events = admitted(chains.cut(events, CHAIN, "seq", hot_rows, chunk))
+    return versions_of(chains.along(events, CHAIN, ORDER, numbered, hot_rows, chunk))
+
+
+def numbered(events: DataFrame, line: chains.Whole) -> DataFrame:
+    """Admitted events with their segment and place in the chain, and the last close."""
     closing = F.col("close_status").isNotNull()
-    events = events.withColumn("_state", F.struct(
+    events = admitted(events, line).withColumn("_state", F.struct(
         F.when(closing, F.lit("")).otherwise(F.col("state")).alias("s"), closing.alias("c")))
-    events = chains.previous(events, CHAIN, ORDER, "_state", "_before")
+    events = line.previous(events, "_state", "_before")
     events = events.withColumn("_starts", ~F.col("_state").eqNullSafe(F.col("_before")))
-    events = chains.running(
-        events, CHAIN, ORDER,
-        sums={"segment": F.col("_starts").cast("long"), "_index": F.lit(1).cast("long")})
-    events = chains.running(
-        events, CHAIN, ORDER,
-        lasts={"_closed_at": F.when(closing & F.col("_starts"), F.col("segment"))})
+    events = line.running(events, sums={"segment": F.col("_starts").cast("long"),
+                                        "_index": F.lit(1).cast("long")})
+    return line.running(events, lasts={
+        "_closed_at": F.when(closing & F.col("_starts"), F.col("segment"))})
+
+
+def versions_of(events: DataFrame) -> DataFrame:
+    """One row per segment that states something."""
+    closing = F.col("close_status").isNotNull()
     # Every row speaks for its own segment; the row that starts a segment also ends the
     # one before.  One aggregation then has both ends of a version.
     end_status = F.when(closing, F.col("close_status")).otherwise("superseded")

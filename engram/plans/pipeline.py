@@ -18,7 +18,7 @@ from engram.operators.messages import (
 )
 from engram.operators.route import route_candidates
 from engram.session import cut_lineage
-from engram.sources.tables import utterances
+from engram.sources.tables import statements, utterances
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -66,8 +66,17 @@ def process(messages: DataFrame) -> dict[str, DataFrame]:
 
 # --- the stages over the events table ------------------------------------------
 
+def archived_utterances(spark: SparkSession, folder: str) -> DataFrame:
+    """The message archive of the events table."""
+    return once(spark, folder, "messages", lambda: utterances(spark, folder))
+
+
+def archived_statements(spark: SparkSession, folder: str) -> DataFrame:
+    return once(spark, folder, "statements", lambda: statements(spark, folder))
+
+
 def routed_utterances(spark: SparkSession, folder: str) -> DataFrame:
-    return once(spark, folder, "routed", lambda: candidates_of(utterances(spark, folder)))
+    return once(spark, folder, "routed", lambda: candidates_of(archived_utterances(spark, folder)))
 
 
 def utterance_versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,5 +89,5 @@ def utterance_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def short_term_at_end(spark: SparkSession, folder: str) -> DataFrame:
     """Context blocks as of the end of the events."""
-    end = utterances(spark, folder).agg(F.max("ts").alias("end")).first()["end"]
+    end = archived_utterances(spark, folder).agg(F.max("ts").alias("end")).first()["end"]
     return context_block(context_as_of(context_log(routed_utterances(spark, folder)), end))

@@ -80,7 +80,7 @@ SELECT source, id, part, {O.low('content')} AND role IN ('user', 'assistant') AS
     {O.noise('content')} AS noise, {O.noise_value('content')} AS preference_noise, skip_reason
 FROM gated""")
 def message_gates(spark, sf):
-    said = S.utterances(spark, sf).selectExpr(
+    said = P.archived_utterances(spark, sf).selectExpr(
         "'utterance' AS source", "seq AS id", "0 AS part", "role", "content")
     conv = S.table(spark, sf, "conversations").selectExpr(
         "'conversation' AS source", "conv_id AS id", "CAST(turn AS INT) AS part", "role",
@@ -104,7 +104,7 @@ SELECT seq, CAST(pos AS INT) AS pos, entity, attribute, value, type, key, scope,
     preferred_over FROM kept""")
 def facts_utterances(spark, sf):
     # The sentence gates apply here as they do in the full extraction.
-    rows = extract.gated_facts(S.utterances(spark, sf))
+    rows = extract.gated_facts(P.archived_utterances(spark, sf))
     return rows.selectExpr("seq", "posexplode_outer(facts) AS (pos, f)").filter(
         "f is not null").selectExpr(
         "seq", "pos", *[f"f.{c}" for c in FACT_COLUMNS],
@@ -135,7 +135,7 @@ SELECT {CANDIDATE_SQL}, coalesce(c_target, '') AS correction_target,
     coalesce(r_target, '') AS revocation_target, coalesce(r_value, '') AS revoked_value
 FROM cand""")
 def candidates(spark, sf):
-    return extract.extract_candidates(S.utterances(spark, sf)).selectExpr(
+    return extract.extract_candidates(P.archived_utterances(spark, sf)).selectExpr(
         "seq", "pos", "candidate_content AS content", "type", "topic_key", "authority",
         "is_correction", "confidence", "importance", "stability",
         "coalesce(correction.target, '') AS correction_target",
@@ -152,7 +152,7 @@ SELECT seq, CAST(pos AS INT) AS pos, bucket, subject, predicate, val AS value,
     CASE WHEN bucket = 'context' THEN CASE context_key WHEN 'current_error' THEN 3600
         ELSE 7200 END ELSE 0 END AS ttl_seconds FROM routed""")
 def routed_candidates(spark, sf):
-    return P.candidates_of(S.utterances(spark, sf)).select(
+    return P.candidates_of(P.archived_utterances(spark, sf)).select(
         "seq", "pos", "bucket", "subject", "predicate", "value", "scope", "context_key",
         F.coalesce("ttl_seconds", F.lit(0)).alias("ttl_seconds"))
 
@@ -229,7 +229,7 @@ def request_messages(spark, sf):
 
 def _resent(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Batch: the utterances, each view event sent twice.  Archive: the signups."""
-    said = S.utterances(spark, sf).join(
+    said = P.archived_utterances(spark, sf).join(
         S.table(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type"), "seq")
     keyed = said.withColumn("message_key", F.md5(F.concat_ws("|", "role", "content")))
     copies = keyed.withColumn("copy", F.explode(F.when(
@@ -279,7 +279,7 @@ def new_users(spark, sf):
 WITH {O.utterances()} SELECT user_id, seq // 100 AS batch, bool_or(role IN ('user', 'assistant')
     AND NOT {O.low('content')}) AS meaningful FROM utt GROUP BY ALL""")
 def meaningful_batches(spark, sf):
-    said = extract.classify_messages(S.utterances(spark, sf)).withColumn(
+    said = extract.classify_messages(P.archived_utterances(spark, sf)).withColumn(
         "batch", F.floor(F.col("seq") / 100))
     return M.meaningful_batches(said, "batch")
 
@@ -340,7 +340,7 @@ SELECT seq, {O.norm('content')} AS utterance, {_normal_sql('content')} AS normal
     {O.domain('content')} AS domain,
     sha256(to_json({{role: 'user', content: content}})) AS hash FROM t""")
 def normalized_text(spark, sf):
-    said = S.utterances(spark, sf).select("seq", "content").unionByName(
+    said = P.archived_utterances(spark, sf).select("seq", "content").unionByName(
         S.table(spark, sf, "conversations").selectExpr(
             "-1 - (conv_id * 1000 + turn) AS seq", "text AS content"))
     rows = said.withColumn("plain", nfkc("content"))

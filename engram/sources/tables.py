@@ -10,6 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core work when a small input comes in fewer splits than there are cores.
+
+    Text rules cost far more than moving a small table.  A large table has more splits
+    than cores already and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(index: str, values) -> str:
     """SQL choosing one of the values by ``index`` modulo their number."""
     cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
@@ -115,7 +124,7 @@ ROLE = ("CASE WHEN event_type = 'click' AND k % 13 = 0 THEN 'assistant' "
 
 
 def _spoken(spark: SparkSession, folder: str, text: str, role: str) -> DataFrame:
-    events = table(spark, folder, "events").withColumn(
+    events = spread(table(spark, folder, "events")).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int"))
     return events.selectExpr("user_id", "event_id AS seq", "ts", f"{role} AS role",
                              f"{text} AS content")
@@ -133,6 +142,6 @@ def statements(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as messages: a conversation is both the user and the request."""
-    return table(spark, folder, "conversations").select(
+    return spread(table(spark, folder, "conversations")).select(
         F.col("conv_id").alias("user_id"), F.col("conv_id").alias("request_id"),
         F.col("turn").cast("int").alias("ordinal"), "role", F.col("text").alias("content"))
