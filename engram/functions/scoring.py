@@ -47,7 +47,9 @@ def item_value(relevance, importance, freshness, confidence, stability, gain) ->
     """Weighted value of a selectable item, clamped to [0, 1], 4 decimals."""
     total = (F.lit(0.25) * relevance + F.lit(0.25) * importance + F.lit(0.2) * freshness
              + F.lit(0.1) * confidence + F.lit(0.1) * stability + F.lit(0.1) * gain)
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4)
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+    # Rounds the binary value; round() would first take its shortest decimal form.
+    return F.floor(clamped * 10000.0 + 0.5) / 10000.0
 
 
 def overlap_relevance(item_words: Column, query_words: Column) -> Column:

@@ -110,7 +110,7 @@ def consolidate(items: DataFrame, min_size: int = V.MIN_CLUSTER_SIZE) -> DataFra
         F.first("confidence").alias("confidence"), F.first("importance").alias("importance"),
         F.first("stability").alias("stability"))
     scores = unique.groupBy(*CLUSTER).agg(
-        F.round(F.avg("confidence"), 3).alias("confidence"),
+        F.round(F.round(F.avg("confidence"), 9), 3).alias("confidence"),
         F.round(F.greatest(F.lit(0.95), F.max("importance")), 3).alias("importance"),
         F.greatest(F.lit(0.85), F.max("stability")).alias("_s"))
     sources = values.groupBy(*CLUSTER).agg(F.countDistinct("item_id").alias("source_count"))

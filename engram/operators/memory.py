@@ -283,8 +283,8 @@ def obsolete_items(items: DataFrame, descriptions: DataFrame) -> DataFrame:
     active = items.filter("status = 'active'")
     lowered = F.lower(F.trim("description"))
     said = descriptions.select("user_id", lowered.alias("d")).filter("d <> ''").distinct()
-    by_id = active.join(said, (active.item_id == said.d) & (active.user_id == said.user_id),
-                        "left_semi").select("user_id", "item_id")
+    by_id = active.select("user_id", "item_id").join(
+        said.withColumnRenamed("d", "item_id"), ["user_id", "item_id"], "left_semi")
     texts = active.select("user_id", "item_id", F.lower("content").alias("content"),
                           F.lower("topic_key").alias("topic"))
     c_in_d = containment(said.selectExpr("user_id", "d AS text"),

@@ -13,6 +13,7 @@ from engram.functions.classify import wants_history
 from engram.functions.sql import col
 from engram.functions.text import keywords, ranked_keywords
 from engram.operators.substrings import containment
+from engram.session import cut_lineage
 
 SEARCHED = ("content", "value", "predicate", "subject", "topic_key")
 ORDERS = {"recency": "updated_seq", "importance": "importance", "confidence": "confidence"}
@@ -109,9 +110,8 @@ def expand_relations(items: DataFrame, seeds: DataFrame, depth: int = 1,
     seen = seeds.select(*keys).distinct()
     frontier, found = seen, None
     for hop in range(1, depth + 1):
-        step = (frontier.join(edges, (frontier.user_id == edges.user_id)
-                              & (frontier.item_id == edges.src_id))
-                .select(edges.user_id, F.col("dst_id").alias("item_id")).distinct()
+        step = (frontier.withColumnRenamed("item_id", "src_id").join(edges, ["user_id", "src_id"])
+                .select("user_id", F.col("dst_id").alias("item_id")).distinct()
                 .join(seen, keys, "left_anti")
                 .join(reachable.select(*keys), keys, "left_semi"))
         found = (step.withColumn("hop", F.lit(hop)) if found is None
@@ -152,7 +152,7 @@ def fetch_tiers(requests: DataFrame, items: DataFrame) -> DataFrame:
             .drop("_r"))
     per_request = Window.partitionBy("request_id").orderBy(
         F.col("updated_seq").desc(), "item_id")
-    tier1 = (asked.join(hits, ["user_id", "needle"])
+    tier1 = cut_lineage(asked.join(hits, ["user_id", "needle"])
              .select("request_id", *keys, "updated_seq").distinct()
              .withColumn("_r", F.row_number().over(per_request))
              .filter(F.col("_r") <= V.KEYWORD_HITS).select("request_id", *keys))
@@ -179,13 +179,12 @@ def memories_for_requests(requests: DataFrame, items: DataFrame) -> DataFrame:
     """Tiers, one-hop links (superseded ones only when history is asked for) and one item
     per topic.  At most 100 fetched and 20 linked items per request."""
     keys = ["user_id", "item_id"]
-    fetched = fetch_tiers(requests, items)
+    fetched = cut_lineage(fetch_tiers(requests, items))
     edges = link_edges(items)
     flags = requests.select("request_id", "wants_history")
     status = items.select(*keys, "status", "updated_seq")
-    linked = (fetched.join(edges, (fetched.user_id == edges.user_id)
-                           & (fetched.item_id == edges.src_id))
-              .select("request_id", edges.user_id, F.col("dst_id").alias("item_id")).distinct()
+    linked = (fetched.withColumnRenamed("item_id", "src_id").join(edges, ["user_id", "src_id"])
+              .select("request_id", "user_id", F.col("dst_id").alias("item_id")).distinct()
               .join(fetched.select("request_id", *keys), ["request_id", *keys], "left_anti")
               .join(status, keys).join(flags, "request_id")
               .filter("wants_history or status = 'active'"))

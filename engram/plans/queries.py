@@ -15,7 +15,12 @@ from engram.functions.text import (
     clean_value, content_hash, estimate_tokens, keywords, message_tokens, nfkc,
     normalize_text, normalize_utterance, ranked_keywords, redact, slugify,
 )
-from engram.operators import extract, memory, messages as M
+from engram.functions import similarity
+from engram.operators import compile as compile_
+from engram.operators import (
+    consolidate, context, evaluate, extract, memory, rates, retrieve, select,
+)
+from engram.operators import messages as M
 from engram.plans import oracle as O
 from engram.plans import pipeline as P
 from engram.sources import tables as S
@@ -349,3 +354,679 @@ def normalized_text(spark, sf):
         "seq", f"{normalize_utterance(p)} AS utterance", f"{normalize_text(p)} AS normal",
         f"{slugify(c)} AS slug", f"{clean_value(c)} AS cleaned",
         f"{preference_domain(c)} AS domain", f"{content_hash(X.lit('user'), c)} AS hash")
+
+
+# --- short-term context ------------------------------------------------------------
+
+CONTEXT_SQL = f"""
+WITH {O.utterances()}, {O.routed_cte()},
+ctx AS (SELECT user_id, context_key AS key, cc AS value, CASE context_key WHEN 'current_error'
+    THEN 3600 ELSE 7200 END AS ttl, seq, pos, ts FROM routed WHERE bucket = 'context'),
+bound AS (SELECT max(ts) AS t FROM utt),
+lastset AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC, seq DESC,
+    pos DESC) AS rn FROM ctx)"""
+
+
+@query("context_as_of", CONTEXT_SQL + """
+SELECT user_id, key, value, seq, CAST(floor(ttl - (epoch_us(t) - epoch_us(ts)) / 1e6 + 0.5)
+    AS BIGINT) AS seconds_left FROM lastset, bound
+WHERE rn = 1 AND ttl - (epoch_us(t) - epoch_us(ts)) / 1e6 > 0""")
+def context_now(spark, sf):
+    end = P.archived_utterances(spark, sf).agg(F.max("ts").alias("t")).first()["t"]
+    return context.context_as_of(context.context_log(P.routed_utterances(spark, sf)), end)
+
+
+@query("context_overwrites", CONTEXT_SQL + """
+SELECT user_id, key, count(*) AS writes, arg_max(value, (ts, seq, pos)) AS value FROM ctx
+GROUP BY ALL""")
+def context_overwrites(spark, sf):
+    log = context.context_log(P.routed_utterances(spark, sf))
+    return log.groupBy("user_id", "key").agg(
+        F.count("*").alias("writes"),
+        F.max_by("value", F.struct("ts", "seq", "pos")).alias("value"))
+
+
+# --- memory ------------------------------------------------------------------------
+
+MEMORY_SQL = f"WITH {O.utterances()}, {O.memory_cte()}"
+
+
+@query("memory_as_of", MEMORY_SQL + """, bound AS (SELECT max(seq) // 2 AS t FROM utt)
+SELECT item_id, version, content, CASE WHEN ended_seq IS NULL OR ended_seq > t THEN 'active'
+    ELSE end_status END AS status FROM final, bound WHERE started_seq <= t""")
+def memory_at_half(spark, sf):
+    half = P.archived_utterances(spark, sf).agg((F.max("seq") / 2).cast("long")).first()[0]
+    return memory.memory_as_of(P.utterance_versions(spark, sf), half).select(
+        "item_id", "version", "content", "status")
+
+
+@query("corrections_audit", MEMORY_SQL + """
+SELECT n.user_id, n.item_id, n.supersedes_id, CASE WHEN n.c_target IS NOT NULL THEN n.c_target
+    ELSE n.topic_key END AS target, CASE WHEN n.c_target IS NOT NULL THEN n.c_old ELSE o.content
+    END AS old_value, CASE WHEN n.c_target IS NOT NULL THEN n.c_new ELSE n.content END
+    AS new_value, n.started_seq FROM final n JOIN final o ON o.item_id = n.supersedes_id
+WHERE n.is_correction""")
+def corrections_audit(spark, sf):
+    return memory.corrections_audit(P.utterance_versions(spark, sf))
+
+
+@query("snapshots", MEMORY_SQL + """
+SELECT user_id, """ + ", ".join(
+    f"count(*) FILTER (type = '{t}') AS \"{n}\"" for t, n in O.V.SNAPSHOT_LISTS.items()) + """
+FROM items WHERE status = 'active' AND content <> '' GROUP BY user_id""")
+def snapshots(spark, sf):
+    return memory.snapshots(P.utterance_items(spark, sf))
+
+
+@query("snapshot_entries", MEMORY_SQL + f"""
+SELECT user_id, {O.lookup('type', O.V.SNAPSHOT_LISTS)} AS list, started_seq,
+    CAST(s_at[2] AS INT) AS started_pos, content FROM items WHERE status = 'active'""")
+def snapshot_entries(spark, sf):
+    return memory.snapshot_lists(P.utterance_items(spark, sf))
+
+
+@query("action_counts", MEMORY_SQL + """,
+made AS (SELECT user_id, count(*) FILTER (supersedes_id IS NULL) AS created,
+    count(*) FILTER (supersedes_id IS NOT NULL) AS superseded, sum(source_count - 1) AS merged,
+    count(*) FILTER (end_status = 'revoked') AS revoked FROM final GROUP BY user_id),
+routes AS (SELECT user_id, count(*) AS candidates, count(*) FILTER (bucket = 'store') AS stored,
+    count(*) FILTER (bucket = 'context') AS context, count(*) FILTER (bucket = 'discard')
+    AS discarded FROM routed GROUP BY user_id)
+SELECT k.*, coalesce(created, 0) AS created, coalesce(superseded, 0) AS superseded,
+    CAST(coalesce(merged, 0) AS BIGINT) AS merged, coalesce(revoked, 0) AS revoked,
+    coalesce(created + superseded + merged + revoked, 0) > 0 AS memory_changed
+FROM routes k LEFT JOIN made USING (user_id)""")
+def action_counts(spark, sf):
+    return memory.action_counts(P.utterance_versions(spark, sf), P.routed_utterances(spark, sf))
+
+
+@query("information_scores", MEMORY_SQL + """
+SELECT item_id, CASE WHEN source_count > 1 THEN 0.05::DOUBLE WHEN row_number() OVER (
+    PARTITION BY user_id, type ORDER BY s_at, topic_key) = 1 THEN 0.85::DOUBLE
+    ELSE 0.8::DOUBLE END AS information_gain FROM final""")
+def information_scores(spark, sf):
+    return P.utterance_versions(spark, sf).select("item_id", "information_gain")
+
+
+@query("obsolete_items", MEMORY_SQL + f"""
+, said AS (SELECT DISTINCT user_id, lower(trim(content)) AS d FROM utt
+    WHERE seq IN (SELECT event_id FROM events WHERE event_type = 'error') AND role = 'user')
+SELECT DISTINCT i.user_id, i.item_id FROM items i JOIN said s ON s.user_id = i.user_id
+WHERE status = 'active' AND (contains(d, lower(i.content)) OR contains(lower(i.content), d)
+    OR (topic_key <> '' AND contains(d, lower(topic_key))))""")
+def obsolete_items(spark, sf):
+    errors = S.table(spark, sf, "events").filter("event_type = 'error'").select(
+        F.col("event_id").alias("seq"))
+    said = P.archived_utterances(spark, sf).filter("role = 'user'").join(
+        errors, "seq", "left_semi").select("user_id", F.col("content").alias("description"))
+    return memory.obsolete_items(P.utterance_items(spark, sf), said)
+
+
+@query("version_proposals", """
+WITH cur AS (SELECT user_id AS item, count(*) % 7 AS version FROM events GROUP BY user_id),
+prop AS (SELECT event_id AS seq, user_id AS item, event_id % 7 AS expected_version FROM events)
+SELECT p.*, CASE WHEN expected_version = version AND row_number() OVER (
+    PARTITION BY p.item, expected_version = version ORDER BY seq) = 1 THEN 'accepted'
+    ELSE 'conflict' END AS outcome FROM prop p JOIN cur USING (item)""")
+def version_proposals(spark, sf):
+    events = S.table(spark, sf, "events")
+    current = events.groupBy(F.col("user_id").alias("item_id")).agg(
+        (F.count("*") % 7).alias("version"))
+    proposals = events.select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("item_id"),
+        (F.col("event_id") % 7).alias("expected_version"))
+    return memory.accept_proposals(current, proposals).withColumnRenamed("item_id", "item")
+
+
+@query("resolved_topics", MEMORY_SQL + """
+SELECT user_id, item_id, status FROM (SELECT *, row_number() OVER (
+    PARTITION BY user_id, trim(topic_key) ORDER BY status = 'active' DESC, version DESC,
+    updated_seq DESC, item_id DESC) AS rn FROM items) WHERE rn = 1""")
+def resolved_topics(spark, sf):
+    return memory.resolve_conflicts(P.utterance_items(spark, sf)).select(
+        "user_id", "item_id", "status")
+
+
+@query("next_snapshot_versions", """
+SELECT c.c_custkey AS user_id, coalesce(max(o_orderkey), 0) + 1 AS version
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1""")
+def next_snapshot_versions(spark, sf):
+    users = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    written = S.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("version"))
+    return memory.next_versions(users, written)
+
+
+# --- retrieval ---------------------------------------------------------------------
+
+@query("retrieve_recent", MEMORY_SQL + """
+SELECT user_id, item_id, CAST(rn AS INT) AS rank, status = 'active' AS current FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_seq DESC, item_id) AS rn
+    FROM items WHERE status = 'active') WHERE rn <= 20""")
+def retrieve_recent(spark, sf):
+    return retrieve.retrieve(P.utterance_items(spark, sf), retrieve.Query()).select(
+        "user_id", "item_id", "rank", "current")
+
+
+@query("retrieve_filtered", MEMORY_SQL + """
+SELECT user_id, item_id, CAST(rn AS INT) AS rank, status = 'active' AS current FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, updated_seq DESC,
+        item_id) AS rn FROM items WHERE scope = 'project' AND confidence >= 0.8
+    AND importance >= 0.6 AND stability >= 0.5 AND (contains(lower(content), 'neon')
+        OR contains(lower(value), 'neon') OR contains(lower(predicate), 'neon')
+        OR contains(lower(subject), 'neon') OR contains(lower(topic_key), 'neon')
+        OR contains(lower(content), 'budget') OR contains(lower(value), 'budget')
+        OR contains(lower(predicate), 'budget') OR contains(lower(subject), 'budget')
+        OR contains(lower(topic_key), 'budget'))) WHERE rn <= 5""")
+def retrieve_filtered(spark, sf):
+    return retrieve.retrieve(P.utterance_items(spark, sf), retrieve.Query(
+        scope="project", include_historical=True, keywords=("neon", "budget", "x"),
+        min_confidence=0.8, min_importance=0.6, min_stability=0.5, order="importance",
+        limit=5)).select("user_id", "item_id", "rank", "current")
+
+
+@query("search_messages", """
+SELECT user_id, ordinal, content, CAST(rn AS INT) AS rank, 1.0::DOUBLE AS score FROM (
+    SELECT conv_id AS user_id, CAST(turn AS INT) AS ordinal, text AS content, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE contains(text, 'the'))
+WHERE rn <= 10""")
+def search_messages(spark, sf):
+    return retrieve.search(S.conversation_messages(spark, sf), "content", " the ", "ordinal"
+                           ).select("user_id", "ordinal", "content", "rank", "score")
+
+
+@query("expand_relations", MEMORY_SQL + """,
+seeds AS (SELECT * FROM items WHERE status = 'active'),
+h1 AS (SELECT DISTINCT s.user_id, s.supersedes_id AS item_id FROM seeds s
+    WHERE supersedes_id IS NOT NULL AND supersedes_id NOT IN (SELECT item_id FROM seeds)),
+h2 AS (SELECT DISTINCT i.user_id, i.supersedes_id AS item_id FROM h1 JOIN items i USING (item_id)
+    WHERE i.supersedes_id IS NOT NULL AND i.supersedes_id NOT IN (SELECT item_id FROM seeds)
+    AND i.supersedes_id NOT IN (SELECT item_id FROM h1))
+SELECT item_id, content, 1 AS hop FROM h1 JOIN items USING (item_id)
+UNION ALL SELECT item_id, content, 2 FROM h2 JOIN items USING (item_id)""")
+def expand_relations(spark, sf):
+    items = P.utterance_items(spark, sf)
+    return retrieve.expand_relations(items, items.filter("status = 'active'"), depth=2,
+                                     active_only=False).select("item_id", "content", "hop")
+
+
+# --- requests --------------------------------------------------------------------
+# Requests: every view event asks with a system message, and every conversation is the
+# request of one of the users.
+
+REQUESTS_SQL = MEMORY_SQL + f""",
+rm AS (SELECT event_id AS request_id, user_id, 0 AS ordinal, 'system' AS role,
+        'You help user ' || user_id || '.' AS content FROM events WHERE event_type = 'view'
+    UNION ALL SELECT seq, u.user_id, 1, 'user', content FROM utt u JOIN events e
+        ON e.event_id = u.seq WHERE event_type = 'view'
+    UNION ALL SELECT 1000000000 + conv_id, conv_id % 150, CAST(turn AS INT), role, text
+        FROM conversations),
+rq0 AS (SELECT request_id, any_value(user_id) AS user_id, count(*) AS message_count,
+    CAST(sum(3 + {O.tokens('content')}) + 3 AS BIGINT) AS input_tokens,
+    coalesce(arg_max(content, ordinal) FILTER (role = 'user'), '') AS latest
+    FROM rm GROUP BY request_id),
+rq1 AS (SELECT *, list_distinct({O.keyword_list('latest')}) AS qw,
+    {O.m('latest', O.V.WANTS_HISTORY)} AS wants_history FROM rq0),
+rq AS (SELECT *, list_slice(list_transform(list_sort(list_transform(qw, lambda w:
+    {{n: -length(w), w: w}})), lambda s: s.w), 1, 12) AS ranked FROM rq1),
+act AS (SELECT *, lower(concat_ws(chr(10), content, value, predicate, subject, topic_key)) AS hay
+    FROM items WHERE status = 'active'),
+hits0 AS (SELECT r.request_id, a.user_id, a.item_id, row_number() OVER (PARTITION BY r.request_id
+        ORDER BY a.updated_seq DESC, a.item_id) AS rn FROM rq r JOIN act a
+    ON a.user_id = r.user_id AND (len(ranked) = 0 OR len(list_filter(ranked, lambda w:
+        contains(a.hay, w))) > 0)),
+t1 AS (SELECT request_id, user_id, item_id, 1 AS tier FROM hits0 WHERE rn <= 40),
+newest AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_seq DESC, item_id)
+    AS rn FROM act),
+t2 AS (SELECT r.request_id, n.user_id, n.item_id, 2 FROM rq r JOIN newest n ON n.user_id =
+    r.user_id AND rn <= 20 WHERE (SELECT count(*) FROM t1 WHERE t1.request_id = r.request_id) < 4),
+dur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_seq DESC,
+    item_id) AS rn FROM act WHERE scope = 'user') WHERE rn <= 40
+    AND type IN ('fact', 'preference', 'constraint')),
+t3 AS (SELECT r.request_id, d.user_id, d.item_id, 3 FROM rq r JOIN dur d ON d.user_id = r.user_id),
+fetched AS (SELECT request_id, user_id, item_id, min(tier) AS tier FROM (
+    SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3) GROUP BY ALL),
+linked0 AS (SELECT DISTINCT f.request_id, f.user_id, i.supersedes_id AS item_id FROM fetched f
+    JOIN items i ON i.item_id = f.item_id WHERE i.supersedes_id IS NOT NULL),
+linked1 AS (SELECT l.*, row_number() OVER (PARTITION BY l.request_id ORDER BY i.updated_seq DESC,
+    l.item_id) AS rn FROM linked0 l JOIN items i ON i.item_id = l.item_id JOIN rq r
+    ON r.request_id = l.request_id WHERE (r.wants_history OR i.status = 'active')
+    AND NOT EXISTS (SELECT 1 FROM fetched f WHERE f.request_id = l.request_id
+        AND f.item_id = l.item_id)),
+merged AS (SELECT * FROM fetched UNION ALL SELECT request_id, user_id, item_id, 4 FROM linked1
+    WHERE rn <= 20),
+chosen0 AS (SELECT m.request_id, m.tier, i.*, r.wants_history, r.qw, row_number() OVER (
+    PARTITION BY m.request_id, CASE WHEN trim(i.topic_key) = '' THEN i.item_id
+        ELSE trim(i.topic_key) END ORDER BY i.status = 'active' DESC, i.version DESC,
+        i.updated_seq DESC, i.item_id) AS rn FROM merged m JOIN items i ON i.item_id = m.item_id
+    JOIN rq r ON r.request_id = m.request_id),
+chosen AS (SELECT * FROM chosen0 WHERE rn = 1 OR (wants_history AND status = 'superseded'))"""
+
+
+def _requests(spark, sf) -> DataFrame:
+    views = P.archived_utterances(spark, sf).join(
+        S.table(spark, sf, "events").filter("event_type = 'view'").select(
+            F.col("event_id").alias("seq")), "seq", "left_semi")
+    asked = views.select(
+        F.col("seq").alias("request_id"), "user_id", F.explode(F.array(
+            F.struct(F.lit(0).alias("ordinal"), F.lit("system").alias("role"), F.concat(
+                F.lit("You help user "), F.col("user_id"), F.lit(".")).alias("content")),
+            F.struct(F.lit(1).alias("ordinal"), F.lit("user").alias("role"), "content")
+        )).alias("m")).select("request_id", "user_id", "m.*")
+    talked = S.table(spark, sf, "conversations").select(
+        (F.lit(1000000000) + F.col("conv_id")).cast("long").alias("request_id"),
+        (F.col("conv_id") % 150).alias("user_id"), F.col("turn").cast("int").alias("ordinal"),
+        "role", F.col("text").alias("content"))
+    return asked.unionByName(talked)
+
+
+def _asked(spark, sf) -> DataFrame:
+    return P.once(spark, sf, "request_messages", lambda: _requests(spark, sf))
+
+
+def _prepared(spark, sf) -> DataFrame:
+    return P.once(spark, sf, "requests", lambda: compile_.prepare_requests(_asked(spark, sf)))
+
+
+def _known(spark, sf) -> DataFrame:
+    return P.once(spark, sf, "request_memory_items", lambda: compile_.memory_items(
+        _prepared(spark, sf), P.utterance_items(spark, sf)))
+
+
+@query("fetched_memories", REQUESTS_SQL + """
+SELECT request_id, item_id, tier FROM fetched""")
+def fetched_memories(spark, sf):
+    return retrieve.fetch_tiers(_prepared(spark, sf), P.utterance_items(spark, sf)).select(
+        "request_id", "item_id", "tier")
+
+
+@query("request_memories", REQUESTS_SQL + """
+SELECT request_id, item_id, tier, status FROM chosen""")
+def request_memories(spark, sf):
+    return retrieve.memories_for_requests(_prepared(spark, sf), P.utterance_items(spark, sf)).select(
+        "request_id", "item_id", "tier", "status")
+
+
+@query("request_facts", REQUESTS_SQL + """
+SELECT request_id, user_id, message_count, input_tokens, latest, len(qw) AS words,
+    array_to_string(ranked, ' ') AS top_words, wants_history FROM rq""")
+def request_facts(spark, sf):
+    return compile_.prepare_requests(_requests(spark, sf)).selectExpr(
+        "request_id", "user_id", "message_count", "input_tokens",
+        "coalesce(latest_user_text, '') AS latest", "CAST(size(query_words) AS BIGINT) AS words",
+        "array_join(ranked_words, ' ') AS top_words", "wants_history")
+
+
+def _relevance_sql(words: str, query_words: str) -> str:
+    shared = f"len(list_intersect({query_words}, {words}))"
+    return (f"CASE WHEN len({query_words}) = 0 THEN 0.5::DOUBLE WHEN len({words}) = 0 THEN "
+            f"0.3::DOUBLE WHEN {shared} = 0 THEN 0.25::DOUBLE ELSE least(1.0::DOUBLE, "
+            f"0.4::DOUBLE + {shared} / len({query_words}) * 0.6::DOUBLE) END")
+
+
+SCORE_SQL = ("round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.25::DOUBLE * relevance + "
+             "0.25::DOUBLE * importance + 0.2::DOUBLE * freshness + 0.1::DOUBLE * confidence + "
+             "0.1::DOUBLE * stability + 0.1::DOUBLE * gain)), 4)")
+
+MESSAGE_SCORES_SQL = REQUESTS_SQL + f""",
+ms0 AS (SELECT m.*, r.qw, max(ordinal) OVER (PARTITION BY m.request_id) - ordinal AS turns,
+    {O.low('content')} AS ack, {O.m('content', O.V.DECISION_MARKER)} AS decided,
+    list_distinct({O.keyword_list('content')}) AS kw FROM rm m JOIN rq r USING (request_id)),
+ms1 AS (SELECT *, role = 'system' AS sys, turns = 0 AS latest, {_relevance_sql('kw', 'qw')}
+    AS rel, CASE WHEN turns <= 3 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS imp,
+    CASE WHEN role = 'user' THEN 0.8::DOUBLE ELSE 0.65::DOUBLE END AS sta FROM ms0),
+ms AS (SELECT *, CASE WHEN sys THEN 'system' WHEN latest THEN 'new_message' ELSE 'message' END
+    AS kind, sys OR latest AS mandatory, CASE WHEN sys THEN 0.8::DOUBLE WHEN latest THEN 1
+        ELSE rel END AS relevance,
+    CASE WHEN sys OR latest THEN 1 WHEN role = 'user' THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END
+    AS confidence, CASE WHEN sys OR latest THEN 1 WHEN ack THEN 0.05::DOUBLE WHEN decided
+        THEN greatest(imp, 0.92::DOUBLE) ELSE imp END AS importance,
+    CASE WHEN sys OR latest THEN 1 ELSE greatest(0.2::DOUBLE, 1.0::DOUBLE - turns * 0.08::DOUBLE)
+    END AS freshness, CASE WHEN sys THEN 1 WHEN latest THEN 0.9::DOUBLE WHEN ack THEN 0.1::DOUBLE
+        WHEN decided THEN greatest(sta, 0.9::DOUBLE) ELSE sta END AS stability,
+    CASE WHEN sys THEN 0.9::DOUBLE WHEN latest THEN 0.95::DOUBLE WHEN ack THEN 0.05::DOUBLE
+        WHEN turns <= 2 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS gain,
+    CAST(3 + {O.tokens('content')} AS BIGINT) AS token_cost FROM ms1)"""
+
+
+@query("message_scores", MESSAGE_SCORES_SQL + f"""
+SELECT request_id, ordinal, kind, mandatory, token_cost, round(relevance, 6) AS relevance,
+    importance, round(freshness, 6) AS freshness, {SCORE_SQL} AS score FROM ms""")
+def message_scores(spark, sf):
+    return compile_.message_items(_asked(spark, sf), _prepared(spark, sf)).select(
+        "request_id", "ordinal", "kind", "mandatory", "token_cost",
+        F.round("relevance", 6).alias("relevance"), "importance",
+        F.round("freshness", 6).alias("freshness"), "score")
+
+
+MEMORY_SCORES_SQL = REQUESTS_SQL + f""",
+gains AS (SELECT item_id, CASE WHEN source_count > 1 THEN 0.05::DOUBLE WHEN row_number() OVER (
+    PARTITION BY user_id, type ORDER BY s_at, topic_key) = 1 THEN 0.85::DOUBLE
+    ELSE 0.8::DOUBLE END AS gain FROM final),
+mk AS (SELECT c.*, g.gain, list_distinct({O.keyword_list('content')}) AS kw,
+    list_distinct({O.keyword_list("regexp_replace(topic_key, '[._-]', ' ', 'g')")}) AS tt,
+    list_distinct({O.keyword_list('topic_key')}) AS tk, 1.0::DOUBLE AS freshness
+    FROM chosen c JOIN gains g ON g.item_id = c.item_id),
+mr0 AS (SELECT *, {_relevance_sql('kw', 'qw')} AS base, CASE WHEN
+    len(list_intersect(qw, tt)) > 0 THEN {_relevance_sql('tk', 'qw')} ELSE 0 END AS bonus,
+    scope = 'user' AND type IN ('preference', 'fact', 'constraint') AS durable FROM mk),
+mr1 AS (SELECT *, CASE WHEN topic_key <> '' THEN greatest(base, least(1.0::DOUBLE,
+    0.5::DOUBLE + bonus * 0.5::DOUBLE)) ELSE base END AS topical FROM mr0),
+mr2 AS (SELECT *, CASE WHEN durable THEN greatest(topical, 0.55::DOUBLE) ELSE topical END AS kept
+    FROM mr1),
+mem AS (SELECT *, CASE WHEN status = 'superseded' THEN greatest(0.35::DOUBLE,
+    kept * 0.85::DOUBLE) ELSE kept END AS relevance, durable AND status = 'active' AS mandatory,
+    CAST({O.tokens("(type || ': ' || content)")} + 2 AS BIGINT) AS token_cost FROM mr2)"""
+
+
+@query("memory_scores", MEMORY_SCORES_SQL + f"""
+SELECT request_id, item_id, mandatory, token_cost, round(relevance, 6) AS relevance,
+    {SCORE_SQL} AS score FROM mem""")
+def memory_scores(spark, sf):
+    return _known(spark, sf).select(
+        "request_id", "item_id", "mandatory", "token_cost",
+        F.round("relevance", 6).alias("relevance"), "score")
+
+
+LINE_SQL = """
+mline AS (SELECT *, CASE WHEN status = 'superseded' THEN '(previous) ' WHEN status = 'revoked'
+        THEN '(revoked) ' ELSE '' END || CASE WHEN trim(predicate) <> '' AND trim(value) <> '' THEN
+    CASE WHEN predicate LIKE 'disliked\\_%' ESCAPE '\\' THEN 'dislikes ' ||
+        replace(substr(trim(predicate), 10), '_', ' ') || ': ' || trim(value)
+    WHEN predicate LIKE 'favorite\\_%' ESCAPE '\\' OR predicate LIKE 'preferred\\_%' ESCAPE '\\'
+        OR type = 'preference' OR trim(content) = trim(value)
+        THEN replace(trim(predicate), '_', ' ') || ': ' || trim(value)
+    ELSE content END ELSE content END AS line,
+    array_to_string(list_transform(string_split(type, '_'), lambda w: upper(substr(w, 1, 1))
+        || substr(w, 2)), ' ') AS category,
+    row_number() OVER (PARTITION BY request_id ORDER BY tier, updated_seq DESC, item_id) AS ord
+    FROM mem),
+mcat AS (SELECT request_id, category, '• ' || category || ':' || chr(10) ||
+    string_agg('  - ' || line, chr(10) ORDER BY ord) AS part FROM mline GROUP BY request_id, category),
+mblock AS (SELECT request_id, '[Project Memory & Canonical State]' || chr(10) ||
+    string_agg(part, chr(10) ORDER BY category) AS memory_text FROM mcat GROUP BY request_id)"""
+
+
+@query("memory_blocks", MEMORY_SCORES_SQL + "," + LINE_SQL + """
+SELECT request_id, memory_text FROM mblock""")
+def memory_blocks(spark, sf):
+    return compile_.memory_blocks(_known(spark, sf))
+
+
+# With the default budget every request of the tables fits, so plain SQL can assemble it.
+COMPILED_SQL = MEMORY_SCORES_SQL + "," + LINE_SQL + """,
+ctx AS (SELECT user_id, context_key AS key, cc AS value, CASE context_key WHEN 'current_error'
+    THEN 3600 ELSE 7200 END AS ttl, seq, pos, ts FROM routed WHERE bucket = 'context'),
+bound AS (SELECT max(ts) AS t FROM utt),
+live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC,
+    seq DESC, pos DESC) AS rn FROM ctx), bound WHERE rn = 1
+    AND ttl - (epoch_us(t) - epoch_us(ts)) / 1e6 > 0),
+st AS (SELECT user_id, '[Short-Term Context (current state)]' || chr(10) || string_agg('• ' || key
+    || ': ' || value, chr(10) ORDER BY seq, key) AS short_text, count(*) AS n FROM live
+    GROUP BY user_id),
+cnt AS (SELECT request_id, count(*) AS n FROM mem GROUP BY request_id),
+rs AS (SELECT r.request_id, r.user_id, r.input_tokens, r.message_count, coalesce(c.n, 0) AS mem_n,
+    coalesce(st.n, 0) AS st_n, short_text, memory_text FROM rq r LEFT JOIN cnt c
+    ON c.request_id = r.request_id LEFT JOIN st ON st.user_id = r.user_id LEFT JOIN mblock b
+    ON b.request_id = r.request_id),
+body AS (SELECT m.*, mem_n = 0 AND st_n = 0 AS plain, short_text, memory_text,
+    max(ordinal) OVER (PARTITION BY m.request_id) = ordinal AS latest,
+    min(CASE WHEN role = 'system' THEN ordinal END) OVER (PARTITION BY m.request_id) AS fs
+    FROM rm m JOIN rs USING (request_id)),
+lines AS (SELECT request_id, CASE WHEN plain THEN 0 WHEN role = 'system' THEN 0 WHEN latest THEN 2
+        ELSE 1 END AS section, ordinal, role, CASE WHEN NOT plain AND ordinal = fs THEN
+        trim(concat_ws(chr(10) || chr(10), content, memory_text, short_text)) ELSE content END
+        AS content FROM body
+    UNION ALL SELECT DISTINCT request_id, -1, -1, 'system', concat_ws(chr(10) || chr(10),
+        memory_text, short_text) FROM body WHERE NOT plain AND fs IS NULL),
+compiled AS (SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id
+    ORDER BY section, ordinal) - 1 AS INT) AS position, role, content FROM lines)"""
+
+
+def _compiled(spark, sf, budget: int = O.V.DEFAULT_BUDGET) -> tuple[DataFrame, DataFrame]:
+    return compile_.compile_context(
+        _asked(spark, sf), P.utterance_items(spark, sf), P.short_term_at_end(spark, sf), budget)
+
+
+@query("compiled_messages", COMPILED_SQL + """
+SELECT request_id, position, role, content FROM compiled""")
+def compiled_messages(spark, sf):
+    return _compiled(spark, sf)[0]
+
+
+@query("compiled_stats", COMPILED_SQL + f""",
+tk AS (SELECT request_id, CAST(sum(3 + {O.tokens('content')}) + 3 AS BIGINT) AS total_tokens,
+    count(*) AS messages_out FROM compiled GROUP BY request_id)
+SELECT rs.request_id, rs.user_id, 8000 AS budget, mem_n = 0 AND st_n = 0 AS pass_through,
+    total_tokens, input_tokens, messages_out, mem_n AS memories_used, st_n AS short_term_used,
+    message_count + mem_n AS selected_count, total_tokens > 8000 AS over_budget
+FROM rs JOIN tk USING (request_id)""")
+def compiled_stats(spark, sf):
+    return _compiled(spark, sf)[1]
+
+
+@query("compiled_small_budget")
+def compiled_small_budget(spark, sf):
+    """Budget 300: most conversations overflow, so selection decides."""
+    return _compiled(spark, sf, 300)[1]
+
+
+@query("budget_totals", MESSAGE_SCORES_SQL + """
+SELECT request_id, 300 AS budget, CAST(sum(CASE WHEN mandatory THEN token_cost ELSE 0 END)
+    AS BIGINT) AS mandatory_tokens, CAST(sum(CASE WHEN mandatory THEN 0 ELSE token_cost END)
+    AS BIGINT) AS optional_tokens, count(*) FILTER (NOT mandatory) AS optional_count,
+    CAST(300 - sum(CASE WHEN mandatory THEN token_cost ELSE 0 END) AS BIGINT) AS remaining
+FROM ms GROUP BY request_id""")
+def budget_totals(spark, sf):
+    said = _asked(spark, sf)
+    return select.budget_totals(compile_.message_items(
+        said, compile_.prepare_requests(said, 300)))
+
+
+# --- consolidation -------------------------------------------------------------------
+
+def _field_sql() -> str:
+    own = "lower(trim(coalesce(predicate, '')))"
+    pattern = r"(?:^|[.:])(" + "|".join(O.V.STACK_FIELDS) + r")$"
+    text = "lower(coalesce(value, '') || ' ' || coalesce(content, ''))"
+    by_value = " ".join(f"WHEN {O.m(text, p)} THEN {O.q(f)}" for f, p in O.V.STACK_VALUE_FIELDS)
+    return (f"CASE WHEN {own} = '' OR {own} LIKE 'disliked\\_%' ESCAPE '\\' OR {own} LIKE "
+            f"'favorite\\_%' ESCAPE '\\' THEN NULL WHEN {own} IN {O.in_list(O.V.STACK_FIELDS)} "
+            f"THEN {O.lookup(own, O.V.STACK_FIELDS)} WHEN {O.m('topic_key', pattern)} THEN "
+            f"{O.lookup(O.g('lower(topic_key)', pattern, 1), O.V.STACK_FIELDS)} "
+            f"{by_value} END")
+
+
+CLUSTER_SQL = MEMORY_SQL + f""",
+fld AS (SELECT *, {_field_sql()} AS field FROM items WHERE status = 'active'),
+cl AS (SELECT *, CASE WHEN lower(scope) = 'user' OR lower(subject) = 'user' THEN 'user'
+    ELSE 'project' END || '.tech_stack' AS cluster FROM fld WHERE field IS NOT NULL),
+big AS (SELECT user_id, cluster, count(*) AS size FROM cl GROUP BY ALL HAVING count(*) >= 3),
+vals AS (SELECT cl.*, trim(coalesce(nullif(value, ''), content)) AS field_value FROM cl
+    JOIN big USING (user_id, cluster)),
+ranked AS (SELECT *, row_number() OVER w AS rn, first_value(field_value) OVER w AS kept,
+    first_value(item_id) OVER w AS winner_id FROM vals WINDOW w AS (
+    PARTITION BY user_id, cluster, field ORDER BY confidence DESC, s_at, item_id)),
+seen AS (SELECT user_id, cluster, field, min(s_at) AS first_seen FROM vals GROUP BY ALL)"""
+
+
+@query("stack_clusters", CLUSTER_SQL + """
+SELECT user_id, cluster, size, size AS atomics, false AS has_record FROM big""")
+def stack_clusters(spark, sf):
+    return consolidate.find_clusters(P.utterance_items(spark, sf))
+
+
+@query("stack_conflicts", CLUSTER_SQL + """
+SELECT user_id, cluster, field, item_id, field_value AS dropped, kept, winner_id,
+    'kept ' || kept || ' due to higher confidence' AS resolution FROM ranked
+WHERE lower(field_value) <> lower(kept)""")
+def stack_conflicts(spark, sf):
+    return consolidate.field_conflicts(consolidate.field_values(P.utterance_items(spark, sf)))
+
+
+@query("consolidated_records", CLUSTER_SQL + """,
+win AS (SELECT r.*, first_seen FROM ranked r JOIN seen USING (user_id, cluster, field)
+    WHERE rn = 1),
+agg AS (SELECT user_id, cluster, count(*) AS field_count, string_agg(field || '=' || field_value,
+    ', ' ORDER BY first_seen, field) AS body, '{' || string_agg('"' || field || '":"' ||
+    field_value || '"', ',' ORDER BY first_seen, field) || '}' AS value FROM win GROUP BY ALL
+    HAVING count(*) >= 2),
+uniq AS (SELECT DISTINCT user_id, cluster, item_id, confidence, importance, stability FROM win),
+sc AS (SELECT user_id, cluster, round(round(avg(confidence), 9), 3) AS confidence,
+    round(greatest(0.95::DOUBLE, max(importance)), 3) AS importance, greatest(0.85::DOUBLE,
+    max(stability)) AS s FROM uniq GROUP BY ALL),
+src AS (SELECT user_id, cluster, count(DISTINCT item_id) AS source_count FROM vals GROUP BY ALL)
+SELECT a.user_id, a.cluster, 'Tech Stack: ' || body AS content, a.value, sc.confidence,
+    sc.importance, CASE WHEN s >= 0.95 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END AS stability,
+    CASE WHEN s >= 0.95 THEN 'permanent' ELSE 'long-term' END AS stability_label, source_count,
+    CAST(field_count AS INT) AS field_count, 'Merged ' || field_count || ' stack fields from ' ||
+    source_count || ' memories.' AS note FROM agg a JOIN sc USING (user_id, cluster)
+    JOIN src USING (user_id, cluster)""")
+def consolidated_records(spark, sf):
+    return consolidate.consolidate(P.utterance_items(spark, sf)).drop(
+        "type", "topic_key", "scope", "subject", "predicate")
+
+
+@query("consolidated_sources", CLUSTER_SQL + """,
+many AS (SELECT user_id, cluster FROM vals GROUP BY ALL HAVING count(DISTINCT field) >= 2)
+SELECT user_id, cluster, item_id FROM vals JOIN many USING (user_id, cluster)""")
+def consolidated_sources(spark, sf):
+    return consolidate.superseded_by_consolidation(P.utterance_items(spark, sf))
+
+
+# --- rates and evaluation --------------------------------------------------------------
+
+@query("rate_counts", """
+SELECT event_id, user_id, n AS request_count, n > 3 AS over_limit, CASE WHEN n > 3 THEN
+    greatest(CAST(ceil((oldest + 86400000000 - us) / 1000000.0) AS BIGINT), 1) ELSE 0 END
+    AS retry_after
+FROM (SELECT *, count(*) OVER w AS n, min(us) OVER w AS oldest FROM (SELECT *, epoch_us(ts) AS us
+    FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING
+    AND CURRENT ROW))""")
+def rate_counts(spark, sf):
+    rows = rates.rate_counts(S.table(spark, sf, "events"), "user_id", 3, 86400)
+    return rows.select("event_id", "user_id", "request_count", "over_limit",
+                       F.coalesce("retry_after", F.lit(0)).cast("long").alias("retry_after"))
+
+
+@query("latency_report", """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value)
+    AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, n, round(avg(value), 1) AS avg_ms,
+    min(CASE WHEN rn = least(n - 1, floor(n * 0.5::DOUBLE)) + 1 THEN value END) AS p50_ms,
+    min(CASE WHEN rn = least(n - 1, floor(n * 0.95::DOUBLE)) + 1 THEN value END) AS p95_ms
+FROM r GROUP BY ALL""")
+def latency_report(spark, sf):
+    return evaluate.latency_report(S.table(spark, sf, "events"), "event_type", "value")
+
+
+@query("recent_messages", """
+SELECT conv_id, ordinal, role FROM (SELECT conv_id, CAST(turn AS INT) AS ordinal, role,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+WHERE rn <= 3""")
+def recent_messages(spark, sf):
+    return evaluate.recent_messages(S.conversation_messages(spark, sf), 3).select(
+        F.col("request_id").alias("conv_id"), "ordinal", "role")
+
+
+@query("compression_report", COMPILED_SQL + f""",
+tk AS (SELECT request_id, CAST(sum(3 + {O.tokens('content')}) + 3 AS BIGINT) AS compiled_tokens
+    FROM compiled GROUP BY request_id),
+fl AS (SELECT request_id, CAST(sum(3 + {O.tokens('content')}) + 3 AS BIGINT) AS full_tokens,
+    CAST(sum(CASE WHEN rn <= 10 THEN 3 + {O.tokens('content')} ELSE 0 END) + 3 AS BIGINT)
+    AS recent_tokens FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+        ORDER BY ordinal DESC) AS rn FROM rm) GROUP BY request_id)
+SELECT request_id, full_tokens, recent_tokens, compiled_tokens,
+    round(100.0::DOUBLE * (full_tokens - compiled_tokens) / full_tokens, 1) AS reduction_pct
+FROM fl JOIN tk USING (request_id)""")
+def compression_report(spark, sf):
+    return evaluate.compression_report(_asked(spark, sf), _compiled(spark, sf)[1], 10)
+
+
+@query("cost_report", f"""
+WITH t AS (SELECT role AS variant, avg({O.tokens('text')}) AS prompt_tokens FROM conversations
+    GROUP BY role), s AS (SELECT unnest([1, 100, 1000, 10000]) AS conversations)
+SELECT variant, prompt_tokens, conversations, round((prompt_tokens * 0.15::DOUBLE + 3.0::DOUBLE)
+    / 1e6 * conversations, 4) AS cost_usd FROM t, s""")
+def cost_report(spark, sf):
+    spent = evaluate.text_tokens(S.table(spark, sf, "conversations"), "text").groupBy(
+        F.col("role").alias("variant")).agg(F.avg("tokens").alias("prompt_tokens"))
+    return evaluate.cost_report(spent, [1, 100, 1000, 10000])
+
+
+RECALL_SQL = MEMORY_SQL + """,
+asked AS (SELECT e.event_id, e.event_type, e.user_id, 'User' || e.user_id || ' / alice' AS expected
+    FROM events e),
+answers AS (SELECT a.*, coalesce((SELECT string_agg(content, '; ' ORDER BY item_id) FROM items i
+    WHERE i.user_id = a.user_id AND status = 'active' AND type = 'fact'), '') AS answer
+    FROM asked a),
+graded AS (SELECT *, contains(lower(answer), lower(expected)) OR len(list_filter(string_split(
+    lower(expected), '/'), lambda p: contains(lower(answer), trim(p)))) > 0 AS correct
+    FROM answers)"""
+
+
+@query("recall_report", RECALL_SQL + """
+SELECT event_type, count(*) AS questions, count(*) FILTER (correct) AS correct,
+    round(avg(CAST(correct AS DOUBLE)), 4) AS accuracy FROM graded GROUP BY event_type""")
+def recall_report(spark, sf):
+    known = P.utterance_items(spark, sf).filter("status = 'active' and type = 'fact'").groupBy(
+        "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct("item_id", "content"))), lambda x: x["content"]), "; ").alias("answer"))
+    asked = S.table(spark, sf, "events").select(
+        "event_id", "event_type", "user_id",
+        F.concat(F.lit("User"), "user_id", F.lit(" / alice")).alias("expected"))
+    answers = asked.join(known, "user_id", "left").na.fill("", ["answer"])
+    return evaluate.recall_report(answers, ["event_type"])
+
+
+@query("leak_report", MEMORY_SQL + """,
+secrets AS (SELECT DISTINCT user_id, 'User' || user_id AS secret FROM events)
+SELECT s.user_id AS owner_id, i.user_id AS reader_id, i.item_id AS output_id, s.secret
+FROM items i JOIN secrets s ON s.user_id <> i.user_id AND contains(i.content, s.secret)
+WHERE i.status = 'active'""")
+def leak_report(spark, sf):
+    """Name prefixes make some names occur inside others, so the report is not empty."""
+    secrets = S.table(spark, sf, "events").select("user_id").distinct().withColumn(
+        "secret", F.concat(F.lit("User"), "user_id"))
+    outputs = P.utterance_items(spark, sf).filter("status = 'active'").select(
+        "user_id", F.col("item_id").alias("output_id"), F.col("content").alias("text"))
+    return evaluate.leak_report(secrets, outputs)
+
+
+@query("transcripts", """
+WITH t AS (SELECT conv_id, CAST(count(*) AS INT) AS turns FROM conversations GROUP BY 1),
+n AS (SELECT conv_id, turns, CAST(unnest(range(turns)) AS INT) AS n FROM t)
+SELECT conv_id, turns, n * 2 AS ordinal, 'user' AS role, CASE n % 10
+    WHEN 0 THEN 'My name is User' || n || '.' WHEN 1 THEN 'I am building Project' || n || '.'
+    WHEN 2 THEN 'I prefer MUI for project ' || n || '.'
+    WHEN 3 THEN 'I prefer TypeScript for project ' || n || '.'
+    WHEN 4 THEN 'The region is eu-west-' || n % 3 || '.'
+    WHEN 5 THEN 'The alert channel is #team-' || n || '.'
+    WHEN 6 THEN 'The stack uses Postgres for project ' || n || '.'
+    WHEN 7 THEN 'The budget is ' || n * 1000 || ' dollars.'
+    WHEN 8 THEN 'The deadline is Q' || (n % 4 + 1) || '.' ELSE 'The owner is Alice' || n || '.'
+    END AS content FROM n
+UNION ALL SELECT conv_id, turns, n * 2 + 1, 'assistant', 'ok' FROM n""")
+def transcripts(spark, sf):
+    sized = S.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.count("*").cast("int").alias("turns"))
+    return evaluate.make_transcripts(sized, "turns")
+
+
+# --- similarity (exact subsequence ratio has no SQL form; tested by brute force) -------
+
+@query("near_duplicates")
+def near_duplicates(spark, sf):
+    items = P.utterance_items(spark, sf).filter("status = 'active'")
+    said = P.routed_utterances(spark, sf).filter("bucket = 'store'").select(
+        "user_id", "seq", "pos", "type", F.col("candidate_content").alias("content"))
+    return similarity.near_duplicates(said, items.select(
+        "user_id", "type", "content", "item_id", "started_seq"))
+
+
+@query("information_gain")
+def information_gain(spark, sf):
+    items = P.utterance_items(spark, sf).filter("status = 'active'")
+    said = P.routed_utterances(spark, sf).filter("bucket = 'store'").select(
+        "user_id", "seq", "pos", "type", F.col("candidate_content").alias("content"))
+    return similarity.information_gain(said, items.select("user_id", "type", "content"))
