@@ -16,14 +16,16 @@ from engram.functions.text import (
     normalize_text, normalize_utterance, ranked_keywords, redact, slugify,
 )
 from engram.functions import similarity
+from engram.functions.extended import local_facts, memory_gate
 from engram.operators import compile as compile_
 from engram.operators import (
-    consolidate, context, evaluate, extract, memory, rates, retrieve, select,
+    consolidate, context, evaluate, external, extract, memory, rates, retrieve, select,
 )
 from engram.operators import messages as M
 from engram.plans import oracle as O
 from engram.plans import pipeline as P
 from engram.sources import tables as S
+from engram.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1030,3 +1032,237 @@ def information_gain(spark, sf):
     said = P.routed_utterances(spark, sf).filter("bucket = 'store'").select(
         "user_id", "seq", "pos", "type", F.col("candidate_content").alias("content"))
     return similarity.information_gain(said, items.select("user_id", "type", "content"))
+
+
+# --- extended rules, gate, external facts -------------------------------------------
+
+def _extended_sql() -> str:
+    """Every extended rule over every clause, in rule order, as UNION ALL branches."""
+    V = O.V
+    ok = "{v} <> '' AND NOT " + O.invalid("{v}")
+
+    def val(p, x="x"):
+        return O.clean(O.g(x, p, "val"))
+
+    def first(options):
+        """First option whose condition holds -> struct."""
+        return "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in options) + " END"
+
+    def row(entity, attribute, value, mtype, key, scope, state, conf, meta="''"):
+        return (f"struct_pack(entity := {entity}, attribute := {attribute}, value := {value}, "
+                f"type := {O.q(mtype)}, key := {key}, scope := {O.q(scope)}, state := "
+                f"{O.q(state)}, confidence := {conf}::DOUBLE, meta := {meta})")
+
+    def simple(p, attribute, mtype, state, conf, scope="user", v=None):
+        v = v or val(p)
+        return (ok.format(v=v), row("'user'", O.q(attribute), v, mtype,
+                                    O.q(f"user.{attribute}"), scope, state, conf))
+    role = val(V.IDENTITY_ROLE)
+    identity = [simple(p, a, "fact", "current", c) for a, p, c in V.IDENTITY_RULES]
+    identity.append((ok.format(v=role) + f" AND lower({role}) NOT IN "
+                     + O.in_list(V.TRANSIENT_IDENTITY_WORDS),
+                     row("'user'", "'occupation'", role, "fact", "'user.occupation'", "user",
+                         "current", 0.95)))
+    for a, p in V.IDENTITY_PLACE_RULES:
+        v = val(p)
+        shown = (f"coalesce(nullif(regexp_extract({v}, '\\d+'), ''), {v})" if a == "age" else v)
+        identity.append((ok.format(v=v), row("'user'", O.q(a), shown, "fact",
+                                             O.q(f"user.{a}"), "user", "current", 1.0)))
+    ownership = []
+    for p, c in V.OWNERSHIP_RULES:
+        attr = O.clean(O.g("x", p, "attr")) if "<attr>" in p else "'ownership'"
+        ownership.append((
+            ok.format(v=val(p)) + f" AND lower({val(p)}) NOT IN "
+            + O.in_list(V.TRANSIENT_POSSESSIONS),
+            row(attr if "<attr>" in p else "'user'", attr, val(p), "fact",
+                f"'user.' || {O.slug(attr)}", "user", "current", c)))
+    usage = []
+    for p, c in V.USAGE_RULES:
+        usage.append((ok.format(v=val(p)) + " AND " + O.m("x", V.USAGE_NEGATION),
+                      row("'user'", "'technology'", val(p), "fact", "'user.technology'", "user",
+                          "stopped", 0.95)))
+        usage.append(simple(p, "technology", "fact", "current", c))
+    stopped = val(V.STOPPED_USAGE)
+    taste, dislike, fav = [], [], []
+    for p, c in V.LOCAL_PREFERENCE_RULES:
+        over = O.clean(O.g("x", p, "over")) if "<over>" in p else "''"
+        d = O.domain(val(p), over)
+        taste.append((ok.format(v=val(p)), row(
+            "'user'", d, val(p), "preference", f"'user.preference.' || {O.slug(d)}", "user",
+            "current", c, over)))
+    for p, c in V.LOCAL_DISLIKE_RULES:
+        dislike.append((ok.format(v=val(p)) + " AND NOT " + O.m("x", V.NOT_A_DISLIKE), row(
+            "'user'", "'dislike'", val(p), "preference", f"'user.dislike.' || {O.slug(val(p))}",
+            "user", "current", c)))
+    for p, c in V.FAVORITE_RULES:
+        a = O.american(O.strip(O.g("x", p, "attr")))
+        name = (f"'favorite_' || CASE WHEN {O.m(a, V.FAVORITE_DOMAIN)} THEN coalesce("
+                f"{O.lookup(a, V.FAVORITE_DOMAIN_NAMES)}, {a}) ELSE {O.slug(a)} END")
+        fav.append((f"{val(p)} <> '' AND NOT {O.noise_value(val(p))}", row(
+            "'user'", name, val(p), "preference", f"'user.' || {name}", "user", "current", c)))
+    action = O.clean(O.g("x", V.CONDITIONAL_ACTION, "val"))
+    rules = [
+        identity, ownership, usage,
+        [simple(V.PAST_USAGE, "technology", "fact", "past", 0.95)],
+        [(ok.format(v=stopped), row("'user'", "'technology'", stopped, "fact",
+                                    "'user.technology'", "user", "stopped", 0.95,
+                                    O.clean(O.g("x", V.STOPPED_USAGE, "reason"))))],
+        taste, dislike, fav,
+        [simple(V.GOAL_RULE, "goal", "goal", "planned", 0.95)],
+        [simple(V.PLAN_RULE, "plan", "goal", "planned", 0.95)],
+        [simple(V.POSSIBLE_PLAN_RULE, "plan", "goal", "possible", 0.7)],
+        [simple(V.DECISION_RULE, "decision", "decision", "current", 0.95)],
+        [simple(V.TEMPORARY_RULE, "temporary_state", "temporary_state", "current", 0.4,
+                "session")],
+        [(f"{O.m('x', V.CONDITIONAL_RULE)} AND {O.m('x', V.CONDITIONAL_ACTION)}",
+          row("'user'", "'plan'", action, "goal", "'user.plan'", "user", "conditional", 0.6))],
+    ]
+    return " UNION ALL ".join(
+        f"SELECT seq, cidx, {i} AS ridx, {first(r)} AS f FROM clause" for i, r in enumerate(rules))
+
+
+# RE2 has no lookaround, so clause gaps are marked in two passes: after sentence ends, then
+# before first-person and contrast joins (keeping the word that follows).
+_MARK = "chr(1)"
+CLAUSE_SQL = f"""
+m1 AS (SELECT event_id AS seq, regexp_replace(x, '([.;!?])\\s+([A-Za-z"''(])',
+        '\\1' || {_MARK} || '\\2', 'g') AS x
+    FROM (SELECT event_id, {S.statement_text()} AS x FROM {O.EVENTS_K})),
+m2 AS (SELECT seq, regexp_replace(x, ',\\s*but\\s+', {_MARK}, 'gi') AS x FROM m1),
+m3 AS (SELECT seq, regexp_replace(x, '\\s+but\\s+((?:now|these\\s+days|currently)\\b)',
+    {_MARK} || '\\1', 'gi') AS x FROM m2),
+m4 AS (SELECT seq, regexp_replace(x, ',\\s+((?:and\\s+)?(?:now|i|we)\\b)', {_MARK} || '\\1',
+    'gi') AS x FROM m3),
+m5 AS (SELECT seq, regexp_replace(x, '\\s+and\\s+((?:i|we|my)\\b)', {_MARK} || '\\1', 'gi') AS x
+    FROM m4),
+clause AS (SELECT seq, cidx, {O.strip('y')} AS x FROM (SELECT seq, unnest(string_split(x, {_MARK}))
+    AS y, generate_subscripts(string_split(x, {_MARK}), 1) AS cidx FROM m5)
+    WHERE {O.strip('y')} <> '')"""
+
+
+@query("facts_extended", f"""
+WITH {CLAUSE_SQL}, found AS ({_extended_sql()}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seq, f.key, f.value ORDER BY cidx, ridx)
+    AS rn FROM found WHERE f IS NOT NULL)
+SELECT seq, f.entity AS entity, f.attribute AS attribute, f.value AS value, f.type AS type,
+    f.key AS key, f.scope AS scope, f.state AS state, f.confidence AS confidence, f.meta AS meta
+FROM ranked WHERE rn = 1""")
+def facts_extended(spark, sf):
+    rows = P.archived_statements(spark, sf).selectExpr(
+        "seq", f"{local_facts(col('content'))} AS facts")
+    return rows.selectExpr("seq", "explode_outer(facts) AS f").filter("f is not null").selectExpr(
+        "seq", *[f"f.{c}" for c in ("entity", "attribute", "value", "type", "key", "scope",
+                                    "state", "confidence")],
+        "coalesce(f.metadata['preferred_over'], f.metadata['reason'], '') AS meta")
+
+
+@query("memory_gate")
+def gate_of_statements(spark, sf):
+    """Gate of utterances and statements (its clause split needs lookaround)."""
+    said = P.archived_statements(spark, sf).select("seq", "content").unionByName(
+        P.archived_utterances(spark, sf).selectExpr("-1 - seq AS seq", "content"))
+    return said.selectExpr("seq", f"{memory_gate(col('content'))} AS g").selectExpr(
+        "seq", "g.external", "g.confidence", "g.reason", "array_join(g.kinds, ',') AS kinds")
+
+
+@query("candidates_extended")
+def candidates_extended(spark, sf):
+    return extract.extract_candidates(P.archived_statements(spark, sf), "extended").select(
+        "seq", "pos", F.col("candidate_content").alias("content"), "type", "topic_key",
+        "confidence")
+
+
+def _external_rows(spark, sf) -> DataFrame:
+    """Facts an external extractor might have returned for the statements: the subject and
+    the rest of the sentence, with some bad rows."""
+    said = P.archived_statements(spark, sf).withColumn("k", F.col("seq") % 11)
+    kinds = F.element_at(F.array(*[F.lit(x) for x in (
+        "uses", "preference", "hate", "full_name", "plan", "goal", "db", "mood", "job",
+        "experiment", "project")]), (F.col("k") + 1).cast("int"))
+    types = F.element_at(F.array(*[F.lit(x) for x in (
+        "usage", "preference", "dislike", "identity", "plan", "goal", "decision", "fact", "odd",
+        "temporary", "identity")]), (F.col("k") + 1).cast("int"))
+    one = F.struct(
+        F.lit("user").alias("entity"), kinds.alias("attribute"),
+        F.regexp_extract("content", r"(\S+ ?\S*)[.?]?$", 1).alias("value"), types.alias("type"),
+        F.lit("current").alias("state"), F.lit("user").alias("scope"),
+        (F.col("k") / 9.0).alias("confidence"), F.lit("").alias("rawText"))
+    return said.select(F.col("seq").alias("message_id"), F.col("content").alias("message"),
+                       F.to_json(F.struct(F.array(one, one).alias("facts"))).alias("facts_json"))
+
+
+def _external_sql() -> str:
+    kinds = ("uses preference hate full_name plan goal db mood job experiment project").split()
+    types = "usage preference dislike identity plan goal decision fact odd temporary identity".split()
+    return f"""
+st AS (SELECT event_id AS seq, {S.statement_text()} AS content FROM {O.EVENTS_K}),
+ext AS (SELECT seq, pos, list_extract({O.arr(kinds)}, CAST(seq % 11 AS INT) + 1) AS attribute,
+    list_extract({O.arr(types)}, CAST(seq % 11 AS INT) + 1) AS type, (seq % 11) / 9.0::DOUBLE
+    AS confidence, regexp_extract(content, '(\\S+ ?\\S*)[.?]?$', 1) AS value FROM st,
+    (SELECT unnest([0, 1]) AS pos))"""
+
+
+@query("external_facts_accepted", f"""
+WITH {_external_sql()}
+SELECT seq AS message_id, pos, attribute, {O.strip('value')} AS value,
+    {O.lookup('type', O.V.EXTERNAL_TYPES)} AS type, confidence FROM ext
+WHERE {O.strip('value')} <> '' AND confidence <= 1.0 AND type <> 'odd'""")
+def external_facts_accepted(spark, sf):
+    return external.parse_facts(_external_rows(spark, sf))[0].select(
+        "message_id", "pos", "fact.attribute", "fact.value", "fact.type", "fact.confidence")
+
+
+@query("external_facts_rejected", f"""
+WITH {_external_sql()}
+SELECT seq AS message_id, pos, CASE WHEN {O.strip('value')} = '' THEN 'missing field'
+    WHEN confidence > 1.0 THEN 'confidence outside 0..1' ELSE 'unknown type' END AS reason
+FROM ext WHERE {O.strip('value')} = '' OR confidence > 1.0 OR type = 'odd'""")
+def external_facts_rejected(spark, sf):
+    return external.parse_facts(_external_rows(spark, sf))[1]
+
+
+@query("external_facts_validated")
+def external_facts_validated(spark, sf):
+    accepted, _ = external.parse_facts(_external_rows(spark, sf))
+    return external.validated_candidates(external.validate(external.per_message(accepted))).drop(
+        "metadata")
+
+
+@query("hybrid_facts")
+def hybrid_facts(spark, sf):
+    accepted, _ = external.parse_facts(_external_rows(spark, sf))
+    return external.hybrid_facts(external.per_message(accepted)).selectExpr(
+        "message_id", "route", "size(chosen) AS facts")
+
+
+# --- streams ---------------------------------------------------------------------------
+
+@query("stream_dedupe", """
+SELECT event_type, count(DISTINCT (user_id, props)) AS messages FROM events GROUP BY event_type""")
+def stream_dedupe(spark, sf):
+    """Keys are kept for longer than the events last, so the result is the distinct count."""
+    events = jobs.stream_table(spark, sf, "events").withColumn(
+        "ts", F.col("ts").cast("timestamp")).withColumn(
+        "message_key", F.md5(F.concat_ws("|", "event_type", "props")))
+    kept = jobs.run_to_end(jobs.stream_dedupe(events, "400 days"), "dedupe")
+    return kept.groupBy("event_type").agg(F.count("*").alias("messages"))
+
+
+@query("stream_rates")
+def stream_rates(spark, sf):
+    events = jobs.stream_table(spark, sf, "events").withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+    return jobs.run_to_end(jobs.stream_rates(events, "user_id", "6 hours", "2 hours"), "rates")
+
+
+@query("stream_context")
+def stream_context(spark, sf):
+    log = context.context_log(P.routed_utterances(spark, sf)).withColumn(
+        "ts", F.col("ts").cast("timestamp"))
+    return jobs.run_to_end(jobs.stream_context(jobs.as_stream(log, "context", "seq")), "context")
+
+
+@query("stream_memory")
+def stream_memory(spark, sf):
+    rows = jobs.candidate_rows(P.routed_utterances(spark, sf))
+    return jobs.run_to_end(jobs.stream_memory(jobs.as_stream(rows, "memory", "seq")), "memory")
