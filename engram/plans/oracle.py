@@ -495,8 +495,8 @@ def chain_cte(name: str, events: str) -> str:
     arg_min(content, (seq, pos)) AS content, arg_min(state, (seq, pos)) AS state,
     arg_min(is_correction, (seq, pos)) AS is_correction,
     arg_min(close_status, (seq, pos)) AS close_status,
-    arg_min(c_target, (seq, pos)) AS c_target, arg_min(c_old, (seq, pos)) AS c_old,
-    arg_min(c_new, (seq, pos)) AS c_new, arg_max(subject, (seq, pos)) AS subject,
+    first(c_target ORDER BY seq, pos) AS c_target, first(c_old ORDER BY seq, pos) AS c_old,
+    first(c_new ORDER BY seq, pos) AS c_new, arg_max(subject, (seq, pos)) AS subject,
     arg_max(predicate, (seq, pos)) AS predicate, arg_max(val, (seq, pos)) AS value,
     arg_max(item_scope, (seq, pos)) AS scope, max(confidence) AS confidence,
     max(importance) AS importance, max(stability - 0.08 * idx + CASE WHEN prev IS NULL
