@@ -16,11 +16,9 @@ VALUE_WORD = r"[a-z0-9+#.-]+"
 def all_low_info(normalized: Column) -> Column:
     """Blank, a listed phrase, or made of listed words only."""
     phrases = str_array(V.LOW_INFO_PHRASES)
-    return (
-        (normalized == "")
-        | normalized.isin(*V.LOW_INFO_PHRASES)
-        | F.forall(F.split(normalized, " "), lambda w: F.array_contains(phrases, w))
-    )
+    return let(normalized, lambda n: (
+        (n == "") | n.isin(*V.LOW_INFO_PHRASES)
+        | F.forall(F.split(n, " "), lambda w: F.array_contains(phrases, w))))
 
 
 def is_low_info(plain: Column, role: Column) -> Column:
@@ -69,11 +67,9 @@ def wants_history(text: Column) -> Column:
 
 def is_noise(text: Column) -> Column:
     """Only filler words left after dropping punctuation."""
-    flat = normalize_utterance(text)
     filler = str_array(V.NOISE_WORDS)
-    return (flat == "") | F.forall(
-        F.split(flat, " "), lambda w: F.array_contains(filler, w)
-    )
+    return let(normalize_utterance(text), lambda flat: (flat == "") | F.forall(
+        F.split(flat, " "), lambda w: F.array_contains(filler, w)))
 
 
 def is_preference_noise(value: Column) -> Column:

@@ -105,18 +105,26 @@ def score_messages(messages: DataFrame) -> DataFrame:
     return _plus(scored, item_value(*[F.col(c) for c in SIGNALS]).alias("score"))
 
 
-def score_memories(items: DataFrame) -> DataFrame:
+def describe_memories(items: DataFrame) -> DataFrame:
+    """Adds what scoring needs of an item alone (words of content and topic, token cost), so
+    that it is computed per item and not per request."""
+    topic = F.coalesce(F.col("topic_key"), F.lit(""))
+    return _plus(
+        items, keywords(F.col("content")).alias("_words"),
+        keywords(F.regexp_replace(topic, "[._-]", " ")).alias("_topic_terms"),
+        keywords(topic).alias("_topic_words"),
+        (estimate_tokens(F.concat(F.col("type"), F.lit(": "), F.col("content"))) + 2)
+        .alias("token_cost"))
+
+
+def score_memories(rows: DataFrame) -> DataFrame:
     """Selectable items of retrieved memories; zero scores fall back to defaults.
 
-    Needs content, type, topic_key, scope, status, the five scores and query_words;
-    adds token_cost, mandatory, relevance and score and replaces zero signals.
+    ``rows``: described items with query_words; adds mandatory, relevance and score and
+    replaces zero signals.
     """
     query = F.col("query_words")
     topic = F.coalesce(F.col("topic_key"), F.lit(""))
-    rows = _plus(
-        items, keywords(F.col("content")).alias("_words"),
-        keywords(F.regexp_replace(topic, "[._-]", " ")).alias("_topic_terms"),
-        keywords(topic).alias("_topic_words"))
     bonus = F.when(F.size(F.array_intersect(query, F.col("_topic_terms"))) > 0,
                    overlap_relevance(F.col("_topic_words"), query)).otherwise(F.lit(0.0))
     base = overlap_relevance(F.col("_words"), query)
@@ -132,11 +140,10 @@ def score_memories(items: DataFrame) -> DataFrame:
         return F.when(F.coalesce(c, F.lit(0.0)) == 0, F.lit(fallback)).otherwise(c).alias(name)
     scores = {"confidence": 0.85, "importance": 0.8, "freshness": 0.9, "stability": 0.8,
               "information_gain": 0.75}
-    others = [c for c in items.columns if c not in scores]
+    described = ("_words", "_topic_terms", "_topic_words")
+    others = [c for c in rows.columns if c not in scores and c not in described]
     out = rows.selectExpr(*[str(c) for c in (
         *[F.col(c) for c in others], *[default(n, d) for n, d in scores.items()],
-        (estimate_tokens(F.concat(F.col("type"), F.lit(": "), F.col("content"))) + 2)
-        .alias("token_cost"),
         (durable & status.isin("active", "")).alias("mandatory"),
         F.when(status == "superseded", F.greatest(F.lit(0.35), kept * F.lit(0.85)))
         .otherwise(kept).alias("relevance"))])

@@ -116,8 +116,9 @@ def along(df: DataFrame, keys: list[str], order: list[str],
     """Runs ``walk`` over ordinary chains whole and over hot ones in chunks.
 
     The list of hot chains has at most rows / hot_rows entries."""
-    hot = cut_lineage(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys))
+    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
     if hot.isEmpty():
         return walk(df, Whole(keys, order))
+    hot = cut_lineage(hot)
     return walk(df.join(hot, keys, "left_anti"), Whole(keys, order)).unionByName(
         walk(df.join(hot, keys, "left_semi"), Split(keys, order, chunk)))
