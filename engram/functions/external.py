@@ -99,25 +99,35 @@ def metadata_map(**values: Expr) -> Expr:
     return let(pairs, lambda p: F.when(F.size(p) > 0, F.map_from_entries(p)))
 
 
-def _finalize(m: Expr, entity, attribute, value, state, scope, raw, confidence,
-              metadata) -> Expr:
-    """Array of one finished fact, or empty when it has no value or no clause of its own."""
-    attribute, state, scope = F.lit(attribute), F.lit(state), F.lit(scope)
+PROPOSAL_TYPE = ("struct<entity:string,attribute:string,value:string,state:string,"
+                 "scope:string,metadata:map<string,string>>")
+NO_PROPOSALS = F.array_of(()).cast(f"array<{PROPOSAL_TYPE}>")
+
+
+def propose(entity, attribute, value, state, scope, metadata) -> Expr:
+    """What a fact should become, as an array of one."""
+    return F.array_of([F.struct(
+        F.lit(entity).alias("entity"), F.lit(attribute).alias("attribute"),
+        F.lit(value).alias("value"), F.lit(state).alias("state"), F.lit(scope).alias("scope"),
+        F.lit(metadata).cast("map<string,string>").alias("metadata")).cast(PROPOSAL_TYPE)])
 
+
+def _finish(m: Expr, p: Expr, raw: Expr, confidence: Expr) -> Expr:
+    """Array of one finished fact, or empty when it has no value or no clause of its own."""
     def build(v):
         def anchored(clause):
-            own = F.when(attribute == "project", v).when(
-                attribute.isin(*V.USER_OWNED_ATTRIBUTES), "user").otherwise(entity)
-            where = (F.when(attribute == "project", "project")
-                     .when(attribute == "experiment", "session").otherwise(scope))
+            own = F.when(p["attribute"] == "project", v).when(
+                p["attribute"].isin(*V.USER_OWNED_ATTRIBUTES), "user").otherwise(p["entity"])
+            where = (F.when(p["attribute"] == "project", "project")
+                     .when(p["attribute"] == "experiment", "session").otherwise(p["scope"]))
             ok = ((v != "") & ~is_invalid_key(v)
                   & ((F.size(m["clauses"]) <= 1) | (clause != m["source"])))
             return F.when(ok, F.array_of([fact(
-                own, attribute, v, type_of(attribute, state), clause,
-                key_of(where, attribute, v), where, False, state, confidence, metadata)
-            ])).otherwise(EMPTY_FACTS)
+                own, p["attribute"], v, type_of(p["attribute"], p["state"]), clause,
+                key_of(where, p["attribute"], v), where, False, p["state"], confidence,
+                p["metadata"])])).otherwise(EMPTY_FACTS)
         return let(smallest_clause(m["source"], m["clauses"], v, raw), anchored)
-    return let(clean_value(F.lit(value)), build)
+    return let(clean_value(p["value"]), build)
 
 
 def atomic_values(value: Expr) -> Expr:
@@ -161,14 +171,16 @@ def _usage(m: Expr, f: Expr, attribute: Expr, clause: Expr) -> Expr:
     person = looks_like_person(entity, m["names"]) | (F.lower(entity) == "user")
     about = F.coalesce(m["project"], F.when(
         m["project_scoped"] | person | pronoun, "project").otherwise(entity))
-    return F.flatten(F.transform(single, lambda p: _finalize(
-        m, F.when(in_project, about).otherwise("user"), p["attr"], p["value"], state,
-        F.when(in_project, "project").otherwise("user"), clause, f["confidence"],
-        metadata_map(preferred_over=F.try_element_at(f["metadata"], "preferred_over"),
-                     condition=F.try_element_at(f["metadata"], "condition"), reason=reason))))
+    meta = metadata_map(preferred_over=F.try_element_at(f["metadata"], "preferred_over"),
+                        condition=F.try_element_at(f["metadata"], "condition"), reason=reason)
+    about_what = F.struct(
+        F.when(in_project, about).otherwise("user").alias("entity"), state.alias("state"),
+        F.when(in_project, "project").otherwise("user").alias("scope"), meta.alias("metadata"))
+    return let(about_what, lambda u: F.flatten(F.transform(single, lambda p: propose(
+        u["entity"], p["attr"], p["value"], u["state"], u["scope"], u["metadata"]))))
 
 
-def _aim(m: Expr, f: Expr, attribute: Expr, clause: Expr) -> Expr:
+def _aim(f: Expr, attribute: Expr, clause: Expr) -> Expr:
     """Goals and plans, with their condition."""
     given = F.coalesce(f["state"], "current")
     bare = strip(F.regexp_replace(
@@ -186,24 +198,21 @@ def _aim(m: Expr, f: Expr, attribute: Expr, clause: Expr) -> Expr:
             "conditional")).otherwise("planned")
         reject = (matches(value, V.CONDITION_FRAGMENT) | matches(strip(clause), r"^if\b")
                   | F.coalesce(F.lower(value) == F.lower(own), False))
-        return F.when(reject, EMPTY_FACTS).otherwise(_finalize(
-            m, "user", F.when(conditional | planned, "plan").otherwise("goal"),
-            F.when(value != "", value).otherwise(f["value"]), state, "user", clause,
-            f["confidence"], metadata_map(
+        return F.when(reject, NO_PROPOSALS).otherwise(propose(
+            "user", F.when(conditional | planned, "plan").otherwise("goal"),
+            F.when(value != "", value).otherwise(f["value"]), state, "user", metadata_map(
                 preferred_over=F.try_element_at(f["metadata"], "preferred_over"),
                 condition=condition, reason=F.try_element_at(f["metadata"], "reason"))))
     return let(clean_value(F.when(led != "", led).otherwise(bare)), build)
 
 
-def _taste(m: Expr, f: Expr, clause: Expr) -> Expr:
+def _taste(f: Expr) -> Expr:
     value, other = split_comparison(f["value"])
     over = F.coalesce(F.nullif(clean_value(other), ""),
                       F.try_element_at(f["metadata"], "preferred_over"))
-    return _finalize(m, "user", "preference", clean_value(value), "current", "user", clause,
-                     f["confidence"], metadata_map(
-                         preferred_over=over,
-                         condition=F.try_element_at(f["metadata"], "condition"),
-                         reason=F.try_element_at(f["metadata"], "reason")))
+    return propose("user", "preference", clean_value(value), "current", "user", metadata_map(
+        preferred_over=over, condition=F.try_element_at(f["metadata"], "condition"),
+        reason=F.try_element_at(f["metadata"], "reason")))
 
 
 def validated(m: Expr, f: Expr) -> Expr:
@@ -220,20 +229,21 @@ def validated(m: Expr, f: Expr) -> Expr:
             meta = f["metadata"]
 
             def plain(name, where, value=f["value"], at="current", kept=meta):
-                return _finalize(m, "user", name, value, at, where, clause, f["confidence"],
-                                 kept)
-            return (
+                return propose("user", name, value, at, where, kept)
+            proposals = (
                 F.when(hinted, plain("experiment", "session"))
-                .when(question, EMPTY_FACTS)
-                .when(prefers, _taste(m, f, clause))
+                .when(question, NO_PROPOSALS)
+                .when(prefers, _taste(f))
                 .when(disliked, plain("dislike", "user", F.regexp_replace(
                     f["value"], r"(?i)\s+anymore\s*\z", ""), kept=F.lit(None)))
                 .when(attribute.isin("goal", "plan") | (f["type"] == "goal"),
-                      _aim(m, f, attribute, clause))
+                      _aim(f, attribute, clause))
                 .when(attribute.isin("name", "occupation"), plain(attribute, "user"))
                 .when(attribute == "project", plain("project", "project"))
                 .when(attribute.isin("uses", "database"), _usage(m, f, attribute, clause))
                 .otherwise(plain("experiment", F.coalesce(f["scope"], "user"), at=state)))
+            return F.flatten(F.transform(proposals, lambda p: _finish(
+                m, p, clause, f["confidence"])))
         usable = ((strip(f["value"]) != "") & ~strip(f["value"]).endswith("?")
                   & ~is_invalid_key(f["attribute"]) & attribute.isNotNull())
         return F.when(usable, let(smallest_clause(
