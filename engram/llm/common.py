@@ -28,6 +28,31 @@ def texts(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
+def row_id():
+    """doc_id, or for a null id a number over 2^62 made from the text, for joins back to rows."""
+    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), made)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, rejected) -> DataFrame:
+    """The rows of docs that rejected(doc_id, text) does not name, with docs' columns.
+
+    Rows that share an id go together; rows without an id are told apart by their text.
+    """
+    name = fresh(docs, "_gone_id")
+    gone = rejected(docs.select(row_id().alias("doc_id"), "text")).select(
+        F.col("doc_id").alias(name))
+    return docs.join(gone, row_id() == F.col(name), "left_anti")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a result several jobs read into the shared folder and read it back."""
     spark = df.sparkSession
