@@ -12,15 +12,6 @@ MEMORY_TYPES = (
     "fact", "decision", "constraint", "preference", "goal", "architecture",
     "important_event", "active_task", "temporary_state",
 )
-STATUSES = ("active", "superseded", "revoked", "expired", "obsolete")
-RELATIONSHIPS = (
-    "supports", "contradicts", "supersedes", "derived_from", "related_to", "revokes",
-)
-SCOPES = ("user", "project", "session")
-FACT_STATES = (
-    "current", "past", "planned", "possible", "conditional", "stopped", "superseded",
-)
-BUCKETS = ("store", "context", "discard")
 
 # Snapshot list name per memory type (temporary state has none).
 SNAPSHOT_LISTS = {
@@ -471,12 +462,6 @@ INFO_GAIN_WRITE_THRESHOLD = 0.15
 NEAR_DUPLICATE = 0.9
 CORRECTION_SIMILARITY = 0.75
 MERGE_STABILITY_STEP = 0.08
-RULE_CONFIDENCE = {  # kind: (explicit, implicit)
-    "identity": (1.00, 0.85), "preference": (0.98, 0.75), "usage": (0.98, 0.70),
-    "stopped_usage": (0.98, 0.70), "past_usage": (0.95, 0.70), "plan": (0.95, 0.60),
-    "possible_plan": (0.70, 0.40), "goal": (0.95, 0.70), "decision": (0.95, 0.70),
-    "ownership": (0.95, 0.75), "temporary": (0.40, 0.25), "ambiguous": (0.70, 0.50),
-}
 STABILITY_LABELS = {
     "permanent": 1.0, "long-term": 0.85, "short-term": 0.5, "session": 0.25,
 }
@@ -630,18 +615,10 @@ GATE_KEYWORDS = (
     "switching", "migrating", "live", "living", "reside", "residing", "based", "stay",
     "staying", "hail", "from",
 )
-CLEAR_SKIP_REASONS = (
-    "empty", "pure_question", "low_info", "greeting_or_acknowledgement",
-    "general_knowledge_or_coding_request",
-)
 
 # --------------------------------------------------------------------------
 # External facts
 # --------------------------------------------------------------------------
-CANONICAL_ATTRIBUTES = (
-    "name", "occupation", "project", "uses", "database", "preference", "dislike",
-    "experiment", "goal", "plan",
-)
 ATTRIBUTE_ALIASES = {
     "name": "name", "full_name": "name", "fullname": "name",
     "occupation": "occupation", "job": "occupation", "role": "occupation",
@@ -709,7 +686,6 @@ GOAL_CONDITION_TAIL = r"\s+\b(?:if|unless)\b.+$"
 CONDITION_FRAGMENT = r"^(?:latency|pricing|cost|performance)\b"
 DATABASE_ROLE = r"\b(?:as|for)\s+(?:the\s+)?(?:database|db)\b"
 EXTERNAL_ACTIONS = ("NEW", "REINFORCE", "SUPERSEDES", "CONTRADICTS", "UPDATE", "DISCARD")
-EXTERNAL_DESTINATIONS = ("STORE", "CONTEXT", "DISCARD")
 MIN_EXTERNAL_CONFIDENCE = 0.4
 ENTITY_PRONOUNS_PROJECT = ("it", "this", "that", "the project", "the app", "the system", "project")
 ENTITY_PRONOUNS_USER = ("we", "our", "my")

@@ -124,9 +124,14 @@ def estimate_tokens(text: Column) -> Column:
 
 def message_tokens(content: Column, name: Column | None = None,
                    tool_call_id: Column | None = None,
-                   tool_calls: Column | None = None) -> Column:
-    """Tokens of one message: 3 overhead + content + name + tool ids + tool calls."""
-    total = F.lit(3).cast("long") + estimate_tokens(content)
+                   tool_calls: Column | None = None, parts: Column | None = None) -> Column:
+    """Tokens of one message: 3 overhead + content (or its parts) + name + tool ids + calls."""
+    body = estimate_tokens(content)
+    if parts is not None:
+        listed = F.aggregate(parts, F.lit(0).cast("long"),
+                             lambda acc, part: acc + estimate_tokens(part))
+        body = F.when(parts.isNotNull(), listed).otherwise(body)
+    total = F.lit(3).cast("long") + body
     for extra in (name, tool_call_id):
         if extra is not None:
             present = F.coalesce(extra, F.lit("")) != ""
@@ -186,16 +191,6 @@ def stability_label(score: Column) -> Column:
             .when(score >= 0.4, "short-term").otherwise("session"))
 
 
-def rule_confidence(kind: Column, explicit: Column) -> Column:
-    """Confidence per rule kind; unknown kinds count as ambiguous."""
-    def pick(i):
-        chain = F.lit(V.RULE_CONFIDENCE["ambiguous"][i])
-        for name, pair in V.RULE_CONFIDENCE.items():
-            chain = F.when(kind == name, F.lit(pair[i])).otherwise(chain)
-        return chain
-    return F.when(explicit, pick(0)).otherwise(pick(1))
-
-
 def title_text(name: Column) -> Column:
     """'tech_stack' -> 'Tech Stack'."""
     parts = F.transform(F.split(name, "_"), lambda w: capitalize_first(w))

@@ -110,15 +110,19 @@ class Split(Whole):
                         for n in firsts])
 
 
-def along(df: DataFrame, keys: list[str], order: list[str],
-          walk: Callable[[DataFrame, Whole], DataFrame],
-          hot_rows: int = HOT_CHAIN_ROWS, chunk: int = CHUNK) -> DataFrame:
-    """Runs ``walk`` over ordinary chains whole and over hot ones in chunks.
+def hot_chains(df: DataFrame, keys: list[str], hot_rows: int = HOT_CHAIN_ROWS) -> DataFrame | None:
+    """Chains of more than ``hot_rows`` rows (rows / hot_rows at most), or None.
+
+    One stored count, taken once for all walks over the same chains."""
+    hot = cut_lineage(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys))
+    return None if hot.isEmpty() else hot
 
-    The list of hot chains has at most rows / hot_rows entries."""
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    if hot.isEmpty():
+
+def along(df: DataFrame, keys: list[str], order: list[str],
+          walk: Callable[[DataFrame, Whole], DataFrame], hot: DataFrame | None = None,
+          chunk: int = CHUNK) -> DataFrame:
+    """Runs ``walk`` over ordinary chains whole and over the ``hot`` ones in chunks."""
+    if hot is None:
         return walk(df, Whole(keys, order))
-    hot = cut_lineage(hot)
     return walk(df.join(hot, keys, "left_anti"), Whole(keys, order)).unionByName(
         walk(df.join(hot, keys, "left_semi"), Split(keys, order, chunk)))

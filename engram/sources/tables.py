@@ -11,12 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Gives every core work when a small input comes in fewer splits than there are cores.
+    """Gives every core work when a small input comes in fewer files than there are cores.
 
-    Text rules cost far more than moving a small table.  A large table has more splits
+    Text rules cost far more than moving a small table.  A large table has more files
     than cores already and is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def pick(index: str, values) -> str:
@@ -43,11 +43,11 @@ UTTERANCES = {
     ),
     "purchase": (
         f"'I prefer ', {pick('k', LANGUAGES)}",
-        "'I prefer MUI over shadcn.'",
+        "'I prefer Svelte over Angular.'",
         f"'I love ', {pick('k', COLORS)}, '!'",
         f"'I don', chr(39), 't like ', {pick('k', COLORS)}",
         f"'My preferred database is ', {pick('k', DATABASES)}",
-        "'I hate verbose code anymore'",
+        "'I hate long meetings anymore'",
     ),
     "click": (
         f"'The ', {pick('k', ATTRIBUTES)}, ' is ', {pick('k', VALUES)}",

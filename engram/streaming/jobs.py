@@ -41,38 +41,68 @@ def stream_rates(events: DataFrame, key: str, window: str = "1 minute",
 
 
 class ContextProcessor(StatefulProcessor):
-    """Last value per (user, key); an event-time timer removes it when its TTL ends."""
+    """Short-term entries of a user, by operations in the order (ts, seq, pos).
+
+    A timer removes an entry when its TTL ends; without a positive TTL it lasts.  Deleted
+    entries keep their place, so that an older set cannot bring them back."""
 
     def init(self, handle):
         self.handle = handle
-        self.entry = handle.getValueState("entry", "value string, seq bigint, expires bigint")
+        self.entries = handle.getMapState(
+            "entries", "key string",
+            "value string, ts bigint, seq bigint, pos int, expires bigint, live boolean")
+        self.cleared = handle.getValueState("cleared", "ts bigint, seq bigint, pos int")
 
     def handleInputRows(self, key, rows, timerValues):
-        latest = None
-        for batch in rows:
-            top = batch.sort_values(["seq", "pos"]).iloc[-1]
-            if latest is None or (top["seq"], top["pos"]) > (latest["seq"], latest["pos"]):
-                latest = top
-        held = self.entry.get() if self.entry.exists() else None
-        if held is not None and held[1] > latest["seq"]:
-            return
-        expires = int(latest["ts"].timestamp() * 1000 + float(latest["ttl_seconds"]) * 1000)
-        if held is not None:
-            self.handle.deleteTimer(held[2])
-        self.entry.update((str(latest["value"]), int(latest["seq"]), expires))
-        self.handle.registerTimer(expires)
-        yield self._row(key, str(latest["value"]), int(latest["seq"]), "set")
+        # A micro-batch holds a bounded part of a user's operations.
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq", "pos"])
+        changed = {}
+        for row in batch.to_dict("records"):
+            place = (int(row["ts"].timestamp() * 1_000_000), int(row["seq"]), int(row["pos"]))
+            cleared = tuple(self.cleared.get()) if self.cleared.exists() else None
+            if cleared is not None and place <= cleared:
+                continue
+            if row["op"] == "clear":
+                self.cleared.update(place)
+                for (name,), held in list(self.entries.iterator()):
+                    if tuple(held[1:4]) <= place:
+                        self.entries.removeKey((name,))
+                        if held[5]:
+                            changed[name] = (held[0], held[2], "cleared")
+                continue
+            name = (row["key"],)
+            held = self.entries.getValue(name) if self.entries.containsKey(name) else None
+            if held is not None and tuple(held[1:4]) > place:
+                continue
+            if row["op"] == "delete":
+                self.entries.updateValue(name, (None, *place, None, False))
+                if held is not None and held[5]:
+                    changed[row["key"]] = (held[0], place[1], "deleted")
+                continue
+            ttl = row["ttl_seconds"]
+            lasts = pd.isna(ttl) or float(ttl) <= 0
+            expires = None if lasts else place[0] // 1000 + int(float(ttl) * 1000)
+            self.entries.updateValue(name, (str(row["value"]), *place, expires, True))
+            if expires is not None:
+                self.handle.registerTimer(expires)
+            changed[row["key"]] = (str(row["value"]), place[1], "set")
+        if changed:
+            yield self._rows(key, changed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.entry.exists():
-            value, seq, _ = self.entry.get()
-            self.entry.clear()
-            yield self._row(key, value, seq, "expired")
+        now, gone = expiredTimerInfo.getExpiryTimeInMs(), {}
+        for (name,), held in list(self.entries.iterator()):
+            if held[5] and held[4] is not None and held[4] <= now:
+                self.entries.removeKey((name,))
+                gone[name] = (held[0], held[2], "expired")
+        if gone:
+            yield self._rows(key, gone)
 
     @staticmethod
-    def _row(key, value, seq, event):
-        return pd.DataFrame({"user_id": [int(key[0])], "key": [key[1]], "value": [value],
-                             "seq": [seq], "event": [event]})
+    def _rows(key, changed):
+        return pd.DataFrame([
+            {"user_id": int(key[0]), "key": name, "value": value, "seq": int(seq), "event": event}
+            for name, (value, seq, event) in changed.items()])
 
     def close(self):
         pass
@@ -105,15 +135,14 @@ class MemoryProcessor(StatefulProcessor):
         pass
 
 
-def _rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def stream_context(entries: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Set and expiry events of short-term entries (user_id, key, value, ttl_seconds, seq,
-    pos, ts)."""
-    _rocksdb(entries.sparkSession)
-    return (entries.withWatermark("ts", delay).groupBy("user_id", "key")
+    """What each micro-batch and each expiry did to the short-term entries of a user.
+
+    ``entries``: user_id, key, value, ttl_seconds, op (set unless given; delete, clear), seq,
+    pos, ts."""
+    if "op" not in entries.columns:
+        entries = entries.withColumn("op", F.lit("set"))
+    return (entries.withWatermark("ts", delay).groupBy("user_id")
             .transformWithStateInPandas(
                 statefulProcessor=ContextProcessor(), outputStructType=CONTEXT_SCHEMA,
                 outputMode="Append", timeMode="EventTime"))
@@ -131,19 +160,24 @@ def candidate_rows(routed: DataFrame) -> DataFrame:
 
 def stream_memory(candidates: DataFrame) -> DataFrame:
     """Actions on the memory, candidate by candidate, with state per user."""
-    _rocksdb(candidates.sparkSession)
     return candidates.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=MemoryProcessor(), outputStructType=ACTION_SCHEMA,
         outputMode="Append", timeMode="None")
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over everything available into a parquet table and reads it back."""
+    """Runs a stream over everything available into a parquet table and reads it back.
+
+    The state store that custom state needs is set for this stream alone."""
     spark = stream.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
     base = os.path.join(shared_folder(spark), "streams", f"{name}-{uuid.uuid4().hex}")
     running = (stream.writeStream.format("parquet").outputMode("append")
                .option("path", f"{base}/data").option("checkpointLocation", f"{base}/state")
                .trigger(availableNow=True).start())
+    spark.conf.set(provider, before)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 

@@ -161,7 +161,7 @@ def test_streams_match_batch(spark):
 
 @pytest.mark.parametrize("name", [
     "message_keys", "request_messages", "message_delta", "keywords", "rate_counts",
-    "latency_report", "transcripts", "version_proposals"])
+    "latency_report", "version_proposals"])
 def test_registered_queries_match_sql(spark, sf_dir, name):
     db = duckdb.connect()
     for t in ("events", "conversations", "documents", "customer", "orders"):
