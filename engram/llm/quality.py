@@ -1,6 +1,7 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Texts become tf-idf vectors of hashed byte trigrams; a truncated singular value decomposition
+Texts become tf-idf vectors of hashed byte trigrams and of words that come again after a few
+words; a truncated singular value decomposition
 of the labelled ones gives the latent space.  The labelled vectors are broadcast, every
 document's cosine with all of them is computed exactly in blocks, and its nearest neighbours
 vote with their labels, weighted by similarity.
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 from engram.llm import common as C
 from engram.llm.toxicity import training_rows
 
-FEATURES = 2048
+TRIGRAMS = 2048
+#: A word that comes again after 1 to so many words is a term of its own for each distance.
+DISTANCES = 12
+FEATURES = TRIGRAMS + DISTANCES
+#: Weight of those terms.
+REPEAT_WEIGHT = 5.0
 DIMENSIONS = 64
 NEIGHBOURS = 31
 SHARPNESS = 8
 ROWS = 256
-_TABLES = np.random.default_rng(4242).integers(0, FEATURES, (3, 256), dtype=np.uint16)
+_TABLES = np.random.default_rng(4242).integers(0, TRIGRAMS, (3, 256), dtype=np.uint16)
 
 
 @dataclass
@@ -37,15 +43,23 @@ class Model:
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, FEATURES) counts of hashed byte trigrams that stay within a row."""
+    """(rows, FEATURES): counts of hashed byte trigrams that stay within a row, and for each
+    distance the percentage of a row's words that repeat the word so far before."""
     rows = len(offsets) - 1
+    out = np.zeros((rows, FEATURES), dtype=np.float32)
     if len(data) < 3:
-        return np.zeros((rows, FEATURES), dtype=np.float32)
+        return out
     code = _TABLES[0][data[:-2]] ^ _TABLES[1][data[1:-1]] ^ _TABLES[2][data[2:]]
     owner = np.repeat(np.arange(rows), np.diff(offsets))
     inside = owner[:-2] == owner[2:]
-    flat = owner[:-2][inside] * FEATURES + code[inside]
-    return np.bincount(flat, minlength=rows * FEATURES).reshape(rows, FEATURES).astype(np.float32)
+    flat = owner[:-2][inside] * TRIGRAMS + code[inside]
+    out[:, :TRIGRAMS] = np.bincount(flat, minlength=rows * TRIGRAMS).reshape(rows, TRIGRAMS)
+    words, row = C.word_hashes(data, offsets)
+    number = np.maximum(np.bincount(row, minlength=rows), 1)
+    for far in range(1, DISTANCES + 1):
+        again = row[far:][(words[far:] == words[:-far]) & (row[far:] == row[:-far])]
+        out[:, TRIGRAMS + far - 1] = 100 * np.bincount(again, minlength=rows) / number
+    return out
 
 
 def blocks(column: pa.Array):
@@ -91,6 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 2_000)
     prior = share.get(1, 0) / max(sum(share.values()), 1)
     seen, rows = document_frequencies(docs)
     weights = np.log((1 + rows) / (1 + seen)).astype(np.float32) + 0.1
+    weights[TRIGRAMS:] *= REPEAT_WEIGHT
 
     def run(batches):
         for batch in batches:

@@ -8,7 +8,7 @@ follow an extreme-value law whose rate and constant come from the clean labelled
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 
 from engram.llm import common as C
 
-WORD_BITS, STEM_BITS = 18, 16
-FEATURES = (1 << WORD_BITS) + (1 << STEM_BITS)
 #: Bytes of a word's beginning that count as its stem.
 STEM_BYTES = 5
-#: Prior: this many pseudo-words spread like the whole sample, and a constant.
-PRIOR_WORDS, PRIOR_CONSTANT = 500.0, 0.5
-STANDARD_ERRORS = 2.5
+#: Pseudo-documents of the prior, split like the sample.
+PRIOR = 1.0
+STANDARD_ERRORS = 2.0
 DRIFT = 0.05
 SIGNIFICANT = 0.01
 EULER = 0.5772156649
@@ -38,21 +36,36 @@ for _range in (b"09", b"AZ", b"az"):
 
 @dataclass
 class Model:
+    """words: sorted hashes of words and stems with a positive score; their scores; the law."""
+
+    words: np.ndarray
     scores: np.ndarray
-    rate: float
-    constant: float
-    slope: float
-    offset: float
+    rate: float = 1.0
+    constant: float = 1.0
+    slope: float = 0.0
+    offset: float = -50.0
+
+    def __post_init__(self):
+        self.seen = np.zeros(1 << 16, dtype=bool)
+        self.seen[(self.words >> np.uint64(48)).astype(np.int64)] = True
+
+    def look_up(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(words))
+        maybe = np.flatnonzero(self.seen[(words >> np.uint64(48)).astype(np.int64)])
+        if len(maybe):
+            found = words[maybe]
+            place = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
+            out[maybe] = np.where(self.words[place] == found, self.scores[place], 0)
+        return out
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """Word and stem feature of every word, its row, and its byte span."""
+    """Hash of every word and of its stem, its row, and its byte span."""
     starts, ends, rows = C.words(data, offsets, _SEPARATORS)
     sums = C.prefix_sums(C._LOWER[data])
-    word = C.span_hashes(sums, starts, ends) >> np.uint64(64 - WORD_BITS)
+    word = C.span_hashes(sums, starts, ends)
     stem = C.span_hashes(sums, starts, np.minimum(ends, starts + STEM_BYTES))
-    stem = (stem >> np.uint64(64 - STEM_BITS)) + np.uint64(1 << WORD_BITS)
-    return word.astype(np.int64), stem.astype(np.int64), rows, starts, ends
+    return word, C.mix(stem ^ np.uint64(0x5E)), rows, starts, ends
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -76,29 +89,29 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, r - x) for b, e, x, r in zip(begin, end, left, right, strict=True)]
 
 
-def token_scores(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Log-odds of each feature under a Dirichlet prior, less STANDARD_ERRORS of them."""
-    out = np.zeros(FEATURES, dtype=np.float32)
-    for part in (slice(0, 1 << WORD_BITS), slice(1 << WORD_BITS, FEATURES)):
-        a, b = toxic[part].astype(float), clean[part].astype(float)
-        total = a + b
-        prior = PRIOR_CONSTANT + PRIOR_WORDS * total / max(total.sum(), 1)
-        weight = prior.sum()
-        odds_a = (a + prior) / np.maximum(a.sum() + weight - a - prior, 1)
-        odds_b = (b + prior) / np.maximum(b.sum() + weight - b - prior, 1)
-        delta = np.log(odds_a) - np.log(odds_b)
-        error = STANDARD_ERRORS * np.sqrt(1 / (a + prior) + 1 / (b + prior))
-        out[part] = np.sign(delta) * np.maximum(np.abs(delta) - error, 0)
-    return out
-
-
-def _scored(data, offsets, scores):
-    """Per row of a slice: its word scores and their byte spans."""
+def lexicon(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, toxic_size: int,
+            clean_size: int) -> Model:
+    """Scores of words from the numbers of toxic and clean documents that hold them.
+
+    Log-odds under a Dirichlet prior of PRIOR documents split like the sample, less
+    STANDARD_ERRORS of them; words that are left at or under nought are not kept.
+    """
+    share = toxic_size / max(toxic_size + clean_size, 1)
+    if not 0 < share < 1:
+        return Model(np.zeros(0, np.uint64), np.zeros(0))
+    a, b = toxic + PRIOR * share, clean + PRIOR * (1 - share)
+    score = (np.log(a / toxic_size) - np.log(b / clean_size)
+             - STANDARD_ERRORS * np.sqrt(1 / a + 1 / b))
+    kept = np.flatnonzero(score > 0)
+    kept = kept[np.argsort(words[kept])]
+    return Model(words[kept], score[kept])
+
+
+def _scored(data, offsets, model):
+    """Word scores of a slice, where each row's begin, and their byte spans."""
     word, stem, rows, starts, ends = features(data, offsets)
-    value = np.maximum(scores[word], scores[stem])
-    value = np.where(value > 0, value, np.minimum(scores[word], 0)) - DRIFT
-    edges = np.searchsorted(rows, np.arange(len(offsets)))
-    return value, edges, starts, ends
+    value = np.maximum(model.look_up(word), model.look_up(stem)) - DRIFT
+    return value, np.searchsorted(rows, np.arange(len(offsets))), starts, ends
 
 
 def _rate(values: np.ndarray) -> float:
@@ -161,24 +174,34 @@ def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 10_000
     train = C.staged(training_rows(docs, labels, "toxic", condition, per_class), "toxic-train")
 
     def count(batches):
-        seen = np.zeros((4, FEATURES), dtype=np.int64)
         for batch in batches:
             slot = np.asarray(batch.column(1)) + 2 * np.asarray(batch.column(2))
             for row, data, offsets in C.slices(batch.column(0)):
                 word, stem, rows, _, _ = features(data, offsets)
-                rows = np.concatenate((rows, rows))
-                once = np.unique(rows * FEATURES + np.concatenate((word, stem)))
-                np.add.at(seen, (slot[row + once // FEATURES], once % FEATURES), 1)
-        at, feature = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(feature), pa.array(seen[at, feature])],
-            names=["slot", "feature", "n"])
-
-    sums = (train.mapInArrow(count, "slot long, feature long, n long")
-            .groupBy("slot", "feature").agg(F.sum("n").alias("n"))).toArrow()
-    counts = np.zeros((4, FEATURES), dtype=np.int64)
-    counts[np.asarray(sums["slot"]), np.asarray(sums["feature"])] = np.asarray(sums["n"])
-    halves = [token_scores(counts[3 - 2 * h], counts[2 - 2 * h]) for h in (0, 1)]
+                rows, found = np.concatenate((rows, rows)), np.concatenate((word, stem))
+                order = np.lexsort((found, rows))
+                rows, found = rows[order], found[order]
+                new = np.ones(len(rows), dtype=bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[new].view(np.int64)), pa.array(slot[row + rows[new]])],
+                    names=["word", "slot"])
+
+    slots = [F.count_if(F.col("slot") == k).alias(f"n{k}") for k in range(4)]
+    # Only words of two toxic documents can score; the sample bounds their number.
+    found = (train.mapInArrow(count, "word long, slot int").groupBy("word").agg(*slots)
+             .filter("n1 + n3 > 1")).toArrow()
+    words = np.asarray(found["word"]).view(np.uint64)
+    counts = [np.asarray(found[f"n{k}"]) for k in range(4)]
+    rows = train.groupBy("y", "half").count().collect()
+    size = {k: sum(r["count"] for r in rows if r["y"] + 2 * r["half"] == k) for k in range(4)}
+    if not size[0] + size[2] or not size[1] + size[3]:
+        return Model(np.zeros(0, np.uint64), np.zeros(0),
+                     offset=50.0 if size[1] + size[3] else -50.0)
+    model = lexicon(words, counts[1] + counts[3], counts[0] + counts[2], size[1] + size[3],
+                    size[0] + size[2])
+    halves = [lexicon(words, counts[3 - 2 * h], counts[2 - 2 * h], size[3 - 2 * h],
+                      size[2 - 2 * h]) for h in (0, 1)]
     shared = spark.sparkContext.broadcast(halves)
 
     def rate(batches):
@@ -203,10 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 10_000
     seen = train.mapInArrow(rate, "y int, size long, best double, above array<double>, "
                                   "below double").toArrow()
     y, size, best = (np.asarray(seen[c]).astype(float) for c in ("y", "size", "best"))
-    scores = token_scores(counts[1] + counts[3], counts[0] + counts[2])
     clean = y == 0
-    if clean.all() or not clean.any():
-        return Model(scores, 1.0, 1.0, 0.0, 50.0 * np.sign(y.mean() - 0.5) if len(y) else -50.0)
     above = seen["above"].combine_chunks().flatten().to_numpy()
     others = int(size[clean].sum()) - len(above)
     mean = float(np.asarray(seen["below"]).sum()) / max(others, 1)
@@ -215,16 +235,15 @@ def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 10_000
     lam = _rate(every)
     hit = clean & (best > 0)
     constant = (float(np.exp(np.mean(lam * best[hit] - np.log(np.maximum(size[hit], 1))) - EULER))
-                if hit.any() else 1.0)
-    x = evidence(best, size, lam, constant)
-    slope, offset = _logistic(x, y, np.ones_like(y))
-    return Model(scores, lam, constant, slope, offset)
+                if hit.any() else 0.01)
+    slope, offset = _logistic(evidence(best, size, lam, constant), y, np.ones_like(y))
+    return replace(model, rate=lam, constant=constant, slope=slope, offset=offset)
 
 
 def scan(column: pa.Array, fit: Model):
     """(first row, rows, scores, passages) of consecutive rows of a text column."""
     for row, data, offsets in C.slices(column):
-        value, edges, starts, ends = _scored(data, offsets, fit.scores)
+        value, edges, starts, ends = _scored(data, offsets, fit)
         count = len(offsets) - 1
         best, found = np.zeros(count), [[] for _ in range(count)]
         size = np.diff(edges)
