@@ -23,10 +23,14 @@ RANK_BITS = 40
 CHUNK = 1 << 22
 #: Bytes of surroundings in one shard's suffix array.
 SHARD_BYTES = 1_500_000
-#: An anchor with more different surroundings is compared string by string.
-SHARD_ANCHOR = 256
+#: An anchor with more different surroundings than this (about 2 MB) is compared string by string.
+SHARD_ANCHOR = 4096
 #: Strings of one step of that comparison.
-STEP = 24
+STEP = 12
+#: Rows of a batch that such steps hand on.
+ROWS = 20_000
+#: Bytes of text whose anchors are looked for at a time.
+ANCHOR_BYTES = 1 << 19
 _OTHER_VALUES = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64)
 #: Never part of UTF-8.
 SEPARATOR = 0xFF
@@ -45,8 +49,9 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Anchor positions of a slice: row, position in the slice, gram hash, both ends of the
-    surroundings (all strings of `length` bytes around the anchor), and two hashes of them."""
+    """Anchors of a slice: row, position in the slice, gram hash, the begin of the first and the
+    end of the last string of `length` bytes that this is the anchor of, and two hashes of
+    the bytes between."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none.astype(np.uint64), none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -61,11 +66,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     long = np.diff(offsets) >= length
     np.add.at(inside, first[long], 1)
     np.add.at(inside, (offsets[1:] - length + 1)[long], -1)
-    chosen = smallest[np.cumsum(inside)[:-1] > 0]
-    at = np.unique((chosen & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64))
+    start = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+    if not len(start):
+        return anchors(data[:0], offsets[:1], length)
+    chosen = (smallest[start] & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    # Neighbouring strings share their anchor until it changes or a text ends.
+    new = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+    at, begin = chosen[new], start[new]
+    end = start[np.append(new[1:], len(start)) - 1] + length
     row = np.searchsorted(offsets, at, side="right") - 1
-    begin = np.maximum(offsets[row], at + GRAM - length)
-    end = np.minimum(offsets[row + 1], at + length)
     tag = ((at - begin) * 4096 + (end - begin)).astype(np.uint64)
     other = C.prefix_sums(data, _OTHER_VALUES)
     return (row, at, grams[at], begin, end, C.mix(C.span_hashes(sums, begin, end) + tag),
@@ -77,7 +86,7 @@ def _pieces(column: pa.Array, length: int):
 
     Yields first row, bytes, offsets, bytes before this piece, and the part that it is for.
     """
-    for row, data, offsets in C.slices(column):
+    for row, data, offsets in C.slices(column, ANCHOR_BYTES):
         if len(offsets) > 2 or len(data) <= CHUNK:
             yield row, data, offsets, 0, None
             continue
@@ -114,44 +123,95 @@ def _anchor_rows(length: int):
 SPAN = "doc_id long, mark int, begin long, size long"
 
 
-def repeated_spans(texts: list[bytes], document: np.ndarray, begin: np.ndarray, length: int):
+def _shared_ends(order: list[tuple]) -> list[int]:
+    """For sorted (group, bytes), the longest beginning that each shares with a neighbour of its group."""
+    out = [0] * len(order)
+    for i in range(1, len(order)):
+        (g, a), (k, b) = order[i - 1], order[i]
+        if g == k:
+            size = min(len(a), len(b))
+            if a[:size] != b[:size]:
+                differ = (np.frombuffer(a, np.uint8, size) != np.frombuffer(b, np.uint8, size))
+                size = int(differ.argmax())
+            out[i - 1] = max(out[i - 1], size)
+            out[i] = max(out[i], size)
+    return out
+
+
+def trimmed(groups: list[int], texts: list[bytes], left: list[int], length: int):
+    """What of each text can be in a string that another text of its group has: begin, end.
+
+    No such string reaches further from the anchor than the longest part on that side that
+    the text shares with any other; a text too short for a string then gets begin = end.
+    """
+    count = len(texts)
+    reach = []
+    for side in (0, 1):
+        parts = [t[:p][::-1] if side == 0 else t[p:] for t, p in zip(texts, left, strict=True)]
+        order = sorted(range(count), key=lambda i: (groups[i], parts[i]))  # noqa: B023
+        found = _shared_ends([(groups[i], parts[i]) for i in order])
+        shared = [0] * count
+        for i, size in zip(order, found, strict=True):
+            shared[i] = size
+        reach.append(shared)
+    begin = [p - a for p, a in zip(left, reach[0], strict=True)]
+    end = [p + b for p, b in zip(left, reach[1], strict=True)]
+    return [(b, e) if e - b >= length else (b, b) for b, e in zip(begin, end, strict=True)]
+
+
+def repeated_spans(groups: list[int], texts: list[bytes], left: list[int], place: np.ndarray,
+                   length: int):
     """Which strings of `length` bytes occur at two different places: row, first and last + 1 start.
 
-    texts[i] starts at byte begin[i] of document[i]; the same place may be given several times.
+    Texts of a group surround equal anchors, left[i] bytes into the text; place[i] numbers the
+    text's first byte over all documents.  Equal remains of a group are sorted once.
     """
-    joined = np.frombuffer(bytes([SEPARATOR]).join(texts) + bytes([SEPARATOR]), dtype=np.uint8)
-    size = np.array([len(t) for t in texts])
+    cuts = trimmed(groups, texts, left, length)
+    kinds: dict[tuple[int, bytes], list[int]] = {}
+    for i, (begin, end) in enumerate(cuts):
+        if begin < end:
+            kinds.setdefault((groups[i], texts[i][begin:end]), []).append(i)
+    if not kinds:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = [part for _, part in kinds]
+    begin = np.array([b for b, _ in cuts])
+    low = np.array([min(place[i] + begin[i] for i in rows) for rows in kinds.values()])
+    high = np.array([max(place[i] + begin[i] for i in rows) for rows in kinds.values()])
+    joined = np.frombuffer(bytes([SEPARATOR]).join(parts) + bytes([SEPARATOR]), dtype=np.uint8)
+    size = np.array([len(p) for p in parts])
     offsets = np.cumsum(size + 1) - size - 1
     array = suffix_array(joined)
     shared = common_prefixes(joined, array)
-    row = np.searchsorted(offsets, array, side="right") - 1
-    inner = array - offsets[row]
-    whole = inner + length <= size[row]
+    part = np.searchsorted(offsets, array, side="right") - 1
+    inner = array - offsets[part]
+    whole = inner + length <= size[part]
     # Runs of suffixes that share `length` bytes; a run counts if two places are in it.
     run = np.cumsum(shared < length)
-    _, key = np.unique(document, return_inverse=True)
-    place = key[row].astype(np.int64) << 40 | (begin[row] + inner)
-    low = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    high = np.full(run[-1] + 1, -1)
-    np.minimum.at(low, run[whole], place[whole])
-    np.maximum.at(high, run[whole], place[whole])
+    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+    most = np.full(run[-1] + 1, -1)
+    np.minimum.at(least, run[whole], (low[part] + inner)[whole])
+    np.maximum.at(most, run[whole], (high[part] + inner)[whole])
     hit = np.zeros(len(joined) + 1, dtype=bool)
-    hit[array[whole & (low[run] < high[run])]] = True
-    opens = np.flatnonzero(hit[1:] & ~hit[:-1]) + 1
-    if hit[0]:
-        opens = np.concatenate(([0], opens))
-    closes = np.flatnonzero(~hit[1:] & hit[:-1]) + 1
+    hit[array[whole & (least[run] < most[run])]] = True
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0))
+    opens, closes = edges[::2], edges[1::2]
     which = np.searchsorted(offsets, opens, side="right") - 1
-    return which, opens - offsets[which], closes - offsets[which]
+    members = list(kinds.values())
+    rows = np.array([i for k in which.tolist() for i in members[k]], dtype=np.int64)
+    times = np.array([len(members[k]) for k in which.tolist()], dtype=np.int64)
+    first = np.repeat(opens - offsets[which], times) + begin[rows]
+    last = np.repeat(closes - offsets[which], times) + begin[rows]
+    return rows, first, last
 
 
 def _shard(length: int):
     def run(table: pa.Table) -> pa.Table:
-        texts = table["bytes"].to_pylist()
-        document = np.asarray(table["doc_id"].fill_null(-1)), np.asarray(table["mark"])
-        _, document = np.unique(np.stack(document), axis=1, return_inverse=True)
+        document = np.stack([np.asarray(table["doc_id"]), np.asarray(table["mark"])])
+        _, document = np.unique(document, axis=1, return_inverse=True)
         begin = np.asarray(table["begin"])
-        row, first, last = repeated_spans(texts, document.reshape(-1), begin, length)
+        row, first, last = repeated_spans(
+            table["h"].to_pylist(), table["bytes"].to_pylist(), table["left"].to_pylist(),
+            document.reshape(-1).astype(np.int64) << 40 | begin, length)
         which = pa.array(row)
         return pa.table({"doc_id": table["doc_id"].take(which).cast(pa.int64()),
                          "mark": table["mark"].take(which).cast(pa.int32()),
@@ -170,30 +230,40 @@ def _runs(left: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cores(length: int):
-    """Surroundings -> for each run of strings, hashes of the bytes that all of them hold."""
+    """Surroundings -> for each run of strings, hashes of the bytes that all of them hold
+    (c, d) and of all bytes (a, b)."""
+    names = ["doc_id", "mark", "h", "start", "left", "run", "c", "d", "a", "b", "first", "size"]
+
     def run(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 data = np.frombuffer(row["bytes"], dtype=np.uint8)
-                number, _, _ = _runs(row["left"], len(data) - length + 1)
+                number, first, last = _runs(row["left"], len(data) - length + 1)
                 begin = row["left"] - number * STEP
-                end = row["left"] - (number + 1) * STEP + 1 + length
-                hashes = (C.span_hashes(C.prefix_sums(data, v), begin, np.maximum(begin, end))
-                          .view(np.int64).tolist() for v in (C._BYTE_VALUES, _OTHER_VALUES))
+                end = np.maximum(begin, row["left"] - (number + 1) * STEP + 1 + length)
+                sums = [C.prefix_sums(data, v) for v in (C._BYTE_VALUES, _OTHER_VALUES)]
+                hashes = [C.span_hashes(x, b, e).view(np.int64).tolist()
+                          for b, e in ((begin, end), (first, last + length)) for x in sums]
                 out += [(row["doc_id"], row["mark"], row["h"], row["begin"], row["left"], *found)
-                        for found in zip(number.tolist(), *hashes, strict=True)]
-            yield _batch(out, ["doc_id", "mark", "h", "begin", "left", "run", "c", "d"])
+                        for found in zip(number.tolist(), *hashes, first.tolist(),
+                                         (last - first + length).tolist(), strict=True)]
+                if len(out) >= ROWS:
+                    yield _batch(out, names)
+                    out = []
+            yield _batch(out, names)
 
     return run
 
 
 def _singles(length: int):
     """Surroundings and numbers of runs -> every string of those runs."""
+    names = ["doc_id", "mark", "h", "begin", "size", "a", "b"]
+
     def run(batches):
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 data = np.frombuffer(row["bytes"], dtype=np.uint8)
                 number, first, last = _runs(row["left"], len(data) - length + 1)
                 chosen = np.flatnonzero(np.isin(number, row["runs"]))
@@ -202,11 +272,19 @@ def _singles(length: int):
                           .view(np.int64).tolist() for v in (C._BYTE_VALUES, _OTHER_VALUES))
                 out += [(row["doc_id"], row["mark"], row["h"], begin, length, *found)
                         for begin, *found in zip((row["begin"] + at).tolist(), *hashes, strict=True)]
-            yield _batch(out, ["doc_id", "mark", "h", "begin", "size", "a", "b"])
+                if len(out) >= ROWS:
+                    yield _batch(out, names)
+                    out = []
+            yield _batch(out, names)
 
     return run
 
 
+def _rows(batch: pa.RecordBatch):
+    for first in range(0, batch.num_rows, 256):
+        yield from batch.slice(first, 256).to_pylist()
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else ((),) * len(names)
     kinds = [pa.int32() if n == "mark" else pa.int64() for n in names]
@@ -253,7 +331,7 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
     volume = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = max(1, -(-volume // SHARD_BYTES))
     sorted_out = (few.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"),
-                             "doc_id", "mark", "begin", "bytes")
+                             "doc_id", "mark", "h", "begin", "left", "bytes")
                   .groupBy("shard").applyInArrow(_shard(length), SPAN))
     out = equal.unionByName(sorted_out)
 
@@ -265,20 +343,30 @@ def spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def _by_string(many: DataFrame, length: int) -> DataFrame:
     """Anchors with very many surroundings: runs of STEP strings that share their core with
-    another first, single strings of those runs then.  Only hashes are grouped."""
+    another first; runs that are equal as a whole are settled, and of the different ones every
+    single string is compared.  Only hashes are grouped."""
     cores = C.staged(many.select("doc_id", "mark", "h", "begin", "left", "bytes").mapInArrow(
-        _cores(length), "doc_id long, mark int, h long, begin long, left long, run long, "
-                        "c long, d long"),
-        "cores")
-    twice = C.staged(cores.groupBy("h", "run", "c", "d").agg(F.count("*").alias("n"))
-                     .filter("n > 1").drop("n"), "equal-cores")
-    runs = (cores.join(twice, ["h", "run", "c", "d"], "left_semi")
+        _cores(length), "doc_id long, mark int, h long, start long, left long, run long, "
+                        "c long, d long, a long, b long, first long, size long")
+        .withColumn("begin", F.col("start") + F.col("first")), "cores")
+    kind = F.struct("a", "b", "size")
+    cored = ["h", "run", "c", "d"]
+    twice = C.staged(cores.groupBy(*cored).agg(
+        F.count("*").alias("n"), F.min(kind).alias("lo"), F.max(kind).alias("hi"))
+        .filter("n > 1"), "equal-cores")
+    settled = _settled(cores.join(twice.select(*cored), cored, "left_semi"),
+                       ["h", "run", "a", "b", "size"])
+    # One place stands for all equal runs.
+    place = F.struct("doc_id", "mark", "start", "left")
+    runs = (cores.join(twice.filter("lo <> hi").select(*cored), cored, "left_semi")
+            .groupBy("h", "run", "a", "b", "size").agg(F.min(place).alias("p"))
+            .select("h", "run", "p.*").withColumnRenamed("start", "begin")
             .groupBy("doc_id", "mark", "h", "begin", "left")
             .agg(F.collect_set("run").alias("runs")))
     strings = many.join(runs, ["doc_id", "mark", "h", "begin", "left"]).mapInArrow(
         _singles(length),
         "doc_id long, mark int, h long, begin long, size long, a long, b long")
-    return _settled(C.staged(strings, "strings"), ["h", "a", "b"])
+    return settled.unionByName(_settled(C.staged(strings, "strings"), ["h", "a", "b"]))
 
 
 def _cut(batches):

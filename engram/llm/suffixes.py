@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
-The first level works on bytes: whole buckets are induced at a time with array operations.
-The reduced strings of the deeper levels have many small buckets and are induced one by one.
+Suffixes are classified, leftmost-smaller substrings are sorted by inducing and named, the
+string of names is sorted, and all suffixes are induced from it; whole buckets of bytes are
+induced at a time with array operations.
 """
 
 from __future__ import annotations
@@ -127,71 +128,30 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if names[-1] + 1 < len(ordered):
         number = np.zeros(size, dtype=np.int64)
         number[ordered] = names
-        reduced = number[starts].tolist()
-        ordered = starts[np.array(_reduced_array(reduced, int(names[-1]) + 1))]
+        ordered = starts[_reduced_array(number[starts])]
     return _induce(text, small, ordered)
 
 
-def _reduced_array(text: list[int], names: int) -> list[int]:
-    """Suffix array of a string over 0..names-1, by the same method on plain lists."""
-    size = len(text)
-    if size == 1:
-        return [0]
-    small = [False] * size
-    for i in range(size - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    count = [0] * (names + 1)
-    for c in text:
-        count[c + 1] += 1
-    for c in range(names):
-        count[c + 1] += count[c]
-    starts = [i for i in range(1, size) if small[i] and not small[i - 1]]
-
-    def induce(order: list[int]) -> list[int]:
-        out = [-1] * size
-        fill = count[1:]
-        for i in reversed(order):
-            c = text[i]
-            fill[c] -= 1
-            out[fill[c]] = i
-        fill = count[:-1]
-        c = text[size - 1]
-        out[fill[c]] = size - 1
-        fill[c] += 1
-        for at in range(size):
-            i = out[at] - 1
-            if i >= 0 and not small[i]:
-                c = text[i]
-                out[fill[c]] = i
-                fill[c] += 1
-        fill = count[1:]
-        for at in range(size - 1, -1, -1):
-            i = out[at] - 1
-            if i >= 0 and small[i]:
-                c = text[i]
-                fill[c] -= 1
-                out[fill[c]] = i
-        return out
-
-    rough = induce(starts)
-    if len(starts) < 2:
-        return rough
-    stop = dict(zip(starts, starts[1:] + [size - 1], strict=True))
-    number, name, before = {}, -1, None
-    for i in rough:
-        if i in stop:
-            here = text[i:stop[i] + 1]
-            # The last one is ended by the end of the string, which equals nothing.
-            if here != before or stop[i] == size - 1:
-                name += 1
-            before = here if stop[i] != size - 1 else None
-            number[i] = name
-    if name + 1 < len(starts):
-        inner = _reduced_array([number[i] for i in starts], name + 1)
-        order = [starts[i] for i in inner]
-    else:
-        order = sorted(starts, key=number.__getitem__)
-    return induce(order)
+def _reduced_array(names: np.ndarray) -> np.ndarray:
+    """Suffix array of the string of substring names.
+
+    The reduced string is sorted by the ranks of ever longer prefixes (twice as long each
+    time) until all differ: names have far too many small buckets to induce them in arrays.
+    """
+    size = len(names)
+    rank, width = names.astype(np.int64), 1
+    while True:
+        after = np.full(size, -1, dtype=np.int64)
+        after[:size - width] = rank[width:]
+        key = (rank + 1) * (size + 2) + after + 1
+        order = np.argsort(key, kind="stable")
+        fresh = np.ones(size, dtype=bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(size, dtype=np.int64)
+        rank[order] = np.cumsum(fresh) - 1
+        width *= 2
+        if fresh.all() or width >= size:
+            return order
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
