@@ -6,6 +6,9 @@ folder and read back, so a lost executor never recomputes the extraction.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from engram.operators.messages import (
     append_new, detect_delta, new_users, normalize_messages, request_messages,
 )
 from engram.operators.route import route_candidates
-from engram.session import cut_lineage
+from engram.session import cut_lineage, shared_folder
 from engram.sources.tables import statements, utterances
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -48,6 +51,21 @@ def ingest(requests: DataFrame, archive_path: str, archive: DataFrame) -> DataFr
     return fresh.filter("delta_status = 'new'")
 
 
+def ingest_twice(requests: DataFrame) -> DataFrame:
+    """Per user: messages new in a first and in a second ingest of the same requests, and how
+    many the archive then holds."""
+    spark = requests.sparkSession
+    path = os.path.join(shared_folder(spark), "archives", uuid.uuid4().hex)
+    nothing = normalize_messages(request_messages(requests.limit(0)))
+    first = ingest(requests, path, nothing)
+    archive = spark.read.schema(first.drop("delta_status").schema).parquet(path)
+    second = ingest(requests, path, archive)
+    after = spark.read.schema(archive.schema).parquet(path)
+    count = lambda df, name: df.groupBy("user_id").agg(F.count("*").alias(name))
+    return (count(after, "archived").join(count(first, "first_new"), "user_id")
+            .join(count(second, "second_new"), "user_id", "left").na.fill(0, ["second_new"]))
+
+
 def ensure_users(messages: DataFrame, users: DataFrame) -> DataFrame:
     return new_users(messages, users, "ts")
 

@@ -234,6 +234,43 @@ def request_messages(spark, sf):
         "request_id", "user_id", "ordinal", "role", "content", "message_key")
 
 
+@query("request_tokens", f"""
+WITH t AS (SELECT *, {O.tokens('text')} AS n, {O.tokens('role')} AS r FROM conversations)
+SELECT conv_id || '/' || turn AS request_id, CAST(3 + CASE turn % 3 WHEN 0 THEN n + r + 1
+    WHEN 1 THEN n + r ELSE n + r + n + 3 END AS BIGINT) AS tokens FROM t""")
+def request_tokens(spark, sf):
+    """Tokens of messages with a name, with a list of parts, and with a tool call."""
+    text = F.col("text")
+    part = F.struct(F.lit("text").alias("type"), F.col("role").alias("text"))
+    call = F.struct(F.struct(F.col("role").alias("name"), text.alias("arguments")).alias("function"))
+    said = S.table(spark, sf, "conversations").select(
+        F.concat("conv_id", F.lit("/"), "turn").alias("request_id"),
+        F.col("conv_id").alias("user_id"),
+        F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(
+            "role", text.alias("content"), F.col("role").alias("name"))))
+        .when(F.col("turn") % 3 == 1, F.concat(
+            F.lit('{"role":"user","content":['),
+            F.expr("substring(to_json(struct(text AS t)), 6, length(to_json(struct(text AS t))) - 6)"),
+            F.lit(","), F.to_json(part), F.lit("]}")))
+        .otherwise(F.to_json(F.struct("role", text.alias("content"), F.array(call)
+                                      .alias("tool_calls")))).alias("message"))
+    rows = M.request_messages(said.select("request_id", "user_id", F.concat(
+        F.lit('{"messages":['), "message", F.lit("]}")).alias("body")))
+    cost = message_tokens(col("content"), col("name"), col("tool_call_id"), col("tool_calls"),
+                          col("content_parts"))
+    return rows.selectExpr("request_id", f"{cost} AS tokens")
+
+
+@query("archive_ingest", """
+WITH said AS (SELECT conv_id AS user_id, count(*) FILTER (turn % 4 <> 3)
+    + count(*) FILTER (turn % 4 = 1) AS n FROM conversations GROUP BY 1)
+SELECT user_id, n AS first_new, 0 AS second_new, n AS archived FROM said WHERE n > 0""")
+def archive_ingest(spark, sf):
+    """The same bodies, each delivered twice, ingested twice: the second time nothing is new."""
+    bodies = _bodies(spark, sf).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return P.ingest_twice(bodies.unionByName(bodies))
+
+
 def _resent(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Batch: the utterances, each view event sent twice.  Archive: the signups."""
     said = P.archived_utterances(spark, sf).join(
@@ -561,8 +598,8 @@ rm AS (SELECT event_id AS request_id, user_id, 0 AS ordinal, 'system' AS role,
         'You help user ' || user_id || '.' AS content FROM events WHERE event_type = 'view'
     UNION ALL SELECT seq, u.user_id, 1, 'user', content FROM utt u JOIN events e
         ON e.event_id = u.seq WHERE event_type = 'view'
-    UNION ALL SELECT 1000000000 + conv_id, conv_id % 150, CAST(turn AS INT), role, text
-        FROM conversations),
+    UNION ALL SELECT 1000000000 + conv_id, conv_id % (SELECT max(user_id) + 1 FROM events),
+        CAST(turn AS INT), role, text FROM conversations),
 rq0 AS (SELECT request_id, any_value(user_id) AS user_id, count(*) AS message_count,
     CAST(sum(3 + {O.tokens('content')}) + 3 AS BIGINT) AS input_tokens,
     coalesce(arg_max(content, ordinal) FILTER (role = 'user'), '') AS latest
@@ -615,9 +652,10 @@ def _requests(spark, sf) -> DataFrame:
                 F.lit("You help user "), F.col("user_id"), F.lit(".")).alias("content")),
             F.struct(F.lit(1).alias("ordinal"), F.lit("user").alias("role"), "content")
         )).alias("m")).select("request_id", "user_id", "m.*")
+    users = S.table(spark, sf, "events").agg(F.max("user_id")).first()[0] + 1
     talked = S.table(spark, sf, "conversations").select(
         (F.lit(1000000000) + F.col("conv_id")).cast("long").alias("request_id"),
-        (F.col("conv_id") % 150).alias("user_id"), F.col("turn").cast("int").alias("ordinal"),
+        (F.col("conv_id") % users).alias("user_id"), F.col("turn").cast("int").alias("ordinal"),
         "role", F.col("text").alias("content"))
     return asked.unionByName(talked)
 
@@ -1225,15 +1263,28 @@ def stream_dedupe(spark, sf):
     return kept.groupBy("event_type").agg(F.count("*").alias("messages"))
 
 
-@query("stream_rates")
+@query("stream_rates", """
+WITH e AS (SELECT user_id, epoch_ms(ts) AS ms FROM events),
+w AS (SELECT user_id, (ms // 7200000 - k) * 7200 AS window_start FROM e,
+    (SELECT unnest([0, 1, 2]) AS k))
+SELECT window_start, user_id, count(*) AS requests FROM w GROUP BY ALL
+HAVING (window_start + 21600) * 1000 <= (SELECT max(ms) - 60000 FROM e)""")
 def stream_rates(spark, sf):
+    """Windows of six hours every two, as far as the watermark closed them."""
     events = jobs.stream_table(spark, sf, "events").withColumn(
         "ts", F.col("ts").cast("timestamp"))
-    return jobs.run_to_end(jobs.stream_rates(events, "user_id", "6 hours", "2 hours"), "rates")
+    counted = jobs.run_to_end(jobs.stream_rates(events, "user_id", "6 hours", "2 hours"), "rates")
+    return counted.withColumn("window_start", F.unix_seconds("window_start"))
 
 
-@query("stream_context")
+@query("stream_context", CONTEXT_SQL + """,
+mark AS (SELECT max(epoch_ms(ts)) - 600000 AS w FROM ctx),
+late AS (SELECT * FROM lastset WHERE rn = 1)
+SELECT user_id, key, value, seq, 'set' AS event FROM late
+UNION ALL SELECT user_id, key, value, seq, 'expired' FROM late, mark
+WHERE epoch_ms(ts) + ttl * 1000 <= w""")
 def stream_context(spark, sf):
+    """The last set of every key, and those that the watermark let expire."""
     log = context.context_log(P.routed_utterances(spark, sf)).withColumn(
         "ts", F.col("ts").cast("timestamp"))
     return jobs.run_to_end(jobs.stream_context(jobs.as_stream(log, "context", "seq")), "context")

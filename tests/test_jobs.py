@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from engram.functions.similarity import information_gain, lcs_ratio, near_duplicates
 from engram.operators import evaluate, rates
 from engram.operators.external import union_candidates
+from engram.operators.messages import detect_delta
 from engram.operators.select import select_for_budget
 from engram.streaming import jobs
 
@@ -99,6 +100,52 @@ def test_greedy_selection_with_pruning(spark):
     assert {r.item_key for r in select_for_budget(df).collect()} == want
 
 
+def test_greedy_pruning_keeps_ties_and_free_items(spark):
+    rng = random.Random(16)
+    rows = [(1, f"m{i}", i, rng.choice([0, 3, 3, 7]), rng.choice([0.2, 0.4]), False, 30)
+            for i in range(60)]
+    df = spark.createDataFrame(
+        rows, "request_id long, item_key string, ordinal int, token_cost long, score double, "
+        "mandatory boolean, budget int")
+    left, want = 30, set()
+    for r in sorted(rows, key=lambda r: (-(r[4] / max(r[3], 1)), r[2])):
+        if r[3] <= left:
+            want.add(r[1])
+            left -= r[3]
+    chosen = select_for_budget(df, "greedy").collect()
+    assert {r.item_key for r in chosen} == want
+    assert {r.selection for r in chosen} == {"greedy"}
+    exact = select_for_budget(df, "exact").collect()
+    assert {r.selection for r in exact} == {"exact"}
+    assert sum(r.score for r in exact) >= sum(r.score for r in chosen) - 1e-9
+
+
+def test_one_new_row_per_message(spark):
+    rows = [(1, "k", 5, "b"), (1, "k", 5, "b"), (1, "k", 5, "a"), (1, "j", 7, "c"), (2, "k", 1, "d")]
+    batch = spark.createDataFrame(rows, "user_id long, message_key string, ordinal int, content string")
+    archive = spark.createDataFrame([(2, "k")], "user_id long, message_key string")
+    got = Counter((r.user_id, r.message_key, r.content, r.delta_status)
+                  for r in detect_delta(batch, archive).collect())
+    assert got == {(1, "k", "a", "new"): 1, (1, "k", "b", "duplicate"): 2, (1, "j", "c", "new"): 1,
+                   (2, "k", "d", "duplicate"): 1}
+
+
+def test_stream_context_operations(spark):
+    rows = [(1, "k", "one", 0.0, "set", 1, 0), (1, "gone", "x", None, "set", 2, 1),
+            (1, "gone", None, None, "delete", 3, 2), (1, "gone", "late", 0.0, "set", 0, 2),
+            (2, "k", "x", 0.0, "set", 4, 0), (2, None, None, None, "clear", 5, 3),
+            (2, "k", "after", 5.0, "set", 6, 4), (3, "k", "old", 0.0, "set", 9, 1),
+            (3, "k", "new", 0.0, "set", 8, 2), (4, "z", "end", 0.0, "set", 10, 9000)]
+    log = spark.createDataFrame(
+        rows, "user_id long, key string, value string, ttl_seconds double, op string, seq long, "
+        "s long").select("*", F.lit(0).alias("pos"), F.timestamp_seconds(F.col("s") + 1700000000).alias("ts"))
+    events = jobs.run_to_end(jobs.stream_context(
+        jobs.as_stream(log, "ops", "s", 1), "0 seconds"), "ops").collect()
+    got = {(r.user_id, r.key, r.value, r.event) for r in events}
+    assert got == {(1, "k", "one", "set"), (1, "gone", "late", "deleted"), (2, "k", "after", "set"),
+                   (2, "k", "after", "expired"), (3, "k", "new", "set"), (4, "z", "end", "set")}
+
+
 def test_rates_across_blocks(spark):
     rng = random.Random(7)
     seconds = sorted(rng.sample(range(0, 600), 200))
@@ -160,7 +207,8 @@ def test_streams_match_batch(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "message_keys", "request_messages", "message_delta", "keywords", "rate_counts",
+    "message_keys", "request_messages", "request_tokens", "archive_ingest", "stream_rates",
+    "message_delta", "keywords", "rate_counts",
     "latency_report", "version_proposals"])
 def test_registered_queries_match_sql(spark, sf_dir, name):
     db = duckdb.connect()

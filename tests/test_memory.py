@@ -142,3 +142,37 @@ def test_context_log(spark):
     assert got == {(1, "k", "two", 30), (3, "k", "stays", None)}
     assert "• k: stays" in context_block(live).filter("user_id = 3").first().short_term_text
     del at
+
+
+def fold_and_set(spark, texts):
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "user_id long, seq long, role string, content string")
+    routed = cut_lineage(candidates_of(df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))))
+    active = []
+    for r in jobs.candidate_rows(routed).orderBy("seq", "pos").collect():
+        active, _ = step(active, r.asDict())
+    now = memory.memory_as_of(memory.apply_candidates(routed)).filter("status = 'active'")
+    return ({i["content"].lower() for i in active}, {r.content.lower() for r in now.collect()})
+
+
+def test_repeated_corrections_take_the_next_current_item(spark):
+    folded, kept = fold_and_set(spark, [
+        "The backend database is Neon", "The cache database is Neon",
+        "The storage changed from Neon to Turso", "The storage changed from Neon to MySQL"])
+    # The set form also ends what the correction's own topic held, the fold keeps it.
+    assert not any("cache database" in c for c in kept) and kept <= folded
+    assert "database: mysql" in kept
+
+
+def test_chained_corrections_agree_with_the_fold(spark):
+    rng = random.Random(9)
+    names = ["Neon", "Turso", "MySQL", "Postgres"]
+    texts = []
+    for _ in range(40):
+        a, b = rng.sample(names, 2)
+        texts.append(rng.choice([
+            f"The {rng.choice(['backend', 'cache', 'audit', 'queue'])} database is {a}",
+            f"The {rng.choice(['storage', 'stack', 'ledger'])} changed from {a} to {b}",
+            f"The {rng.choice(['cache', 'audit'])} was reset"]))
+    folded, kept = fold_and_set(spark, texts)
+    assert kept <= folded
