@@ -114,7 +114,7 @@ def oracle_sql() -> str:
     """
     span = max(mask[-1] for mask in MASKS) + 1
     words = ("list_filter(regexp_split_to_array(lower(coalesce(text, '')), "
-             "'[^0-9a-z\\x{80}-\\x{10FFFF}]+'), x -> x <> '')")
+             "'[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')")
     picks = " UNION ALL ".join(
         f"SELECT id, p, {n} AS mask, [{', '.join(f'w[p + {j + 1}]' for j in mask)}] AS seed "
         f"FROM {{0}}_at WHERE p + {mask[-1] + 1} <= len(w)" for n, mask in enumerate(MASKS))
@@ -134,11 +134,11 @@ def oracle_sql() -> str:
     eq AS (
       SELECT doc_id, item_id, shift + low AS first, size,
              list_transform(range(low, high),
-                            i -> CASE WHEN dw[shift + i + 1] = tw[i + 1] THEN 1 ELSE 0 END) AS e
+                            lambda i: CASE WHEN dw[shift + i + 1] = tw[i + 1] THEN 1 ELSE 0 END) AS e
       FROM laid WHERE high - low >= size),
     good AS (
       SELECT doc_id, item_id, first, list_sum(e) AS same FROM eq
       WHERE len(list_filter(range(len(e) - size + 1),
-                            s -> list_sum(e[s + 1:s + size]) * 100 >= size * {PERCENT})) > 0)
+                            lambda s: list_sum(e[s + 1:s + size]) * 100 >= size * {PERCENT})) > 0)
     SELECT doc_id, item_id, count(*) AS n_overlaps, min(first)::BIGINT AS first_token,
            max(same)::BIGINT AS matched FROM good GROUP BY doc_id, item_id"""

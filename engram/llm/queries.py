@@ -106,18 +106,18 @@ ORACLES = {
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         sh AS (
           SELECT doc_id, unnest(list_distinct(CASE
             WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(len(w) - 2), i -> array_to_string(w[i + 1:i + 3], ' ')) END))
+            ELSE list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')) END))
             AS s FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-        both AS (
+        common AS (
           SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
           FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
         link AS (
-          SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
           WHERE 100 * k >= 85 * (x.n + y.n - k)),
         two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
         reach(doc_id, other) AS (
