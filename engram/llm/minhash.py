@@ -168,7 +168,56 @@ def _estimate(threshold: float):
     return run
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def _covered(groups: DataFrame) -> DataFrame:
+    """Groups (c, id; c among its own ids) without those whose members are all in one other.
+
+    Every id names the largest group it is in; a group all of whose members name the same
+    other group lies within it."""
+    size = groups.groupBy("c").agg(F.count("*").alias("n"))
+    best = (groups.join(size, "c").groupBy("id")
+            .agg(F.max_by("c", F.struct("n", "c")).alias("best")))
+    kept = (groups.join(best, "id").groupBy("c")
+            .agg(F.min("best").alias("lo"), F.max("best").alias("hi"))
+            .filter("lo <> hi or lo = c").select("c"))
+    return groups.join(kept, "c")
+
+
+def _candidates(group: DataFrame, sets: DataFrame, percent: int):
+    """Where else members of a group (c, id, component, center_component) that are not linked
+    to its center c can have a link: added (c, e, id, component, out) and pairs (a, b).
+
+    Let x be no link of c.  If x and y are linked, both have an element that c lacks, or both
+    lack an element of c: else the common part of x and y is no larger than that of x and c
+    and their union no smaller.  `added` lists elements that c lacks.  In the other case y can
+    have at most (100 + percent) / percent * |x and c| - |x| elements, and x likewise, which
+    few pairs meet; these pairs are listed.
+    """
+    busy = group.filter("component <> center_component").select("c").distinct()
+    rows = (group.join(busy, "c").join(sets.toDF("id", "x"), "id").join(sets.toDF("c", "y"), "c")
+            .select("c", "id", "component",
+                    (F.col("component") != F.col("center_component")).alias("out"),
+                    F.size("x").alias("n"), F.array_except("x", "y").alias("added"),
+                    F.array_except("y", "x").alias("lost")))
+    rows = C.staged(rows, "differences")
+    most = F.floor((F.col("n") - F.size("added")) * (100 + percent) / percent) - F.col("n")
+    reach = rows.withColumn("most", most)
+    # Only members that are small enough for some member not linked to the center.
+    room = reach.filter("out").groupBy("c").agg(F.max("most").alias("room"),
+                                                F.min("n").alias("least"))
+    small = rows.groupBy("c").agg(F.min("n").alias("smallest"))
+    fit = reach.join(room, "c").join(small, "c")
+    x = fit.filter("out and most >= smallest").select(
+        "c", F.explode("lost").alias("e"), F.col("id").alias("a"), F.col("n").alias("n_a"),
+        F.col("most").alias("most_a"), F.col("component").alias("from"))
+    y = fit.filter("n <= room and most >= least").select(
+        "c", F.explode("lost").alias("e"), F.col("id").alias("b"), F.col("n").alias("n_b"),
+        F.col("most").alias("most_b"), F.col("component").alias("to"))
+    pairs = (x.join(y, ["c", "e"]).filter("from <> to and n_b <= most_a and n_a <= most_b")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return rows.select("c", F.explode("added").alias("e"), "id", "component", "out"), pairs
+
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of
@@ -177,6 +226,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     24 bands with (1 - s^4)^24: 3e-6 at 0.8.  Null or wordless texts have no shingle and no
     link; rows without an id are linked with nothing and kept; rows that share an id are one
     node.  component_id is the smallest id reachable.
+
+    Members of a bucket are compared with its most central one.  Those that are not linked to
+    it are put into new buckets by the elements that the center lacks, `rounds` times; members
+    of the last buckets that are still in different components are compared with each other.
     """
     threshold = percent / 100
     source = C.texts(docs)
@@ -187,47 +240,67 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         F.first("bands").alias("bands")), "classes")
 
     bands = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = (bands.groupBy("band", "key").agg(F.min("id").alias("center"),
-                                                F.max("id").alias("_last"))
-               .filter("center <> _last").drop("_last"))
+    buckets = (bands.groupBy("band", "key").agg(
+        F.min("id").alias("_first"), F.max("id").alias("_last"), F.count("*").alias("weight"))
+        .filter("_first <> _last").select("band", "key", "weight"))
     members = C.staged(bands.join(buckets, ["band", "key"]), "buckets")
-    wanted = (members.select(F.explode(F.array("id", "center")).alias("doc_id"))
-              .distinct())
-    sets = C.staged(source.join(wanted, "doc_id", "left_semi")
+    # A text that meets many others in many bands is central to them.
+    central = C.staged(members.groupBy("id").agg(F.sum("weight").alias("weight")), "centrality")
+    sets = C.staged(source.join(central.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
                     .mapInArrow(_sets(words), "doc_id long, keys array<long>")
                     .distinct(), "sets")
+    regs = classes.select("id", "registers", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        regs = classes.select("id", "registers", "n")
         seen = (pairs.join(regs.toDF("a", "left", "n"), "a").join(regs.toDF("b", "right", "m"), "b")
                 .select("a", "b", "left", "right", "n", "m")
                 .mapInArrow(_estimate(threshold), "a long, b long"))
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        return (seen.distinct().join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-                .select("a", "b", both.alias("both"),
-                        (F.size("x") + F.size("y")).alias("sum"))
-                .filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
-                .select("a", "b"))
-
-    # Everybody of a bucket against its smallest member first; most buckets are one component then.
-    star = members.filter("id <> center").select(
-        F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = C.staged(verified(star), "verified")
+        return C.staged(
+            seen.distinct().join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+            .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+            .filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
+            .select("a", "b"), "verified")
+
+    def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Buckets -> (c, id): each member with the most central one of its bucket."""
+        heads = (rows.join(central, "id").groupBy(*keys)
+                 .agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("c")))
+        pairs = rows.join(heads, keys).select("c", "id")
+        return pairs.unionByName(pairs.select("c", F.col("c").alias("id"))).distinct()
+
+    def cross(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Buckets with members of different components, one of them not linked to the center."""
+        kept = (rows.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component")
+                                        .alias("hi"), F.bool_or("out").alias("any"))
+                .filter("lo <> hi and any").select(*keys))
+        return C.staged(rows.join(kept, keys), "open-buckets")
+
+    group = C.staged(grouped(members.select("band", "key", "id"), ["band", "key"]), "groups")
+    links = verified(group.filter("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")))
     found = components(links)
-    # What is left: members of a bucket that are in different components so far.
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "key", "id", F.coalesce("component", "id").alias("component"))
-    split = (placed.groupBy("band", "key").agg(F.min("component").alias("lo"),
-                                               F.max("component").alias("hi"))
-             .filter("lo <> hi").select("band", "key"))
-    apart = placed.join(split, ["band", "key"])
-    other = apart.select("band", "key", F.col("id").alias("b"), F.col("component").alias("to"))
-    rest = (apart.withColumnRenamed("id", "a").join(other, ["band", "key"])
-            .filter("component <> to and a < b").select("a", "b").distinct()
-            .join(star, ["a", "b"], "left_anti"))
-    more = C.staged(verified(rest), "verified")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    for step in range(rounds):
+        place = found.withColumnRenamed("node", "id")
+        placed = (_covered(group).join(place, "id", "left")
+                  .withColumn("component", F.coalesce("component", "id"))
+                  .join(found.toDF("c", "center_component"), "c", "left")
+                  .withColumn("center_component", F.coalesce("center_component", "c")))
+        added, pairs = _candidates(C.staged(placed, "placed"), sets, percent)
+        open_ = cross(added, ["c", "e"])
+        if step + 1 < rounds:
+            group = C.staged(grouped(open_.withColumnRenamed("c", "g").select("g", "e", "id"),
+                                     ["g", "e"]), "groups")
+            tested = group.filter("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b"))
+        else:
+            other = open_.select("c", "e", F.col("id").alias("b"), F.col("component").alias("to"))
+            tested = (open_.withColumnRenamed("id", "a").join(other, ["c", "e"])
+                      .filter("component <> to and a < b").select("a", "b"))
+        more = verified(pairs.unionByName(tested).distinct())
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+        if group.isEmpty():
+            break
 
     classed = (signed.select("doc_id", "n", "set_a", "set_b")
                .join(classes.select("n", "set_a", "set_b", "id"), ["n", "set_a", "set_b"], "left"))
