@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import common as C
-from engram.llm.tokens import Encoder
+from engram.llm.tokens import encoder
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, "
           "row long")
@@ -81,13 +81,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """
 
     def cut(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         row = part << 33
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
             for first in range(0, len(column), 512):
                 out = []
-                encoded = encoder.encode(column.slice(first, 512).to_pylist())
+                encoded = words.encode(column.slice(first, 512).to_pylist())
                 for doc, raw in zip(keys.slice(first, 512).to_pylist(), encoded, strict=True):
                     size, begin, piece = len(raw) // 4, 0, 0
                     while begin < size:

@@ -26,7 +26,7 @@ MAGIC = 0x31424650
 #: A segment is closed at so many ids; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 20
 #: Remembered words: number and length.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHE_LENGTH = 48
 END_ID = 0
 #: Marks that are cut off a word's end; none is a letter, a digit or white space.
@@ -168,6 +168,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that later tasks know the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -291,7 +301,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, folder: str, percentile: float
     """
 
     def segments(batches):
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         ids, lengths, keys, held, before = [], [], [], 0, 0
 
         def row():
@@ -306,7 +316,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, folder: str, percentile: float
             column, key = batch.column(batch.schema.get_field_index("text")), batch.column(
                 batch.schema.get_field_index("doc_id"))
             for first in range(0, len(column), 512):
-                encoded = encoder.encode(column.slice(first, 512).to_pylist())
+                encoded = words.encode(column.slice(first, 512).to_pylist())
                 for doc, raw in zip(key.slice(first, 512).to_pylist(), encoded, strict=True):
                     size = len(raw) // 4
                     if held and held + size > SEGMENT_IDS:
