@@ -312,10 +312,12 @@ def delta_counts(spark, sf):
 
 @query("new_users", """
 SELECT user_id, min(event_id) AS first_seq FROM events WHERE user_id NOT IN (
-    SELECT user_id FROM events WHERE event_type = 'signup' AND value > 30) GROUP BY user_id""")
+    SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 20 = 0)
+GROUP BY user_id""")
 def new_users(spark, sf):
     events = S.table(spark, sf, "events")
-    known = events.filter("event_type = 'signup' and value > 30").select("user_id").distinct()
+    known = events.filter("event_type = 'signup' and event_id % 20 = 0").select(
+        "user_id").distinct()
     return M.new_users(events, known, "event_id").withColumnRenamed("created_at", "first_seq")
 
 
