@@ -23,6 +23,8 @@ STEM_BYTES = 5
 #: Pseudo-documents of the prior, split like the sample.
 PRIOR = 1.0
 STANDARD_ERRORS = 2.0
+#: Standard deviations (by the likelihood ratio) that a word's counts must lie off chance.
+DEVIATIONS = 4.5
 DRIFT = 0.05
 SIGNIFICANT = 0.01
 EULER = 0.5772156649
@@ -94,7 +96,8 @@ def lexicon(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, toxic_size:
     """Scores of words from the numbers of toxic and clean documents that hold them.
 
     Log-odds under a Dirichlet prior of PRIOR documents split like the sample, less
-    STANDARD_ERRORS of them; words that are left at or under nought are not kept.
+    STANDARD_ERRORS of them; words that are left at or under nought, or whose counts are not
+    DEVIATIONS from those expected by chance, are not kept.
     """
     share = toxic_size / max(toxic_size + clean_size, 1)
     if not 0 < share < 1:
@@ -102,7 +105,11 @@ def lexicon(words: np.ndarray, toxic: np.ndarray, clean: np.ndarray, toxic_size:
     a, b = toxic + PRIOR * share, clean + PRIOR * (1 - share)
     score = (np.log(a / toxic_size) - np.log(b / clean_size)
              - STANDARD_ERRORS * np.sqrt(1 / a + 1 / b))
-    kept = np.flatnonzero(score > 0)
+    # Words of one shared passage come together, so each must be beyond chance by itself.
+    both = np.maximum(toxic + clean, 1)
+    deviance = 2 * (toxic * np.log(np.maximum(toxic, 1e-9) / (both * share))
+                    + clean * np.log(np.maximum(clean, 1e-9) / (both * (1 - share))))
+    kept = np.flatnonzero((score > 0) & (deviance > DEVIATIONS**2))
     kept = kept[np.argsort(words[kept])]
     return Model(words[kept], score[kept])
 
@@ -164,6 +171,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn, per_cla
             .withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
 
 
+def known_share(labels: DataFrame, label: str, condition) -> tuple[float, float]:
+    """Shares of 0 and 1 among all labels that may be used."""
+    found = {r[0]: r[1] for r in labels.filter(condition).groupBy(F.col(label).cast("int"))
+             .count().collect()}
+    total = max(found.get(0, 0) + found.get(1, 0), 1)
+    return found.get(0, 0) / total, found.get(1, 0) / total
+
+
 def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 10_000) -> Model:
     """Fit on at most 2 * per_class labelled documents (the documented bound).
 
@@ -236,7 +251,10 @@ def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 10_000
     hit = clean & (best > 0)
     constant = (float(np.exp(np.mean(lam * best[hit] - np.log(np.maximum(size[hit], 1))) - EULER))
                 if hit.any() else 0.01)
-    slope, offset = _logistic(evidence(best, size, lam, constant), y, np.ones_like(y))
+    # The sample is balanced, the documents are not: each class weighs what its labels do.
+    share = known_share(labels, "toxic", condition)
+    weight = np.where(clean, share[0] / clean.sum(), share[1] / (~clean).sum()) * len(y)
+    slope, offset = _logistic(evidence(best, size, lam, constant), y, weight)
     return replace(model, rate=lam, constant=constant, slope=slope, offset=offset)
 
 
