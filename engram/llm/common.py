@@ -34,6 +34,11 @@ def row_id():
     return F.coalesce(F.col("doc_id").cast("long"), made)
 
 
+def mark():
+    """A 128-bit hash of the text, which tells rows with the same id or without one apart."""
+    return F.unhex(F.md5("text"))
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that docs does not have, in any case."""
     taken = {c.lower() for c in docs.columns}

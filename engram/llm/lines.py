@@ -36,19 +36,20 @@ def drop_repeated_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, text without repeated windows, n_lines, n_removed of every row.
 
     Lines are cut at line feeds and compared without blanks at their ends.  Of a run of `size`
-    lines that occurs more than once, the place with the smallest (doc_id, line) stays; lines
+    lines that occurs more than once, the place with the smallest (doc_id, mark, line) stays; lines
     covered by any later place are removed, judged on the input.  Runs of blank lines only,
     texts of fewer lines and null texts (read as empty, one line) lose nothing.  Rows without
-    an id come last; rows that share id and text are one place.
+    an id come last.  Rows that share id and text are one place; those that share an id (or have
+    none) and differ in text are told apart by its hash.
     """
-    source = C.texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("_place"),
+    row = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), C.mark().alias("mark"))
+    source = C.texts(docs).select("doc_id", row.alias("_place"),
                                   F.split("text", "\n", -1).alias("_lines"))
     windows = _windows(source, size)
     # Occurrences are combined before the shuffle; only repeated windows are written.
     first = C.staged(windows.groupBy("a", "b").agg(
-        F.min(F.struct("_place", "line")).alias("first"),
-        F.max(F.struct("_place", "line")).alias("last"))
-        .filter("first < last").drop("last"), "repeated-windows")
+        F.min(F.struct("_place", "line")).alias("first"), F.count("*").alias("n"))
+        .filter("n > 1").drop("n"), "repeated-windows")
     later = windows.join(first, ["a", "b"]).filter(F.struct("_place", "line") > F.col("first"))
     starts = later.groupBy("_place").agg(F.collect_set("line").alias("_starts"))
     covered = F.array_distinct(F.flatten(F.transform(

@@ -96,7 +96,7 @@ def _pieces(column: pa.Array, length: int):
                    (begin, min(begin + CHUNK, len(data))))
 
 
-ANCHOR = "doc_id long, mark int, h long, a long, b long, begin long, size int, left int"
+ANCHOR = "doc_id long, mark binary, h long, a long, b long, begin long, size int, left int"
 
 
 def _anchor_rows(length: int):
@@ -120,7 +120,7 @@ def _anchor_rows(length: int):
     return run
 
 
-SPAN = "doc_id long, mark int, begin long, size long"
+SPAN = "doc_id long, mark binary, begin long, size long"
 
 
 def _shared_ends(order: list[tuple]) -> list[int]:
@@ -206,7 +206,8 @@ def repeated_spans(groups: list[int], texts: list[bytes], left: list[int], place
 
 def _shard(length: int):
     def run(table: pa.Table) -> pa.Table:
-        document = np.stack([np.asarray(table["doc_id"]), np.asarray(table["mark"])])
+        marks = table["mark"].combine_chunks().dictionary_encode().indices
+        document = np.stack([np.asarray(table["doc_id"]), np.asarray(marks)])
         _, document = np.unique(document, axis=1, return_inverse=True)
         begin = np.asarray(table["begin"])
         row, first, last = repeated_spans(
@@ -214,7 +215,7 @@ def _shard(length: int):
             document.reshape(-1).astype(np.int64) << 40 | begin, length)
         which = pa.array(row)
         return pa.table({"doc_id": table["doc_id"].take(which).cast(pa.int64()),
-                         "mark": table["mark"].take(which).cast(pa.int32()),
+                         "mark": table["mark"].take(which),
                          "begin": pa.array(begin[row] + first, pa.int64()),
                          "size": pa.array(last - first + length - 1, pa.int64())})
 
@@ -287,7 +288,7 @@ def _rows(batch: pa.RecordBatch):
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else ((),) * len(names)
-    kinds = [pa.int32() if n == "mark" else pa.int64() for n in names]
+    kinds = [pa.binary() if n == "mark" else pa.int64() for n in names]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -346,7 +347,7 @@ def _by_string(many: DataFrame, length: int) -> DataFrame:
     another first; runs that are equal as a whole are settled, and of the different ones every
     single string is compared.  Only hashes are grouped."""
     cores = C.staged(many.select("doc_id", "mark", "h", "begin", "left", "bytes").mapInArrow(
-        _cores(length), "doc_id long, mark int, h long, start long, left long, run long, "
+        _cores(length), "doc_id long, mark binary, h long, start long, left long, run long, "
                         "c long, d long, a long, b long, first long, size long")
         .withColumn("begin", F.col("start") + F.col("first")), "cores")
     kind = F.struct("a", "b", "size")
@@ -365,7 +366,7 @@ def _by_string(many: DataFrame, length: int) -> DataFrame:
             .agg(F.collect_set("run").alias("runs")))
     strings = many.join(runs, ["doc_id", "mark", "h", "begin", "left"]).mapInArrow(
         _singles(length),
-        "doc_id long, mark int, h long, begin long, size long, a long, b long")
+        "doc_id long, mark binary, h long, begin long, size long, a long, b long")
     return settled.unionByName(_settled(C.staged(strings, "strings"), ["h", "a", "b"]))
 
 
@@ -402,7 +403,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     none = -(1 << 63)
     source = C.texts(docs).select(F.coalesce("doc_id", F.lit(none)).alias("doc_id"),
-                                  F.hash("text").alias("mark"), "text")
+                                  C.mark().alias("mark"), "text")
     found = spans(source, length).groupBy("doc_id", "mark").agg(
         F.collect_set(F.struct("begin", "size")).alias("spans"))
     return (source.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")

@@ -323,6 +323,19 @@ def test_repeated_lines(spark):
     assert lines.drop_repeated_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_lines_of_rows_that_share_an_id(spark):
+    rnd = random.Random(16)
+    rows = [(rnd.choice([None, None, 1, 2]), "\n".join(
+        rnd.choice("abcdefg") for _ in range(rnd.randint(0, 9)))) for _ in range(60)]
+    rows += [(None, "p\nq\nr\nown"), (None, "p\nq\nr\nalone"), (None, "u\nv\nw\nx\ny"), (3, "m\nn\no"),
+             (3, "k\nm\nn\no"), (3, "k\nl\nm1\nn1\no1")]
+    places = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    want = brute_lines([(k, t) for k, (_, t) in enumerate(places)])
+    got = lines.drop_repeated_lines(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in got) == sorted(
+        (i or 0, *want[places.index((i, t))]) for i, t in rows)
+
+
 def test_suffix_arrays():
     rnd = random.Random(0)
     for _ in range(400):
@@ -391,3 +404,16 @@ def test_remove_repeats_edges(spark, monkeypatch):
     size = len(long)
     assert got == [(0, 0, 0, 0), (1, size, size - 500, 1), (1, size, size - 500, 1), (2, size - 500, size - 500, 1)]
     assert substring.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_remove_repeats_of_rows_without_id_and_equal_short_hashes(spark):
+    shared = " ".join(words(random.Random(21), 120, 10**6))
+    texts = spark.range(300_000).selectExpr(f"concat(id, ' ', '{shared}') as text").selectExpr("text", "hash(text) as h")
+    low, high = texts.groupBy("h").agg({"text": "min", "*": "count"}).filter("`count(1)` > 1").join(
+        texts, "h").selectExpr("h", "text").orderBy("h", "text").limit(2).collect()
+    assert low.h == high.h and low.text != high.text
+    rows = [(None, low.text), (None, high.text), (None, low.text)]
+    got = sorted((bytes(r.kept), r.n_removed)
+                 for r in substring.remove_repeats(frame(spark, rows)).collect())
+    want = brute_repeats([(0, low.text), (1, high.text)], 400)
+    assert got == sorted((want[k][0], want[k][2]) for k in (0, 1, 0))
