@@ -15,6 +15,9 @@ from engram.llm import common as C
 
 #: Token positions that each mask compares.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 5))
+#: Further masks for whole items of so many tokens, where the two miss some substitutions.
+SHORT_MASKS = {5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)), 6: ((0, 2, 3, 4),),
+               **{size: ((0, 1, 2, 3),) for size in (7, 8, 10, 11, 12, 15)}}
 #: An overlap counts when a stretch of this many tokens, or the whole shorter test item, has
 #: this percentage of equal tokens.
 STRETCH, PERCENT = 20, 80
@@ -30,12 +33,17 @@ def _tokens(df: DataFrame, *keep: str) -> DataFrame:
             .select(*keep, F.transform("_words", lambda x: F.xxhash64(x)).alias("w")))
 
 
-def _seeds(df: DataFrame, masks, *keep: str) -> DataFrame:
-    """A row for every mask and position: keep, place, seed."""
+def masks_of(size: int) -> tuple:
+    """Masks of an item of `size` tokens; under five no substitution keeps PERCENT of them."""
+    return (*MASKS, *SHORT_MASKS.get(size, ())) if size >= 5 else (tuple(range(size)),)
+
+
+def _seeds(df: DataFrame, masks, *keep: str, first: int = 0) -> DataFrame:
+    """A row for every mask (numbered from `first`) and position: keep, w, place, seed."""
     at = df.select(*keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("place"))
     picked = [F.when(F.col("place") + (mask[-1] + 1) <= F.size("w"),
                      F.xxhash64(F.lit(n), *[F.col("w")[F.col("place") + j] for j in mask]))
-              for n, mask in enumerate(masks)]
+              for n, mask in enumerate(masks, first)]
     return (at.select(*keep, "w", "place", F.explode(F.array(*picked)).alias("seed"))
             .filter("seed is not null"))
 
@@ -44,8 +52,8 @@ def overlaps(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """doc_id, item_id, n_overlaps, first_token, matched: a row for every text and test item that overlap.
 
     Two aligned sequences overlap when some STRETCH aligned tokens (or all of a shorter item)
-    have PERCENT equal ones.  The masks meet every such alignment whose stretch has 20 tokens
-    and four substitutions; items shorter than the longest mask must occur unchanged.
+    have PERCENT equal ones.  The masks meet every such alignment: stretches of 20 tokens
+    with four substitutions, and shorter items, for which there are further masks.
     n_overlaps counts alignments, matched is the largest number of equal tokens in one, and
     first_token the smallest position where one begins.  Null and wordless texts and items
     overlap with nothing; rows that share an id are compared one by one and reported together.
@@ -54,19 +62,14 @@ def overlaps(docs: DataFrame, tests: DataFrame) -> DataFrame:
                     "item_id").filter("size(w) > 0").select(
         "item_id", "w", F.xxhash64("item_id", "w").alias("item"))
     items = C.staged(items.distinct(), "test-items")
-    span = max(mask[-1] for mask in MASKS) + 1
-    # At most span - 1 numbers.
-    short = sorted(r[0] for r in items.filter(F.size("w") < span)
-                   .select(F.size("w")).distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    limit = F.when(F.size("w") < span, F.size("w"))
-    seeds = (_seeds(items.withColumn("short", limit), MASKS, "item", "short")
-             .filter("short is null"))
-    for n, size in enumerate(short, len(MASKS)):
-        whole = items.filter(F.size("w") == size).select(
-            "item", F.lit(None).cast("int").alias("short"), "w", F.lit(0).alias("place"),
-            F.xxhash64(F.lit(n), *[F.col("w")[j] for j in range(size)]).alias("seed"))
-        seeds = seeds.unionByName(whole)
+    # At most STRETCH - 1 numbers.
+    short = [r[0] for r in items.filter(F.size("w") < STRETCH)
+             .select(F.size("w")).distinct().collect()]
+    masks = [*MASKS, *sorted({m for size in short for m in masks_of(size)}.difference(MASKS))]
+    seeds = _seeds(items, MASKS, "item")
+    for n, mask in enumerate(masks[len(MASKS):], len(MASKS)):
+        fit = items.filter(F.size("w").isin([s for s in short if mask in masks_of(s)]))
+        seeds = seeds.unionByName(_seeds(fit, [mask], "item", first=n))
     seeds = C.staged(seeds.select("seed", "item", F.col("place").alias("item_place"),
                                   F.size("w").alias("item_size")), "test-seeds")
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))

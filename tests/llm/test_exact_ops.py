@@ -291,6 +291,25 @@ def test_masks_meet_every_alignment():
         assert all(any(not s & set(bad) for s in seeds) for bad in combinations(range(size), wrong))
 
 
+def test_short_items_meet_every_substitution(spark):
+    from itertools import combinations
+    items, rows, want = [], [], set()
+    for size in range(1, 20):
+        wrong = size * (100 - decontaminate.PERCENT) // 100
+        seeds = [{p + j for j in m} for m in decontaminate.masks_of(size) for p in range(size - m[-1])]
+        ways = list(combinations(range(size), wrong))
+        assert all(any(not s & set(bad) for s in seeds) for bad in ways), size
+        items.append((size, " ".join(f"i{size}w{k}" for k in range(size))))
+        for bad in [*(ways if size <= 15 else ways[::50]), tuple(range(wrong + 1))]:
+            text = ["x" if k in bad else f"i{size}w{k}" for k in range(size)]
+            rows.append((len(rows), " ".join(["some", "words", *text, "more"])))
+            if len(bad) == wrong:
+                want.add((rows[-1][0], size, 1, 2, size - wrong))
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlaps(frame(spark, rows), tests).collect()
+    assert {tuple(r) for r in got} == want
+
+
 def brute_lines(rows):
     places, gone = {}, {}
     split = {i: (t or "").split("\n") for i, t in rows}
