@@ -121,12 +121,16 @@ def _scored(data, offsets, model):
     return value, np.searchsorted(rows, np.arange(len(offsets))), starts, ends
 
 
-def _rate(values: np.ndarray) -> float:
-    """The positive root of mean(exp(rate * score)) = 1 over words of clean text."""
-    if not (values > 0).any():
+def _rate(above: np.ndarray, others: int, mean: float) -> float:
+    """The positive root of mean(exp(rate * score)) = 1 over words of clean text.
+
+    above: scores over nought; the `others` stand for themselves by their mean.
+    """
+    if not len(above):
         return 1.0
     low, high = 0.0, 1.0
-    grow = lambda r: np.mean(np.exp(np.minimum(r * values, 50))) - 1
+    grow = lambda r: (np.exp(np.minimum(r * above, 50)).sum() + others * np.exp(r * mean)
+                      - len(above) - others)
     while grow(high) < 0 and high < 64:
         high *= 2
     for _ in range(50):
@@ -245,9 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, condition, per_class: int = 10_000
     above = seen["above"].combine_chunks().flatten().to_numpy()
     others = int(size[clean].sum()) - len(above)
     mean = float(np.asarray(seen["below"]).sum()) / max(others, 1)
-    # The words at or under nought stand for themselves by their mean.
-    every = np.concatenate((above, np.full(min(others, 2_000_000), mean)))
-    lam = _rate(every)
+    lam = _rate(above, others, mean)
     hit = clean & (best > 0)
     constant = (float(np.exp(np.mean(lam * best[hit] - np.log(np.maximum(size[hit], 1))) - EULER))
                 if hit.any() else 0.01)

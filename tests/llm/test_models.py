@@ -162,3 +162,12 @@ def test_pipeline_on_empty_and_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, part, SF).collect()
     # The empty texts are copies of each other; every other odd row is clean.
     assert part.count() == len(EDGES) - 1
+
+
+def test_rate_counts_every_word():
+    above, mean = np.linspace(0.1, 3, 1000), -0.02
+    explicit = np.concatenate((above, np.full(4_000_000, mean)))
+    rate = toxicity._rate(above, 4_000_000, mean)
+    assert abs(np.mean(np.exp(rate * explicit)) - 1) < 1e-9
+    assert toxicity._rate(above, 2_000_000, mean) != rate
+    assert toxicity._rate(above[:0], 10, mean) == 1.0
