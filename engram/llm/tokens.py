@@ -41,15 +41,16 @@ class Encoder:
     character other than white space, and ends a piece after a run of letters; a text may be
     cut at both.  So a text becomes its first word, and words with a space before them.
     Words of letters only are encoded together by the same BPE model, other words by the
-    full tokenizer; trailing punctuation is a word of its own.  A vocabulary for which the
-    cuts do not hold is used text by text.
+    full tokenizer; trailing punctuation is a word of its own.  A text that holds an added
+    token is encoded whole, and so is every text if the cuts do not hold for the vocabulary.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.cache: dict[str, bytes] = {}
         alphabet = dict(enumerate(_byte_letters()))
         self.letters = alphabet
@@ -140,6 +141,10 @@ class Encoder:
         end = np.array([END_ID], dtype="<u4").tobytes()
         if self.joint is None:
             return [self._whole(t) + end for t in batch]
+        special = {i: self._whole(t) + end for i, t in enumerate(batch) if self.added.search(t)}
+        if special:
+            rest = iter(self.encode([t for i, t in enumerate(batch) if i not in special]))
+            return [special[i] if i in special else next(rest) for i in range(len(batch))]
         out, step = [], 256
         for first in range(0, len(batch), step):
             cut = [_pieces(t) for t in batch[first:first + step]]

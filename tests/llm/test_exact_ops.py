@@ -41,6 +41,16 @@ def test_encoder_equals_whole_text_encoding(encoder):
         assert raw == np.array(encoder._plain(text) + [0], dtype="<u4").tobytes(), text
 
 
+def test_added_tokens_are_encoded_as_the_library_does(encoder):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "a b", "<|endoftext|>", "x<|endoftext|>\ny.", "<|endoftext| >", "", "c"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for ids, raw in zip(want, encoder.encode(texts), strict=True):
+        assert raw == np.array(ids + [0], dtype="<u4").tobytes()
+
+
 def test_encoder_with_a_small_memory(encoder, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
     rnd = random.Random(2)
