@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engram.llm import common as C
 from engram.llm import (
+    audit,
     decontaminate,
     exact,
     language,
@@ -16,6 +17,8 @@ from engram.llm import (
     minhash,
     packing,
     quality,
+    ranking,
+    secrets,
     substring,
     tokens,
     toxicity,
@@ -88,10 +91,24 @@ def op10_byte_convolution(spark, sf_dir):
         "doc_id", (C.crc_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_document_tree(spark, sf_dir):
+    return ranking.search(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_network(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
+def op13_gray_code_audit(spark, sf_dir):
+    return audit.audit(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_blocks, op2_toxic_segments, op3_content_sort, op4_spaced_seeds,
     op5_neighbour_votes, op6_best_fit_packing, op7_hyperminhash, op8_induced_suffixes,
-    op9_line_windows, op10_byte_convolution)}
+    op9_line_windows, op10_byte_convolution,
+    op11_document_tree, op12_secret_network, op13_gray_code_audit)}
 
 ORACLES = {
     "op3_content_sort": r"""
@@ -128,4 +145,6 @@ ORACLES = {
                doc_id = component_id AS kept
         FROM comp LEFT JOIN n USING (doc_id)""",
     "op9_line_windows": lines.ORACLE_SQL,
+    "op11_document_tree": ranking.ORACLE_SQL,
+    "op13_gray_code_audit": audit.ORACLE_SQL,
 }
