@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm import common as C
+
 LETTERS = "ABCDE"
 #: The filter that looks at other rows; the ones before it look at the text alone.
 REPEATED = LETTERS.index("E")
@@ -65,9 +67,10 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce(F.max((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("toxic"))
     rows = rows.join(known, "key", "left").na.fill(0, ["good", "toxic"])
     # Copies are summed before and after the shuffle; the first of them is told by its id.
-    copies = rows.groupBy("h", "part", "mask", "good", "toxic").agg(
+    # The sums are read twice, so they are written once.
+    copies = C.staged(rows.groupBy("h", "part", "mask", "good", "toxic").agg(
         F.sum("n").alias("n"), F.min("id").alias("low"), F.min_by("n", "id").alias("at_low"),
-        F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("nameless"))
+        F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("nameless")), "copies")
     lowest = copies.groupBy("h").agg(F.min("low").alias("lowest"))
     first = F.when(F.col("low") == F.col("lowest"), F.col("at_low")).otherwise(0)
     counted = copies.join(lowest, "h").withColumn(
