@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs_ratio(a: str, b: str) -> float:
-    """2 LCS / (m + n) of trimmed lower-case texts; row-parallel over the shorter one."""
-    a, b = a.lower().strip(), b.lower().strip()
+def subsequence_ratio(a: str, b: str) -> float:
+    """2 LCS / (m + n); row-parallel over the bits of an integer."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -27,6 +26,11 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def lcs_ratio(a: str, b: str) -> float:
+    """The ratio of trimmed lower-case texts."""
+    return subsequence_ratio(a.lower().strip(), b.lower().strip())
+
+
 @F.pandas_udf(T.DoubleType())
 def content_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -1,10 +1,4 @@
-"""The versioned memory: candidates -> version history of every topic.
-
-Set form.  A chain is (user, type, topic).  Along a chain, an equal content (trimmed,
-case-folded) reinforces the current version, another content starts the next version,
-and a close (revocation, correction of an item, obsolescence) ends it.  Revocations and
-corrections find their targets by equi-joins on tokens and content grams.
-"""
+"""Reading the versioned memory: as of a point, audits, snapshots, conflicts, obsolescence."""
 
 from __future__ import annotations
 
@@ -12,264 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import fixed_values as V
-from engram.functions.similarity import similar_texts
-from engram.operators import chains
 from engram.operators.substrings import containment
-from engram.session import cut_lineage
-
-CHAIN = ["user_id", "type", "topic_key"]
-ORDER = ["seq", "pos"]
-ITEM_FIELDS = ["subject", "predicate", "value", "scope"]
-
-CLOSE_SCHEMA = ("user_id bigint, type string, topic_key string, seq bigint, pos int, "
-                "ts timestamp_ntz, close_status string")
-
-
-def assertions(routed: DataFrame) -> DataFrame:
-    """Durable candidates that state something (everything but revocations)."""
-    return (routed.filter("bucket = 'store' and revocation is null")
-            .withColumn("state", F.lower(F.trim(F.regexp_replace(
-                "candidate_content", r"^\s+|\s+\z", ""))))
-            .select(*CHAIN, *ORDER, "ts", "state", F.col("candidate_content").alias("content"),
-                    "authority", "is_correction", "correction", *ITEM_FIELDS, "confidence",
-                    "importance", "stability", "freshness"))
-
-
-def admitted(events: DataFrame, line: chains.Whole) -> DataFrame:
-    """Drops speculation that may not replace what is active.
-
-    Within an epoch (between closes) speculation counts only while nothing firm has been
-    said: the first such statement, a better founded one after it, or a repetition of the
-    content that holds.
-    """
-    closing = F.col("close_status").isNotNull()
-    weak = ~closing & (F.col("authority") == "speculation")
-    firm = F.struct(F.when(closing, F.lit(None)).otherwise(F.col("state")).alias("s"))
-    marked = line.running(
-        events.withColumn("_weak", weak), sums={"_epoch": closing.cast("int")},
-        lasts={"_firm": F.when(~F.col("_weak"), firm)})
-    opened = line.firsts(marked, "_epoch", {
-        "_first": F.when(F.col("_weak"), F.col("state")),
-        "_raised": F.when(F.col("_weak") & (F.col("confidence") > 0.6), F.col("state"))})
-    holds = F.coalesce("_firm.s", "_raised", "_first")
-    return opened.filter(~F.col("_weak") | (F.col("state") == holds)).drop(
-        "_weak", "_epoch", "_firm", "_first", "_raised")
-
-
-def segment(asserted: DataFrame, closes: DataFrame | None = None,
-            hot: DataFrame | None = None, chunk: int = chains.CHUNK) -> DataFrame:
-    """Version rows of every chain, with end position, end status and version number.
-
-    ``hot``: the chains to be walked in chunks (chains.hot_chains)."""
-    events = asserted.withColumn("close_status", F.lit(None).cast("string"))
-    if closes is not None:
-        events = events.unionByName(closes, allowMissingColumns=True)
-    return versions_of(chains.along(events, CHAIN, ORDER, numbered, hot, chunk))
-
-
-def numbered(events: DataFrame, line: chains.Whole) -> DataFrame:
-    """Admitted events with their segment and place in the chain, and the last close."""
-    closing = F.col("close_status").isNotNull()
-    events = admitted(events, line).withColumn("_state", F.struct(
-        F.when(closing, F.lit("")).otherwise(F.col("state")).alias("s"), closing.alias("c")))
-    events = line.previous(events, "_state", "_before")
-    events = events.withColumn("_starts", ~F.col("_state").eqNullSafe(F.col("_before")))
-    events = line.running(events, sums={"segment": F.col("_starts").cast("long"),
-                                        "_index": F.lit(1).cast("long")})
-    return line.running(events, lasts={
-        "_closed_at": F.when(closing & F.col("_starts"), F.col("segment"))})
-
-
-def versions_of(events: DataFrame) -> DataFrame:
-    """One row per segment that states something."""
-    closing = F.col("close_status").isNotNull()
-    # Every row speaks for its own segment; the row that starts a segment also ends the
-    # one before.  One aggregation then has both ends of a version.
-    end_status = F.when(closing, F.col("close_status")).otherwise("superseded")
-    spoken = events.withColumn("_e", F.explode(F.expr(
-        "CASE WHEN _starts AND segment > 1 THEN array("
-        "named_struct('segment', segment, 'is_end', false), "
-        "named_struct('segment', segment - 1, 'is_end', true)) "
-        "ELSE array(named_struct('segment', segment, 'is_end', false)) END")))
-    rows = spoken.withColumn("segment", F.col("_e.segment")).withColumn(
-        "_end", F.col("_e.is_end"))
-    place = F.struct(*ORDER)
-    said = ~F.col("_end") & F.col("close_status").isNull()
-    at = F.when(said, place)
-    step = V.MERGE_STABILITY_STEP
-    bump = F.when(F.col("_starts"), 0.0).otherwise(step)
-
-    def latest(name):
-        return F.max_by(name, F.when(said & (F.coalesce(name, F.lit("")) != ""), place)
-                        ).alias(name)
-    versions = rows.groupBy(*CHAIN, "segment").agg(
-        F.min(at).alias("_start"), F.min_by("ts", at).alias("started_at"),
-        F.min_by("content", at).alias("content"), F.min_by("state", at).alias("state"),
-        F.min_by("authority", at).alias("authority"),
-        F.min_by("is_correction", at).alias("is_correction"),
-        F.min_by("correction", at).alias("correction"),
-        *[latest(n) for n in ITEM_FIELDS],
-        F.max(F.when(said, F.col("confidence"))).alias("confidence"),
-        F.max(F.when(said, F.col("importance"))).alias("importance"),
-        F.max(F.when(said, F.col("freshness"))).alias("freshness"),
-        F.max(F.when(said, F.col("stability") + bump - F.col("_index") * step)).alias("_s"),
-        F.max(F.when(said, F.col("_index"))).alias("_last_index"),
-        F.max(F.when(said, F.col("_closed_at"))).alias("_closed_at"),
-        F.count(F.when(said, 1)).alias("source_count"),
-        F.max(at).alias("_last"), F.max_by("ts", at).alias("updated_at"),
-        F.min(F.when(F.col("_end"), place)).alias("_ended"),
-        F.min_by("ts", F.when(F.col("_end"), place)).alias("ended_at"),
-        F.min_by(end_status, F.when(F.col("_end"), place)).alias("end_status"),
-    ).filter("_start is not null")
-    version = F.col("segment") - F.coalesce("_closed_at", F.lit(0))
-    item_id = F.md5(F.concat_ws("|", *CHAIN, "segment"))
-    before = F.md5(F.concat_ws("|", *CHAIN, F.col("segment") - 1))
-    return versions.select(
-        item_id.alias("item_id"), *CHAIN, "segment", version.alias("version"), "content",
-        "state", *ITEM_FIELDS, "confidence", "importance",
-        F.round(F.least(F.lit(1.0), F.col("_s") + F.col("_last_index") * step), 6)
-        .alias("stability"),
-        "freshness", "authority", "is_correction", "correction", "source_count",
-        F.col("_start.seq").alias("started_seq"), F.col("_start.pos").alias("started_pos"),
-        "started_at", F.col("_last.seq").alias("updated_seq"), "updated_at",
-        F.col("_ended.seq").alias("ended_seq"), F.col("_ended.pos").alias("ended_pos"),
-        "ended_at", "end_status",
-        F.when(version > 1, before).alias("supersedes_id"))
-
-
-def _holds_at(seq: str, pos: str):
-    """The version is current just before position (seq, pos)."""
-    at = F.struct(F.col(seq), F.col(pos))
-    begin = F.struct(F.col("started_seq").alias(seq), F.col("started_pos").alias(pos))
-    end = F.struct(F.col("ended_seq").alias(seq), F.col("ended_pos").alias(pos))
-    return (begin < at) & (F.col("ended_seq").isNull() | (end >= at))
-
-
-def revocation_targets(routed: DataFrame, versions: DataFrame) -> DataFrame:
-    """Every version a revocation ends: it shares a word of the target with the content or
-    topic, or contains the revoked value."""
-    asks = routed.filter("bucket = 'store' and revocation is not null").select(
-        "user_id", F.col("seq").alias("r_seq"), F.col("pos").alias("r_pos"),
-        F.col("ts").alias("r_ts"), F.lower("revocation.target").alias("target"),
-        F.lower(F.trim("revocation.value")).alias("needle"))
-    tokens = "regexp_extract_all(lower(concat({0})), '[a-z0-9]+', 0)"
-    by_word = asks.withColumn("word", F.explode(F.array_distinct(F.expr(
-        tokens.format("target"))))).drop("target", "needle")
-    held = versions.select(
-        "item_id", *CHAIN, "started_seq", "started_pos", "ended_seq", "ended_pos",
-        F.explode(F.array_distinct(F.expr(tokens.format("content, ' ', topic_key"))))
-        .alias("word"))
-    word_hits = by_word.join(held, ["user_id", "word"]).filter(_holds_at("r_seq", "r_pos"))
-    # Contents that contain a revoked value, found on distinct texts per user.
-    found = containment(
-        versions.select("user_id", F.lower("content").alias("text")),
-        asks.select("user_id", "needle"), ["user_id"])
-    value_hits = (
-        asks.filter("needle <> ''").drop("target").join(found.drop("text"), ["user_id", "needle"])
-        .join(versions.withColumn("text_id", F.xxhash64(F.lower("content"))),
-              ["user_id", "text_id"])
-        .filter(F.lower("content").contains(F.col("needle")))
-        .filter(_holds_at("r_seq", "r_pos")))
-    cols = ["item_id", *CHAIN, "r_seq", "r_pos", "r_ts"]
-    return word_hits.select(*cols).unionByName(value_hits.select(*cols)).distinct()
-
-
-def correction_targets(asserted: DataFrame, versions: DataFrame) -> DataFrame:
-    """The oldest current version whose content contains the corrected value; where there is
-    none, the current version most similar to it, from CORRECTION_SIMILARITY on."""
-    asks = asserted.filter("coalesce(correction.old_value, '') <> ''").select(
-        "user_id", F.col("seq").alias("r_seq"), F.col("pos").alias("r_pos"),
-        F.col("ts").alias("r_ts"), F.col("type").alias("own_type"),
-        F.col("topic_key").alias("own_topic"),
-        F.lower(F.trim("correction.old_value")).alias("needle"))
-    found = containment(
-        versions.select("user_id", F.lower("content").alias("text")),
-        asks.select("user_id", "needle"), ["user_id"])
-    held = (asks.join(found.drop("text"), ["user_id", "needle"])
-            .join(versions.withColumn("text_id", F.xxhash64(F.lower("content"))),
-                  ["user_id", "text_id"])
-            .filter(_holds_at("r_seq", "r_pos"))
-            .filter(F.lower("content").contains(F.col("needle")))
-            .withColumn("_far", F.lit(0.0)).drop("text_id"))
-    place = ["user_id", "r_seq", "r_pos"]
-    missed = asks.join(held.select(*place), place, "left_anti")
-    known = versions.join(missed.select("user_id").distinct(), "user_id", "left_semi")
-    close = similar_texts(missed.select("user_id", F.col("needle").alias("text")),
-                          known.select("user_id", F.col("content").alias("text")),
-                          ["user_id"], V.CORRECTION_SIMILARITY)
-    alike = (missed.join(close.withColumnRenamed("left_text", "needle"), ["user_id", "needle"])
-             .join(known.withColumn("right_text", F.trim(F.lower("content"))),
-                   ["user_id", "right_text"])
-             .filter(_holds_at("r_seq", "r_pos"))
-             .withColumn("_far", -F.col("similarity")).drop("right_text", "similarity"))
-    oldest = F.struct("_far", "started_seq", "started_pos", "type", "topic_key")
-    return held.unionByName(alike).groupBy(*place).agg(
-        F.min_by("type", oldest).alias("type"),
-        F.min_by("topic_key", oldest).alias("topic_key"),
-        F.min_by("item_id", oldest).alias("item_id"), F.first("r_ts").alias("r_ts"),
-        F.first("own_type").alias("own_type"), F.first("own_topic").alias("own_topic"))
-
-
-def _as_closes(targets: DataFrame, status: str) -> DataFrame:
-    return targets.select(
-        *CHAIN, F.col("r_seq").alias("seq"), F.col("r_pos").alias("pos"),
-        F.col("r_ts").alias("ts"), F.lit(status).alias("close_status")).distinct()
-
-
-def apply_candidates(routed: DataFrame, hot_rows: int = chains.HOT_CHAIN_ROWS,
-                     chunk: int = chains.CHUNK) -> DataFrame:
-    """Version history from routed candidates, as if they were applied one after the other.
-
-    What a revocation or correction ends depends on what the ones before it ended.  So the
-    ends are looked up in a history that has the ends found so far, again and again for the
-    users whose ends still change: after n rounds the first n of every user are final.
-    """
-    asserted = assertions(routed)
-    hot = chains.hot_chains(asserted, CHAIN, hot_rows)
-    asking = routed.filter("bucket = 'store' and revocation is not null").select(
-        "user_id").unionByName(asserted.filter(
-            "coalesce(correction.old_value, '') <> ''").select("user_id"))
-    moving = cut_lineage(asking.distinct())
-    closes = None
-    while not moving.isEmpty():
-        own = asserted.join(moving, "user_id", "left_semi")
-        before = closes and closes.join(moving, "user_id", "left_semi")
-        versions = cut_lineage(segment(own, before, hot, chunk))
-        revoked = revocation_targets(routed.join(moving, "user_id", "left_semi"), versions)
-        # A correction in its own topic already supersedes by stating the new value.
-        elsewhere = correction_targets(own, versions).filter(
-            "type <> own_type or topic_key <> own_topic")
-        now = cut_lineage(_as_closes(revoked, "revoked").unionByName(
-            _as_closes(elsewhere, "superseded")))
-        both = now if before is None else now.unionByName(before)
-        # Ends found twice in a row are the same in both; any other moved.
-        moved = both.groupBy(*now.columns).count().filter("count = 1")
-        closes = now if closes is None else cut_lineage(
-            closes.join(moving, "user_id", "left_anti").unionByName(now))
-        moving = cut_lineage(moved.select("user_id").distinct())
-    final = cut_lineage(segment(asserted, closes, hot, chunk))
-    if closes is None:
-        return final
-    # A correction that ended an item of another topic links to it.
-    cross = final.filter("end_status = 'superseded'").join(
-        closes.filter("close_status = 'superseded'").select(
-            *CHAIN, F.col("seq").alias("ended_seq"), F.col("pos").alias("ended_pos")),
-        [*CHAIN, "ended_seq", "ended_pos"]).select(
-            "user_id", F.col("ended_seq").alias("started_seq"),
-            F.col("ended_pos").alias("started_pos"), F.col("item_id").alias("_corrects"))
-    linked = final.join(cross, ["user_id", "started_seq", "started_pos"], "left")
-    return linked.withColumn("supersedes_id", F.coalesce("_corrects", "supersedes_id")).drop(
-        "_corrects").select(final.columns)
-
-
-def with_information_gain(versions: DataFrame) -> DataFrame:
-    """0.05 once reinforced, 0.85 for the first item of its type, else 0.8."""
-    place = F.struct("started_seq", "started_pos", "topic_key")
-    first = versions.groupBy("user_id", "type").agg(F.min(place).alias("_first"))
-    joined = versions.join(first, ["user_id", "type"])
-    gain = (F.when(F.col("source_count") > 1, 0.05).when(place == F.col("_first"), 0.85)
-            .otherwise(0.8))
-    return joined.withColumn("information_gain", gain).drop("_first")
 
 
 def memory_as_of(versions: DataFrame, as_of=None, by: str = "seq") -> DataFrame:

@@ -469,98 +469,131 @@ routed AS (SELECT *, CASE WHEN {noise('cc')} THEN 'discard'
     {route('cc', V.CONTEXT_KEYS, q(V.DEFAULT_CONTEXT_KEY))} AS context_key FROM cand)"""
 
 
-def chain_cte(name: str, events: str) -> str:
-    """Version rows of chains from ``events`` (keys, seq, pos, state, close_status, ...)."""
-    chain = "user_id, type, topic_key"
+def close_pairs_cte() -> str:
+    """close(kind, l, r, sim): pairs of contents (kind: a type) or of an old value and a content
+    (kind: '') with a similarity of 0.75 or more.
+
+    The length of the longest common subsequence comes from one bit per character of the left
+    text, which has 126 at most; a longer one makes the query fail."""
+    one, full = "1::UHUGEINT", "((1::UHUGEINT << len(l)::UHUGEINT) - 1::UHUGEINT)"
+    row = (f"list_reduce(list_prepend({full}, list_transform(string_split(r, ''), lambda c: "
+           f"list_reduce(list_prepend(0::UHUGEINT, list_transform(range(len(l)), lambda i: "
+           f"CASE WHEN l[i + 1] = c THEN {one} << i::UHUGEINT ELSE 0::UHUGEINT END)), "
+           "lambda p, q: p | q))), lambda acc, hit: ((acc + (acc & hit)) | (acc - (acc & hit))) "
+           f"& {full})")
     return f"""
-{name}_e0 AS (SELECT *, close_status IS NULL AND authority = 'speculation' AS weak,
-    sum(CASE WHEN close_status IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {chain}
-        ORDER BY seq, pos) AS epoch FROM {events}),
-{name}_e1 AS (SELECT *, last_value(CASE WHEN close_status IS NULL AND NOT weak THEN state END
-        IGNORE NULLS) OVER (PARTITION BY {chain}, epoch ORDER BY seq, pos) AS firm,
-    first_value(CASE WHEN weak THEN state END IGNORE NULLS) OVER (
-        PARTITION BY {chain}, epoch ORDER BY seq, pos) AS opening,
-    first_value(CASE WHEN weak AND confidence > 0.6 THEN state END IGNORE NULLS) OVER (
-        PARTITION BY {chain}, epoch ORDER BY seq, pos) AS raised FROM {name}_e0),
-{name}_e AS (SELECT * FROM {name}_e1 WHERE NOT weak OR (firm IS NOT NULL AND state = firm)
-    OR (firm IS NULL AND state = coalesce(raised, opening))),
-{name}_c AS (SELECT *, CASE WHEN coalesce(close_status, '-') <> '-' THEN 'C' ELSE 'S' || state
-    END AS st FROM {name}_e),
-{name}_p AS (SELECT *, lag(st) OVER w AS prev FROM {name}_c
-    WINDOW w AS (PARTITION BY {chain} ORDER BY seq, pos)),
-{name}_s AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> st THEN 1 ELSE 0 END) OVER w
-    AS segment, row_number() OVER w AS idx FROM {name}_p
-    WINDOW w AS (PARTITION BY {chain} ORDER BY seq, pos)),
-{name}_g AS (SELECT {chain}, segment, min(seq) AS s_seq, min((seq, pos)) AS s_at,
-    arg_min(content, (seq, pos)) AS content, arg_min(state, (seq, pos)) AS state,
-    arg_min(is_correction, (seq, pos)) AS is_correction,
-    arg_min(close_status, (seq, pos)) AS close_status,
-    first(c_target ORDER BY seq, pos) AS c_target, first(c_old ORDER BY seq, pos) AS c_old,
-    first(c_new ORDER BY seq, pos) AS c_new, arg_max(subject, (seq, pos)) AS subject,
-    arg_max(predicate, (seq, pos)) AS predicate, arg_max(val, (seq, pos)) AS value,
-    arg_max(item_scope, (seq, pos)) AS scope, max(confidence) AS confidence,
-    max(importance) AS importance, max(stability - 0.08 * idx + CASE WHEN prev IS NULL
-        OR prev <> st THEN 0 ELSE 0.08 END) AS sm, max(idx) AS last_idx, count(*) AS source_count,
-    max(seq) AS updated_seq FROM {name}_s GROUP BY ALL),
-{name}_n AS (SELECT *, lead(s_at) OVER w AS n_at, lead(s_seq) OVER w AS n_seq,
-    lead(close_status) OVER w AS n_close, max(CASE WHEN close_status IS NOT NULL THEN segment END)
-        OVER w AS closed_at, lead(segment) OVER w AS n_segment FROM {name}_g
-    WINDOW w AS (PARTITION BY {chain} ORDER BY segment)),
-{name} AS (SELECT md5(concat_ws('|', user_id, type, topic_key, segment::BIGINT)) AS item_id,
-    {chain}, segment::BIGINT AS segment, (segment - coalesce(closed_at, 0))::BIGINT AS version,
-    content, state, subject, predicate, value, scope, confidence, importance,
-    round(least(1, sm + 0.08 * last_idx), 6) AS stability, is_correction, c_target, c_old, c_new,
-    source_count, s_seq AS started_seq, s_at, updated_seq, n_seq AS ended_seq, n_at AS ended_at,
-    CASE WHEN n_seq IS NOT NULL THEN coalesce(n_close, 'superseded') END AS end_status,
-    CASE WHEN segment - coalesce(closed_at, 0) > 1 THEN md5(concat_ws('|', user_id, type,
-        topic_key, segment::BIGINT - 1)) END AS supersedes_id
-    FROM {name}_n WHERE close_status IS NULL)"""
-
-
-#: Rounds of the check SQL; the ends of the test tables settle in fewer.
-ROUNDS = 4
+mem_texts AS (SELECT DISTINCT type AS kind, lower({strip('cc')}) AS x FROM routed
+    WHERE bucket = 'store' AND r_target IS NULL),
+mem_olds AS (SELECT DISTINCT lower(trim(c_old)) AS x FROM routed
+    WHERE bucket = 'store' AND coalesce(c_old, '') <> ''),
+mem_pairs AS (SELECT a.kind, a.x AS l, b.x AS r FROM mem_texts a JOIN mem_texts b ON a.kind = b.kind
+        AND 2 * least(len(a.x), len(b.x)) >= 0.75 * (len(a.x) + len(b.x))
+    UNION ALL SELECT DISTINCT '', o.x, t.x FROM mem_olds o JOIN mem_texts t
+        ON 2 * least(len(o.x), len(t.x)) >= 0.75 * (len(o.x) + len(t.x))),
+mem_measured AS (SELECT kind, l, r, CASE WHEN l = r THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (len(l)
+    - bit_count(({row})::HUGEINT)) / (len(l) + len(r)) END AS sim FROM mem_pairs),
+mem_close AS (SELECT * FROM mem_measured WHERE sim >= 0.75)"""
 
 
 def memory_cte() -> str:
-    """final: the version history of the utterances."""
+    """final: the version history of the utterances, by applying one candidate after the other.
+
+    walk holds the active items of every user after each candidate; `born` is the number of the
+    candidate that made an item."""
     words = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
-    held = "v.s_at < (r.seq, r.pos) AND (v.ended_at IS NULL OR v.ended_at >= (r.seq, r.pos))"
-    cols = ("user_id, type, topic_key, seq, pos, state, content, authority, is_correction, "
-            "c_target, c_old, c_new, subject, predicate, val, item_scope, confidence, importance, "
-            "stability, close_status")
-    empty = ("NULL, NULL, NULL, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL::DOUBLE, "
-             "NULL::DOUBLE, NULL::DOUBLE")
-    head = routed_cte() + f""",
-asserted AS (SELECT user_id, type, topic_key, seq, pos, lower({strip('cc')}) AS state,
-    cc AS content, authority, is_correction, c_target, c_old, c_new, subject, predicate, val,
-    item_scope, confidence, importance, stability, NULL::VARCHAR AS close_status FROM routed
-    WHERE bucket = 'store' AND r_target IS NULL),
-revs AS (SELECT user_id, seq, pos, lower(r_target) AS target, lower(r_value) AS needle
-    FROM routed WHERE bucket = 'store' AND r_target IS NOT NULL),
-cors AS (SELECT user_id, seq, pos, type, topic_key, lower(trim(c_old)) AS needle FROM asserted
-    WHERE coalesce(c_old, '') <> ''),""" + chain_cte("v0", "asserted")
-    # After n rounds the first n ends of every user are what one candidate after the other gives.
-    for n in range(1, ROUNDS + 1):
-        head += f""",
-rev_hits{n} AS (SELECT DISTINCT v.user_id, v.type, v.topic_key, r.seq, r.pos FROM revs r
-    JOIN v{n - 1} v ON v.user_id = r.user_id AND {held} AND (
-        list_has_any({words.format('r.target')}, {words.format("v.content || ' ' || v.topic_key")})
-        OR (r.needle <> '' AND contains(lower(v.content), r.needle)))),
-cor_hits{n} AS (SELECT r.user_id, r.seq, r.pos, arg_min(v.type, (v.s_at, v.type, v.topic_key))
-    AS type, arg_min(v.topic_key, (v.s_at, v.type, v.topic_key)) AS topic_key,
-    any_value(r.type) AS own_type, any_value(r.topic_key) AS own_topic FROM cors r
-    JOIN v{n - 1} v ON v.user_id = r.user_id AND {held} AND contains(lower(v.content), r.needle)
-    GROUP BY r.user_id, r.seq, r.pos),
-elsewhere{n} AS (SELECT * FROM cor_hits{n} WHERE type <> own_type OR topic_key <> own_topic),
-events{n} AS (SELECT {cols} FROM asserted
-    UNION ALL SELECT user_id, type, topic_key, seq, pos, {empty}, 'revoked' FROM rev_hits{n}
-    UNION ALL SELECT DISTINCT user_id, type, topic_key, seq, pos, {empty}, 'superseded'
-    FROM elsewhere{n}),""" + chain_cte(f"v{n}", f"events{n}")
-    return head + f""",
-final0 AS (SELECT * FROM v{ROUNDS}), elsewhere AS (SELECT * FROM elsewhere{ROUNDS}),
-links AS (SELECT f.user_id, f.ended_at AS s_at, f.item_id AS corrects FROM final0 f
-    JOIN elsewhere e ON e.user_id = f.user_id AND e.type = f.type AND e.topic_key = f.topic_key
-    AND f.ended_at = (e.seq, e.pos) WHERE f.end_status = 'superseded'),
-final AS (SELECT f.* REPLACE (coalesce(l.corrects, f.supersedes_id) AS supersedes_id)
-    FROM final0 f LEFT JOIN links l ON l.user_id = f.user_id AND l.s_at = f.s_at),
+    may = ("(NOT (authority = 'speculation' AND (({0}.type = 'decision' AND {0}.conf >= 0.85) "
+           "OR {0}.conf >= confidence)) AND NOT ({0}.type = 'decision' AND type <> 'decision' "
+           "AND NOT is_correction AND authority <> 'user'))")
+    item = ("STRUCT(born BIGINT, type VARCHAR, topic VARCHAR, lc VARCHAR, st VARCHAR, "
+            "conf DOUBLE, ver BIGINT)")
+    fresh = ("{'born': rn, 'type': type, 'topic': topic_key, 'lc': lower(cc), 'st': st, "
+             "'conf': confidence, 'ver': CASE WHEN act IN ('correct', 'replace') "
+             "THEN target.ver + 1 ELSE 1 END}")
+    return routed_cte() + "," + close_pairs_cte() + f""",
+mem_near AS (SELECT kind, l, list(r) AS near75, list(r) FILTER (sim >= 0.9) AS near90,
+    list(r) FILTER (sim >= 0.92) AS near92 FROM mem_close WHERE kind <> '' GROUP BY kind, l),
+mem_like_old AS (SELECT l AS old, map(list(r), list(sim)) AS sims FROM mem_close WHERE kind = ''
+    GROUP BY l),
+mem_steps AS MATERIALIZED (SELECT r.*, lower({strip('cc')}) AS st, row_number() OVER (
+        PARTITION BY user_id ORDER BY seq, pos) AS rn, lower(trim(coalesce(c_old, ''))) AS old,
+    {words.format("coalesce(r_target, '')")} AS r_words,
+    lower(trim(coalesce(r_value, ''))) AS r_needle FROM routed r WHERE bucket = 'store'),
+mem_cands AS MATERIALIZED (SELECT s.user_id, rn, type, topic_key, cc, st, authority, is_correction,
+    confidence, s.old, r_target IS NOT NULL AS revokes, r_words, r_needle,
+    coalesce(near75, []) AS near75, coalesce(near90, []) AS near90, coalesce(near92, []) AS near92,
+    coalesce(sims, map([], [])) AS sims
+    FROM mem_steps s LEFT JOIN mem_near n ON n.kind = s.type AND n.l = s.st
+    LEFT JOIN mem_like_old o ON o.old = s.old),
+mem_walk AS (
+  SELECT user_id, 0::BIGINT AS rn, []::{item}[] AS items, '' AS act, NULL::{item} AS target,
+      []::BIGINT[] AS gone, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT user_id FROM mem_cands)
+  UNION ALL
+  SELECT user_id, rn, CASE act
+      WHEN 'revoke' THEN list_filter(items, lambda i: NOT list_contains(gone, i.born))
+      WHEN 'merge' THEN list_transform(items, lambda i: CASE WHEN i.born = target.born THEN
+          struct_update(i, conf := greatest(i.conf, confidence)) ELSE i END)
+      WHEN 'create' THEN list_append(items, {fresh})
+      WHEN 'correct' THEN list_append(list_filter(items, lambda i: i.born <> target.born), {fresh})
+      WHEN 'replace' THEN list_append(list_filter(items, lambda i: i.born <> target.born), {fresh})
+      ELSE items END, act, target, gone, gain
+  FROM (SELECT *, CASE act WHEN 'correct' THEN held WHEN 'merge' THEN twin
+          WHEN 'replace' THEN same WHEN 'reject' THEN same END AS target
+    FROM (SELECT *, CASE WHEN revokes THEN CASE WHEN len(gone) > 0 THEN 'revoke' ELSE 'skip' END
+          WHEN held IS NOT NULL AND {may.format('held')} THEN 'correct'
+          WHEN twin IS NOT NULL THEN 'merge'
+          WHEN same IS NOT NULL THEN CASE WHEN {may.format('same')} THEN 'replace'
+              ELSE 'reject' END ELSE 'create' END AS act
+      FROM (SELECT c.*, w.items,
+          CASE WHEN revokes THEN list_transform(list_filter(w.items, lambda i: list_has_any(
+              c.r_words, {words.format("i.lc || ' ' || i.topic")}) OR (c.r_needle <> ''
+              AND contains(i.lc, c.r_needle))), lambda i: i.born) ELSE [] END AS gone,
+          CASE WHEN c.old = '' THEN NULL ELSE coalesce(
+              list_filter(w.items, lambda i: contains(i.lc, c.old))[1],
+              list_filter(w.items, lambda i: coalesce(c.sims[i.st], 0) >= 0.75 AND c.sims[i.st]
+                  = list_max(list_transform(w.items, lambda j: coalesce(c.sims[j.st], 0))))[1])
+              END AS held,
+          list_filter(w.items, lambda i: i.type = c.type AND list_contains(c.near90, i.st))[1]
+              AS twin,
+          list_filter(w.items, lambda i: i.type = c.type AND i.topic = c.topic_key)[1] AS same,
+          CASE WHEN len(list_filter(w.items, lambda i: i.type = c.type)) = 0 THEN 0.85
+              WHEN len(list_filter(w.items, lambda i: i.type = c.type
+                  AND list_contains(c.near92, i.st))) > 0 THEN 0.05
+              WHEN len(list_filter(w.items, lambda i: i.type = c.type
+                  AND list_contains(c.near75, i.st))) > 0 THEN 0.25 ELSE 0.8 END::DOUBLE AS gain
+        FROM mem_walk w JOIN mem_cands c ON c.user_id = w.user_id AND c.rn = w.rn + 1)))),
+mem_log AS MATERIALIZED (SELECT user_id, rn, act, target.born AS target, target.ver AS target_ver,
+    gone, gain FROM mem_walk WHERE rn > 0),
+mem_told AS (SELECT l.*, s.* EXCLUDE (user_id, rn), CASE WHEN act = 'merge' THEN target ELSE l.rn END
+    AS born FROM mem_log l JOIN mem_steps s USING (user_id, rn)
+    WHERE act IN ('create', 'correct', 'replace', 'merge')),
+mem_merged AS (SELECT *, row_number() OVER (PARTITION BY user_id, born ORDER BY rn) - 1 AS nth
+    FROM mem_told),
+mem_over AS (SELECT user_id, target AS born, rn, 'superseded' AS end_status FROM mem_log
+    WHERE act IN ('correct', 'replace')
+    UNION ALL SELECT user_id, unnest(gone), rn, 'revoked' FROM mem_log),
+mem_ends AS (SELECT o.user_id, o.born, o.end_status, s.seq AS ended_seq, (s.seq, s.pos) AS ended_at
+    FROM mem_over o JOIN mem_steps s USING (user_id, rn)),
+mem_made AS (SELECT user_id, born, arg_min(type, rn) AS type, arg_min(topic_key, rn) AS topic_key,
+    arg_min(cc, rn) AS content, arg_min(st, rn) AS state, arg_min(authority, rn) AS authority,
+    arg_min(is_correction, rn) AS is_correction, first(c_target ORDER BY rn) AS c_target,
+    first(c_old ORDER BY rn) AS c_old, first(c_new ORDER BY rn) AS c_new,
+    arg_max(subject, rn) FILTER (subject <> '') AS subject,
+    arg_max(predicate, rn) FILTER (predicate <> '') AS predicate,
+    arg_max(val, rn) FILTER (val <> '') AS value,
+    arg_max(item_scope, rn) FILTER (item_scope <> '') AS scope, max(confidence) AS confidence,
+    max(importance) AS importance, max(stability - 0.08 * nth + CASE WHEN nth = 0 THEN 0
+        ELSE 0.08 END) AS sm, max(nth) AS last_nth, count(*) AS source_count,
+    arg_max(gain, rn) AS information_gain, min(seq) AS started_seq, min((seq, pos)) AS s_at,
+    max(seq) AS updated_seq, arg_min(CASE WHEN act = 'create' THEN 1 ELSE target_ver + 1 END, rn)
+    AS version, first(CASE WHEN act IN ('correct', 'replace') THEN target END ORDER BY rn)
+    AS old_born FROM mem_merged GROUP BY user_id, born),
+mem_numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id, type, topic_key ORDER BY born)
+    AS segment FROM mem_made),
+mem_named AS (SELECT *, md5(concat_ws('|', user_id, type, topic_key, segment)) AS item_id
+    FROM mem_numbered),
+final AS (SELECT n.* EXCLUDE (version), n.version::BIGINT AS version, round(least(1, n.sm + 0.08 *
+    n.last_nth), 6) AS stability, e.ended_seq, e.ended_at, e.end_status,
+    o.item_id AS supersedes_id FROM mem_named n
+    LEFT JOIN mem_ends e ON e.user_id = n.user_id AND e.born = n.born
+    LEFT JOIN mem_named o ON o.user_id = n.user_id AND o.born = n.old_born),
 items AS (SELECT *, coalesce(end_status, 'active') AS status FROM final)"""

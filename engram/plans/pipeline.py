@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from engram.operators.consolidate import consolidate, superseded_by_consolidation
 from engram.operators.context import context_as_of, context_block, context_log
 from engram.operators.extract import extract_candidates
-from engram.operators.memory import apply_candidates, memory_as_of, with_information_gain
+from engram.operators.history import Applied, apply_in_order, versions_of
+from engram.operators.memory import memory_as_of
 from engram.operators.messages import (
     append_new, detect_delta, new_users, normalize_messages, request_messages,
 )
@@ -23,7 +24,7 @@ from engram.operators.route import route_candidates
 from engram.session import cut_lineage, shared_folder
 from engram.sources.tables import statements, utterances
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], object] = {}
 
 
 def once(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
@@ -38,10 +39,6 @@ def candidates_of(messages: DataFrame, ruleset: str = "core") -> DataFrame:
     return route_candidates(extract_candidates(messages, ruleset))
 
 
-def memory_of(routed: DataFrame) -> DataFrame:
-    return with_information_gain(apply_candidates(routed))
-
-
 def ingest(requests: DataFrame, archive_path: str, archive: DataFrame) -> DataFrame:
     """Requests -> archive: normalise, keep what is new, append; returns the new messages."""
     messages = normalize_messages(request_messages(requests))
@@ -73,7 +70,7 @@ def ensure_users(messages: DataFrame, users: DataFrame) -> DataFrame:
 def process(messages: DataFrame) -> dict[str, DataFrame]:
     """Messages -> candidates, versions, current items, short-term log, consolidation."""
     routed = cut_lineage(candidates_of(messages))
-    versions = cut_lineage(memory_of(routed))
+    versions = versions_of(apply_in_order(routed))
     items = memory_as_of(versions)
     return {
         "candidates": routed, "versions": versions, "items": items,
@@ -97,8 +94,16 @@ def routed_utterances(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "routed", lambda: candidates_of(archived_utterances(spark, folder)))
 
 
+def applied_utterances(spark: SparkSession, folder: str) -> Applied:
+    """What the candidates of the events table did, one after the other."""
+    key = (spark.sparkContext.applicationId, folder, "applied")
+    if key not in _written:
+        _written[key] = apply_in_order(routed_utterances(spark, folder))
+    return _written[key]
+
+
 def utterance_versions(spark: SparkSession, folder: str) -> DataFrame:
-    return once(spark, folder, "versions", lambda: memory_of(routed_utterances(spark, folder)))
+    return once(spark, folder, "versions", lambda: versions_of(applied_utterances(spark, folder)))
 
 
 def utterance_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ from engram.functions import similarity
 from engram.functions.extended import local_facts, memory_gate
 from engram.operators import compile as compile_
 from engram.operators import (
-    consolidate, context, evaluate, external, extract, memory, rates, retrieve, select,
+    consolidate, context, evaluate, external, extract, history, memory, rates, retrieve, select,
 )
 from engram.operators import messages as M
 from engram.plans import oracle as O
@@ -165,7 +165,7 @@ def routed_candidates(spark, sf):
 
 
 VERSIONS_SQL = f"""
-WITH {O.utterances()}, {O.memory_cte()}
+WITH RECURSIVE {O.utterances()}, {O.memory_cte()}
 SELECT item_id, user_id, type, topic_key, segment, version, content, subject, predicate, value,
     scope, confidence, importance, stability, source_count, started_seq, updated_seq,
     coalesce(ended_seq, -1) AS ended_seq, coalesce(end_status, 'active') AS status,
@@ -188,13 +188,13 @@ def memory_versions(spark, sf):
 
 @query("memory_versions_split", VERSIONS_SQL)
 def memory_versions_split(spark, sf):
-    """The same history with every longer chain treated as hot and cut into chunks."""
-    return _version_rows(memory.apply_candidates(
-        P.routed_utterances(spark, sf), hot_rows=4, chunk=512))
+    """The same history with every user cut into parts and longer topics into chunks."""
+    return _version_rows(history.apply_candidates(
+        P.routed_utterances(spark, sf), hot_rows=4, chunk=512, hot_chain=4))
 
 
 @query("memory_current", f"""
-WITH {O.utterances()}, {O.memory_cte()}
+WITH RECURSIVE {O.utterances()}, {O.memory_cte()}
 SELECT user_id, type, topic_key, version, content, value, confidence, stability, source_count
 FROM items WHERE status = 'active'""")
 def memory_current(spark, sf):
@@ -203,6 +203,29 @@ def memory_current(spark, sf):
         "stability", "source_count")
 
 
+@query("memory_actions", f"""
+WITH RECURSIVE {O.utterances()}, {O.memory_cte()}
+SELECT user_id, s.seq, s.pos::INT AS pos,
+    CASE act WHEN 'correct' THEN 'supersede' WHEN 'replace' THEN 'supersede' ELSE act END AS action,
+    CASE act WHEN 'create' THEN 'new_topic' WHEN 'correct' THEN 'correction'
+        WHEN 'replace' THEN 'topic_contradiction' WHEN 'merge' THEN 'near_duplicate'
+        WHEN 'reject' THEN 'speculation' WHEN 'revoke' THEN 'revocation'
+        ELSE 'no_revocation_target' END AS reason
+FROM mem_log JOIN mem_steps s USING (user_id, rn)""")
+def memory_actions(spark, sf):
+    """What every durable candidate did to the memory."""
+    return P.applied_utterances(spark, sf).actions()
+
+
+@query("memory_lineage", f"""
+WITH RECURSIVE {O.utterances()}, {O.memory_cte()}
+SELECT f.item_id, f.user_id, m.seq, m.pos::INT AS pos
+FROM mem_merged m JOIN final f ON f.user_id = m.user_id AND f.born = m.born""")
+def memory_lineage(spark, sf):
+    """The statements of every item, one row each."""
+    return P.applied_utterances(spark, sf).lineage()
+
+
 # --- sources, delta, archive -----------------------------------------------------
 
 def _bodies(spark, sf) -> DataFrame:
@@ -429,7 +452,7 @@ def context_overwrites(spark, sf):
 
 # --- memory ------------------------------------------------------------------------
 
-MEMORY_SQL = f"WITH {O.utterances()}, {O.memory_cte()}"
+MEMORY_SQL = f"WITH RECURSIVE {O.utterances()}, {O.memory_cte()}"
 
 
 @query("memory_as_of", MEMORY_SQL + """, bound AS (SELECT max(seq) // 2 AS t FROM utt)
@@ -482,9 +505,7 @@ def action_counts(spark, sf):
 
 
 @query("information_scores", MEMORY_SQL + """
-SELECT item_id, CASE WHEN source_count > 1 THEN 0.05::DOUBLE WHEN row_number() OVER (
-    PARTITION BY user_id, type ORDER BY s_at, topic_key) = 1 THEN 0.85::DOUBLE
-    ELSE 0.8::DOUBLE END AS information_gain FROM final""")
+SELECT item_id, information_gain FROM final""")
 def information_scores(spark, sf):
     return P.utterance_versions(spark, sf).select("item_id", "information_gain")
 
@@ -742,9 +763,7 @@ def message_scores(spark, sf):
 
 
 MEMORY_SCORES_SQL = REQUESTS_SQL + f""",
-gains AS (SELECT item_id, CASE WHEN source_count > 1 THEN 0.05::DOUBLE WHEN row_number() OVER (
-    PARTITION BY user_id, type ORDER BY s_at, topic_key) = 1 THEN 0.85::DOUBLE
-    ELSE 0.8::DOUBLE END AS gain FROM final),
+gains AS (SELECT item_id, information_gain AS gain FROM final),
 mk AS (SELECT c.*, g.gain, list_distinct({O.keyword_list('content')}) AS kw,
     list_distinct({O.keyword_list("regexp_replace(topic_key, '[._-]', ' ', 'g')")}) AS tt,
     list_distinct({O.keyword_list('topic_key')}) AS tk, 1.0::DOUBLE AS freshness

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from engram.operators.history import DECIDES, candidate_events
 from engram.session import ROCKSDB, shared_folder
-from engram.streaming.fold import step
+from engram.streaming.fold import Memory
 
 ACTION_SCHEMA = ("user_id bigint, seq bigint, pos int, action string, reason string, "
                  "content string, type string, topic_key string, version int, item_seq bigint")
@@ -109,32 +110,47 @@ class ContextProcessor(StatefulProcessor):
 
 
 class MemoryProcessor(StatefulProcessor):
-    """Active items of one user, changed by every candidate in order."""
+    """Active items of one user, changed by every candidate in order.
+
+    One state entry an item; a micro-batch writes the entries that it changed."""
 
     def init(self, handle):
-        self.items = handle.getListState("items", "item string")
+        self.items = handle.getMapState("items", "number long", "item string")
 
     def handleInputRows(self, key, rows, timerValues):
         # A micro-batch holds a bounded part of a user's candidates.
         batch = pd.concat(list(rows)).sort_values(["seq", "pos"])
-        active = [json.loads(i[0]) for i in self.items.get()] if self.items.exists() else []
-        out = []
-        for candidate in batch.to_dict("records"):
-            active, actions = step(active, candidate)
-            out += [{**a, "user_id": int(key[0]), "seq": int(candidate["seq"]),
-                     "pos": int(candidate["pos"])} for a in actions]
-        if active:
-            self.items.put([(json.dumps(i, default=float),) for i in active])
-        else:
-            self.items.clear()
-        columns = [c.split()[0] for c in ACTION_SCHEMA.split(", ")]
+        before = {int(n[0]): item[0] for n, item in self.items.iterator()}
+        memory = Memory(json.loads(before[n]) for n in sorted(before))
+        memory.next = max(before, default=-1) + 1
+        changed, out = set(), []
+        for row in batch.to_dict("records"):
+            action, reason, item, old, _, gone = memory.apply(row)
+            for kind, one in [(action, item)] if item is not None else [
+                    (action, i) for i in gone]:
+                out.append({
+                    "user_id": int(key[0]), "seq": int(row["seq"]), "pos": int(row["pos"]),
+                    "action": kind, "reason": reason, "content": one["content"],
+                    "type": one["type"], "topic_key": one["topic_key"],
+                    "version": int(one["version"]), "item_seq": int(one["seq"])})
+            changed |= {i["number"] for i in (item, old, *gone) if i is not None}
+        for number in sorted(changed):
+            if number in memory.items:
+                self.items.updateValue(
+                    (number,), (json.dumps(memory.items[number], default=_plain_number),))
+            elif number in before:
+                self.items.removeKey((number,))
         if out:
-            yield pd.DataFrame(out)[columns]
+            yield pd.DataFrame(out)[[c.split()[0] for c in ACTION_SCHEMA.split(", ")]]
 
     def close(self):
         pass
 
 
+def _plain_number(value):
+    return value.item()
+
+
 def stream_context(entries: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """What each micro-batch and each expiry did to the short-term entries of a user.
 
@@ -150,12 +166,8 @@ def stream_context(entries: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def candidate_rows(routed: DataFrame) -> DataFrame:
     """Durable candidates as flat rows for the memory fold."""
-    return routed.filter("bucket = 'store'").select(
-        "user_id", "seq", "pos", "ts", F.col("candidate_content").alias("content"), "type",
-        "topic_key", "authority", "is_correction", "confidence", "stability",
-        F.coalesce("correction.old_value", F.lit("")).alias("old_value"),
-        F.coalesce("revocation.target", F.lit("")).alias("revocation_target"),
-        F.coalesce("revocation.value", F.lit("")).alias("revoked_value"))
+    return candidate_events(routed).select(
+        "user_id", "pos", "ts", *DECIDES)
 
 
 def stream_memory(candidates: DataFrame) -> DataFrame:

@@ -5,22 +5,23 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from engram.operators import history as H
 from engram.operators import memory, retrieve
 from engram.operators.context import context_as_of, context_block
 from engram.plans.pipeline import candidates_of
 from engram.session import cut_lineage
 from engram.streaming import jobs
-from engram.streaming.fold import step
+from engram.streaming.fold import Memory
 
 SCENARIOS = [
     # database corrected
     (1, "Nimbus uses Neon for database"),
     (1, "Actually, Nimbus changed from Neon to Turso."),
     # preference replaced, restated
-    (2, "I prefer MUI"), (2, "I prefer shadcn"), (2, "I prefer shadcn"), (2, "I prefer shadcn."),
+    (2, "I prefer React"), (2, "I prefer Svelte"), (2, "I prefer Svelte"), (2, "I prefer Svelte."),
     # value reset, then stated again
-    (3, "The demo password is temp1234"), (3, "The demo password was reset; ignore temp1234."),
-    (3, "The demo password is temp1234"),
+    (3, "The demo password is lilac77"), (3, "The demo password was reset; ignore lilac77."),
+    (3, "The demo password is lilac77"),
     # unrelated facts survive
     (4, "The region is eu-west-1"), (4, "The budget is 9000 dollars"),
     # correction without target is stored
@@ -37,7 +38,7 @@ def history(spark):
     df = df.withColumn("ts", F.expr(
         "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, seq)"))
     routed = cut_lineage(candidates_of(df))
-    return routed, memory.apply_candidates(routed)
+    return routed, H.apply_candidates(routed)
 
 
 def by_user(versions, user):
@@ -49,7 +50,7 @@ def test_scenarios(history):
     _, versions = history
     assert by_user(versions, 1)[0][1] == "superseded"
     assert by_user(versions, 1)[1][1] == "active"
-    assert by_user(versions, 2) == [("MUI", "superseded", 1), ("shadcn", "active", 2)]
+    assert by_user(versions, 2) == [("React", "superseded", 1), ("Svelte", "active", 2)]
     again = by_user(versions, 3)
     assert [a[1:] for a in again] == [("revoked", 1), ("active", 1)]
     assert [a[1] for a in by_user(versions, 4)] == ["active", "active"]
@@ -59,9 +60,9 @@ def test_scenarios(history):
 
 def test_merge_fields_links_and_audit(history):
     _, versions = history
-    row = versions.filter("content = 'shadcn'").first()
+    row = versions.filter("content = 'Svelte'").first()
     assert row.source_count == 3 and row.stability == pytest.approx(0.55 + 2 * 0.08)
-    old = versions.filter("content = 'MUI'").first()
+    old = versions.filter("content = 'React'").first()
     assert row.supersedes_id == old.item_id
     audit = {(r.user_id, r.old_value, r.new_value)
              for r in memory.corrections_audit(versions).collect()}
@@ -80,37 +81,129 @@ def test_as_of_and_one_active_per_topic(history):
     assert {r.status for r in late.select("status").distinct().collect()} >= {"expired"}
 
 
-def test_chunked_chains_equal_whole_ones(spark):
-    rng = random.Random(3)
-    rows = [(rng.choice([1, 1, 1, 2]), i, "user", f"The region is r{rng.randint(0, 3)}"
-             if rng.random() < 0.8 else "The region was reset") for i in range(160)]
-    df = spark.createDataFrame(rows, "user_id long, seq long, role string, content string")
-    routed = cut_lineage(candidates_of(df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))))
-    whole = memory.apply_candidates(routed).drop("correction")
-    split = memory.apply_candidates(routed, hot_rows=10, chunk=7).drop("correction")
-    assert whole.count() > 40
-    assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
+def routed_of(spark, rows):
+    """rows: user, text; in the order given."""
+    df = spark.createDataFrame([(u, i, "user", t) for i, (u, t) in enumerate(rows)],
+                               "user_id long, seq long, role string, content string")
+    return cut_lineage(candidates_of(df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))))
 
 
-def test_fold_agrees_with_set_form(history):
-    routed, versions = history
-    active = {}
+def folded(routed):
+    """Items of every user after one candidate after the other, in plain Python."""
+    memories = {}
     for r in jobs.candidate_rows(routed).orderBy("seq", "pos").collect():
-        c = r.asDict()
-        active[c["user_id"]], _ = step(active.get(c["user_id"], []), c)
-    folded = {(u, i["content"].lower()) for u, items in active.items() for i in items}
-    now = memory.memory_as_of(versions).filter("status = 'active'")
-    assert folded == {(r.user_id, r.content.lower()) for r in now.collect()}
+        memories.setdefault(r.user_id, Memory()).apply(r.asDict())
+    return {(u, i["type"], i["topic_key"], i["nth"], i["content"], i["version"], i["merges"] + 1)
+            for u, m in memories.items() for i in m.items.values()}
+
+
+def active(versions):
+    return {(r.user_id, r.type, r.topic_key, r.segment, r.content, r.version, r.source_count)
+            for r in memory.memory_as_of(versions).filter("status = 'active'").collect()}
+
+
+def random_statements(rng, n):
+    names = ["Neon", "Turso", "MySQL", "Postgres", "Postgre"]
+    places = ["backend", "cache", "audit", "queue", "region", "backend cache"]
+    out = []
+    for _ in range(n):
+        a, b = rng.sample(names, 2)
+        out.append((rng.choice([1, 1, 1, 2]), rng.choice([
+            f"The {rng.choice(places)} database is {a}", f"The {rng.choice(places)} is {a}",
+            f"The {rng.choice(['storage', 'stack', 'ledger'])} changed from {a} to {b}",
+            f"The {rng.choice(places)} was reset", f"I prefer {a}", f"I prefer {a}.",
+            f"Maybe the {rng.choice(places)} database is {a}",
+            f"The {rng.choice(places)} was reset; ignore {b}",
+            f"Milestone {rng.randrange(30)} is release {rng.randrange(30)}"])))
+    return out
+
+
+def test_history_equals_the_fold(history):
+    routed, versions = history
+    assert active(versions) == folded(routed)
+
+
+@pytest.mark.parametrize("seed", [3, 9])
+def test_parts_and_chunks_equal_the_fold(spark, seed):
+    routed = routed_of(spark, random_statements(random.Random(seed), 160))
+    whole = H.apply_candidates(routed)
+    assert active(whole) == folded(routed) and whole.count() > 40
+    split = H.apply_candidates(routed, hot_rows=10, hot_chain=3, chunk=7)
+    whole, split = whole.drop("correction"), split.drop("correction")
+    assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
+    applied, parted = H.apply_in_order(routed), H.apply_in_order(routed, 10, 7, 3)
+    for table in ("actions", "lineage"):
+        one, two = getattr(applied, table)(), getattr(parted, table)()
+        same = [c for c in one.columns if c != "reason"]
+        assert one.select(same).exceptAll(two.select(same)).count() == 0
+        assert one.count() == two.count()
+    counts = applied.lineage().groupBy("item_id").count()
+    assert whole.join(counts, "item_id").filter("count <> source_count").count() == 0
+
+
+def test_near_duplicates_merge_and_corrections_end_their_target_only(spark):
+    routed = routed_of(spark, [(1, t) for t in (
+        "The deployment target is Lyra", "The ledger is Neon", "The cache database is Neon",
+        "The storage changed from Neon to Turso", "The deployment target is Lyra.io",
+        "deployment target: lyra")])
+    for hot in (1000, 1):
+        rows = H.apply_candidates(routed, hot_rows=hot).orderBy("started_seq").collect()
+        assert [(r.content, r.version, r.source_count, r.end_status) for r in rows] == [
+            ("Deployment target: Lyra", 1, 3, None), ("Ledger: Neon", 1, 1, "superseded"),
+            ("Cache database: Neon", 1, 1, None), ("Database: Turso", 2, 1, None)]
+        assert rows[3].supersedes_id == rows[1].item_id
+        assert [r.information_gain for r in rows] == [0.05, 0.85, 0.8, 0.8]
+
+
+def test_repeated_corrections_take_the_next_current_item(spark):
+    routed = routed_of(spark, [(1, t) for t in (
+        "The backend database is Neon", "The cache database is Neon",
+        "The storage changed from Neon to Turso", "The storage changed from Neon to MySQL")])
+    versions = H.apply_candidates(routed)
+    assert active(versions) == folded(routed)
+    assert {c for *_, c, _, _ in active(versions)} == {"Database: Turso", "Database: MySQL"}
+
+
+def test_many_alternating_corrections_take_one_pass(spark):
+    texts = [f"The storage changed from {a} to {b}" for a, b in
+             [("Neon", "Turso"), ("Turso", "Neon")] * 1500]
+    versions = H.apply_candidates(routed_of(spark, [(1, "The ledger is Neon")] + [
+        (1, t) for t in texts]))
+    last = versions.filter("ended_seq is null").collect()
+    assert [(r.content, r.version) for r in last] == [("Database: Neon", 3001)]
+
+
+def said(**more):
+    return {"content": "Database: Neon", "type": "decision", "topic_key": "d", "item_topic": "d",
+            "seq": 1, "authority": "user", "is_correction": False, "confidence": 0.95,
+            "stability": 0.5, "old_value": "", "revokes": False, "revocation_target": "",
+            "revoked_value": "", **more}
 
 
 def test_speculation_cannot_replace_a_decision():
-    said = {"content": "Database: Neon", "type": "decision", "topic_key": "d", "seq": 1,
-            "authority": "user", "is_correction": False, "confidence": 0.95, "stability": 0.5,
-            "old_value": "", "revocation_target": "", "revoked_value": ""}
-    active, _ = step([], said)
-    active, actions = step(active, {**said, "content": "Cache: Redis by far", "seq": 2,
-                                    "authority": "speculation", "confidence": 0.55})
-    assert [a["action"] for a in actions] == ["reject"] and len(active) == 1
+    memory_ = Memory()
+    memory_.apply(said())
+    action, reason, *_ = memory_.apply(said(content="Cache: Redis by far", seq=2,
+                                            authority="speculation", confidence=0.55))
+    assert (action, reason) == ("reject", "speculation") and len(memory_.items) == 1
+    unsure = said(content="The old store: Neon", topic_key="e", item_topic="e", type="fact",
+                  authority="speculation", confidence=0.99, old_value="neon", seq=3)
+    assert memory_.apply(unsure)[0] == "create"
+
+
+def test_stream_equals_the_fold(spark):
+    routed = routed_of(spark, random_statements(random.Random(5), 80))
+    rows = jobs.candidate_rows(routed)
+    got = jobs.run_to_end(jobs.stream_memory(jobs.as_stream(rows, "memory-test", "seq", 5)), "mt")
+    want = H.apply_in_order(routed).walked.selectExpr(
+        "user_id", "seq", "pos", "action", "case when action = 'reject' then null else version end v",
+        "greatest(size(revoked), 1) as n").filter("action <> 'skip'").collect()
+    # The version an item has when a statement reaches it.
+    assert sum(r.n for r in want) == got.count()
+    key = {(r.user_id, r.seq, r.pos): (r.action, r.v) for r in want}
+    for r in got.collect():
+        action, version = key[r.user_id, r.seq, r.pos]
+        assert r.action == action and version in (None, r.version)
 
 
 def test_expansion_stops_at_cycles(spark):
@@ -142,37 +235,3 @@ def test_context_log(spark):
     assert got == {(1, "k", "two", 30), (3, "k", "stays", None)}
     assert "• k: stays" in context_block(live).filter("user_id = 3").first().short_term_text
     del at
-
-
-def fold_and_set(spark, texts):
-    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "user_id long, seq long, role string, content string")
-    routed = cut_lineage(candidates_of(df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))))
-    active = []
-    for r in jobs.candidate_rows(routed).orderBy("seq", "pos").collect():
-        active, _ = step(active, r.asDict())
-    now = memory.memory_as_of(memory.apply_candidates(routed)).filter("status = 'active'")
-    return ({i["content"].lower() for i in active}, {r.content.lower() for r in now.collect()})
-
-
-def test_repeated_corrections_take_the_next_current_item(spark):
-    folded, kept = fold_and_set(spark, [
-        "The backend database is Neon", "The cache database is Neon",
-        "The storage changed from Neon to Turso", "The storage changed from Neon to MySQL"])
-    # The set form also ends what the correction's own topic held, the fold keeps it.
-    assert not any("cache database" in c for c in kept) and kept <= folded
-    assert "database: mysql" in kept
-
-
-def test_chained_corrections_agree_with_the_fold(spark):
-    rng = random.Random(9)
-    names = ["Neon", "Turso", "MySQL", "Postgres"]
-    texts = []
-    for _ in range(40):
-        a, b = rng.sample(names, 2)
-        texts.append(rng.choice([
-            f"The {rng.choice(['backend', 'cache', 'audit', 'queue'])} database is {a}",
-            f"The {rng.choice(['storage', 'stack', 'ledger'])} changed from {a} to {b}",
-            f"The {rng.choice(['cache', 'audit'])} was reset"]))
-    folded, kept = fold_and_set(spark, texts)
-    assert kept <= folded
