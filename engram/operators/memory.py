@@ -136,3 +136,16 @@ def action_counts(versions: DataFrame, routed: DataFrame) -> DataFrame:
     joined = kinds.join(made, "user_id", "left")
     return joined.na.fill(0).withColumn("memory_changed", (
         F.col("created") + F.col("superseded") + F.col("merged") + F.col("revoked")) > 0)
+
+
+def process_counts(versions: DataFrame, routed: DataFrame, obsolete: DataFrame,
+                   records: DataFrame, sources: DataFrame) -> DataFrame:
+    """action_counts with obsolete, consolidated and superseded-by-consolidation items."""
+    def number(df, name):
+        return df.groupBy("user_id").agg(F.count("*").alias(name))
+    out = action_counts(versions, routed)
+    for df, name in ((obsolete, "obsolete"), (records, "consolidated"),
+                     (sources, "consolidation_superseded")):
+        out = out.join(number(df, name), "user_id", "left")
+    out = out.na.fill(0, ["obsolete", "consolidated", "consolidation_superseded"])
+    return out.withColumn("memory_changed", F.col("memory_changed") | (F.col("obsolete") > 0))

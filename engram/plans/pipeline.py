@@ -16,13 +16,18 @@ from engram.operators.consolidate import consolidate, superseded_by_consolidatio
 from engram.operators.context import context_as_of, context_block, context_log
 from engram.operators.extract import extract_candidates
 from engram.operators.history import Applied, apply_in_order, versions_of
-from engram.operators.memory import memory_as_of
+from engram.operators.memory import (
+    memory_as_of, obsolete_items, process_counts, snapshot_lists,
+)
 from engram.operators.messages import (
     append_new, detect_delta, new_users, normalize_messages, request_messages,
 )
 from engram.operators.route import route_candidates
+from engram.operators.store import (
+    STATUS, commit, committed, record_items, status_rows, with_status,
+)
 from engram.session import cut_lineage, shared_folder
-from engram.sources.tables import statements, utterances
+from engram.sources.tables import statements, table, utterances
 
 _written: dict[tuple[str, str, str], object] = {}
 
@@ -67,16 +72,45 @@ def ensure_users(messages: DataFrame, users: DataFrame) -> DataFrame:
     return new_users(messages, users, "ts")
 
 
-def process(messages: DataFrame) -> dict[str, DataFrame]:
-    """Messages -> candidates, versions, current items, short-term log, consolidation."""
+def process(messages: DataFrame, descriptions: DataFrame | None = None,
+            folder: str | None = None, batch: int = 0) -> dict[str, DataFrame]:
+    """Messages -> candidates, versions, obsolescence, snapshot, consolidation, counts.
+
+    `descriptions` (user_id, description) say what is obsolete.  With a `folder`, items, status
+    changes, snapshot entries and counts are committed as `batch`; the same batch again changes
+    nothing.
+    """
     routed = cut_lineage(candidates_of(messages))
-    versions = versions_of(apply_in_order(routed))
-    items = memory_as_of(versions)
-    return {
-        "candidates": routed, "versions": versions, "items": items,
-        "context": context_log(routed), "records": consolidate(items),
-        "consolidated": superseded_by_consolidation(items),
-    }
+    return _passed(routed, versions_of(apply_in_order(routed)), descriptions, folder, batch)
+
+
+def _passed(routed: DataFrame, versions: DataFrame, descriptions: DataFrame | None,
+            folder: str | None, batch: int) -> dict[str, DataFrame]:
+    items = cut_lineage(memory_as_of(versions))
+    if descriptions is None:
+        descriptions = items.select("user_id", F.lit("").alias("description")).limit(0)
+    obsolete = cut_lineage(obsolete_items(items, descriptions))
+    log = status_rows(obsolete, "obsolete", "described", 0)
+    current = cut_lineage(with_status(items, log))
+    records, sources = consolidate(current), cut_lineage(superseded_by_consolidation(current))
+    log = log.unionByName(status_rows(sources, "superseded", "consolidated", 1))
+    made = cut_lineage(record_items(records, sources, current))
+    result = {
+        "candidates": routed, "versions": versions, "context": context_log(routed),
+        "items": with_status(items, log).unionByName(made), "status": log,
+        "snapshot": snapshot_lists(current), "records": made,
+        "counts": process_counts(versions, routed, obsolete, made, sources)}
+    if folder is not None:
+        commit(items.unionByName(made), folder, "items", batch)
+        for name in ("status", "snapshot", "counts"):
+            commit(result[name], folder, name, batch)
+    return result
+
+
+def stored_items(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The items of all batches with their latest status."""
+    items = committed(spark, folder, "items", schema).drop("batch")
+    return with_status(items, committed(spark, folder, "status", f"{STATUS}, batch int"))
 
 
 # --- the stages over the events table ------------------------------------------
@@ -106,6 +140,19 @@ def utterance_versions(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "versions", lambda: versions_of(applied_utterances(spark, folder)))
 
 
+def utterances_processed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The whole pass over the events table; messages of error events say what is obsolete."""
+    key = (spark.sparkContext.applicationId, folder, "processed")
+    if key not in _written:
+        errors = table(spark, folder, "events").filter("event_type = 'error'").select(
+            F.col("event_id").alias("seq"))
+        said = archived_utterances(spark, folder).filter("role = 'user'").join(
+            errors, "seq", "left_semi").select("user_id", F.col("content").alias("description"))
+        _written[key] = _passed(routed_utterances(spark, folder),
+                                utterance_versions(spark, folder), said, None, 0)
+    return _written[key]
+
+
 def utterance_items(spark: SparkSession, folder: str) -> DataFrame:
     return memory_as_of(utterance_versions(spark, folder))
 

@@ -860,7 +860,7 @@ tk AS (SELECT request_id, CAST(sum(3 + {O.tokens('content')}) + 3 AS BIGINT) AS
     count(*) AS messages_out FROM compiled GROUP BY request_id)
 SELECT rs.request_id, rs.user_id, 8000 AS budget, mem_n = 0 AND st_n = 0 AS pass_through,
     total_tokens, input_tokens, messages_out, mem_n AS memories_used, st_n AS short_term_used,
-    message_count + mem_n AS selected_count, total_tokens > 8000 AS over_budget
+    message_count + mem_n AS selected_count, 'all' AS selection, total_tokens > 8000 AS over_budget
 FROM rs JOIN tk USING (request_id)""")
 def compiled_stats(spark, sf):
     return _compiled(spark, sf)[1]
@@ -898,7 +898,7 @@ def _field_sql() -> str:
             f"{by_value} END")
 
 
-CLUSTER_SQL = MEMORY_SQL + f""",
+CLUSTERS = f"""
 fld AS (SELECT *, {_field_sql()} AS field FROM items WHERE status = 'active'),
 cl AS (SELECT *, CASE WHEN lower(scope) = 'user' OR lower(subject) = 'user' THEN 'user'
     ELSE 'project' END || '.tech_stack' AS cluster FROM fld WHERE field IS NOT NULL),
@@ -909,6 +909,7 @@ ranked AS (SELECT *, row_number() OVER w AS rn, first_value(field_value) OVER w
     first_value(item_id) OVER w AS winner_id FROM vals WINDOW w AS (
     PARTITION BY user_id, cluster, field ORDER BY confidence DESC, s_at, item_id)),
 seen AS (SELECT user_id, cluster, field, min(s_at) AS first_seen FROM vals GROUP BY ALL)"""
+CLUSTER_SQL = MEMORY_SQL + "," + CLUSTERS
 
 
 @query("stack_clusters", CLUSTER_SQL + """
@@ -955,6 +956,56 @@ def consolidated_sources(spark, sf):
     return consolidate.superseded_by_consolidation(P.utterance_items(spark, sf))
 
 
+# The pass as a whole: obsolete items leave before clusters are made; records follow.
+PROCESSED_SQL = MEMORY_SQL + f""",
+said AS (SELECT DISTINCT user_id, lower(trim(content)) AS d FROM utt
+    WHERE seq IN (SELECT event_id FROM events WHERE event_type = 'error') AND role = 'user'),
+gone AS (SELECT DISTINCT i.user_id, i.item_id FROM items i JOIN said s ON s.user_id = i.user_id
+    WHERE status = 'active' AND (contains(d, lower(i.content)) OR contains(lower(i.content), d)
+    OR (topic_key <> '' AND contains(d, lower(topic_key))))),
+current AS (SELECT * REPLACE (CASE WHEN item_id IN (SELECT item_id FROM gone) THEN 'obsolete'
+    ELSE status END AS status) FROM items),""" + CLUSTERS.replace(
+    "FROM items WHERE", "FROM current WHERE") + """,
+win AS (SELECT r.*, first_seen FROM ranked r JOIN seen USING (user_id, cluster, field)
+    WHERE rn = 1),
+rec AS (SELECT user_id, cluster, 'Tech Stack: ' || string_agg(field || '=' || field_value, ', '
+    ORDER BY first_seen, field) AS content FROM win GROUP BY ALL HAVING count(*) >= 2),
+src AS (SELECT DISTINCT user_id, cluster, item_id FROM vals JOIN rec USING (user_id, cluster))"""
+
+
+@query("processed_items", PROCESSED_SQL + """
+SELECT user_id, type, topic_key, content, version, information_gain,
+    CASE WHEN item_id IN (SELECT item_id FROM src) THEN 'superseded' ELSE status END AS status
+FROM current
+UNION ALL SELECT user_id, 'architecture', cluster, content, 1, 0.9::DOUBLE, 'active' FROM rec""")
+def processed_items(spark, sf):
+    """Items after obsolescence and consolidation, records among them."""
+    return P.utterances_processed(spark, sf)["items"].select(
+        "user_id", "type", "topic_key", "content", "version", "information_gain", "status")
+
+
+@query("process_counts", PROCESSED_SQL + """,
+own AS (SELECT user_id, count(*) FILTER (supersedes_id IS NULL) AS created,
+    count(*) FILTER (supersedes_id IS NOT NULL) AS superseded, sum(source_count - 1) AS merged,
+    count(*) FILTER (end_status = 'revoked') AS revoked FROM final GROUP BY user_id),
+routes AS (SELECT user_id, count(*) AS candidates, count(*) FILTER (bucket = 'store') AS stored,
+    count(*) FILTER (bucket = 'context') AS context, count(*) FILTER (bucket = 'discard')
+    AS discarded FROM routed GROUP BY user_id),
+o AS (SELECT user_id, count(*) AS obsolete FROM gone GROUP BY user_id),
+c AS (SELECT user_id, count(*) AS consolidated FROM rec GROUP BY user_id),
+x AS (SELECT user_id, count(*) AS closed FROM src GROUP BY user_id)
+SELECT k.*, coalesce(created, 0) AS created, coalesce(superseded, 0) AS superseded,
+    CAST(coalesce(merged, 0) AS BIGINT) AS merged, coalesce(revoked, 0) AS revoked,
+    coalesce(obsolete, 0) AS obsolete, coalesce(consolidated, 0) AS consolidated,
+    coalesce(closed, 0) AS consolidation_superseded,
+    coalesce(created + superseded + merged + revoked, 0) + coalesce(obsolete, 0) > 0
+    AS memory_changed
+FROM routes k LEFT JOIN own USING (user_id) LEFT JOIN o USING (user_id)
+LEFT JOIN c USING (user_id) LEFT JOIN x USING (user_id)""")
+def process_counts(spark, sf):
+    return P.utterances_processed(spark, sf)["counts"]
+
+
 # --- rates and evaluation --------------------------------------------------------------
 
 @query("rate_counts", """

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from engram.functions.similarity import information_gain, lcs_ratio, near_duplicates
+from engram.functions.similarity import (
+    information_gain, lcs_ratio, near_duplicates, similar_texts,
+)
 from engram.operators import evaluate, rates
 from engram.operators.external import union_candidates
 from engram.operators.messages import detect_delta
@@ -218,3 +220,31 @@ def test_registered_queries_match_sql(spark, sf_dir, name):
     cols = [d[0] for d in db.description]
     got = [tuple(r) for r in entry.queries()[name](spark, sf_dir).select(*cols).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.9, 0.85, 0.75])
+def test_similar_texts_equal_all_pairs(spark, threshold):
+    rnd = random.Random(1)
+    base = ["".join(rnd.choice("abcd") for _ in range(rnd.choice([0, 1, 2, 3, 9, 20, 46, 48, 50, 60])))
+            for _ in range(40)]
+
+    def edited():
+        text = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randrange(len(text) + 1)
+            if rnd.random() < 0.5:
+                del text[at:at + 1]
+            else:
+                text.insert(at, rnd.choice("abcd "))
+        return rnd.randint(1, 2), "".join(text)
+    left, right = ([edited() for _ in range(200)] for _ in range(2))
+    want = {}
+    for k, a in left:
+        for j, b in right:
+            a, b = a.strip(" "), b.strip(" ")
+            if j == k and lcs_ratio(a, b) >= threshold:
+                want[k, a, b] = lcs_ratio(a, b)
+    got = similar_texts(spark.createDataFrame(left, "k int, text string"),
+                        spark.createDataFrame(right, "k int, text string"), ["k"], threshold)
+    assert {(r.k, r.left_text, r.right_text): r.similarity for r in got.collect()} == want
+    assert got.count() == len(want)

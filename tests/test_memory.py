@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram.operators import history as H
 from engram.operators import memory, retrieve
 from engram.operators.context import context_as_of, context_block
-from engram.plans.pipeline import candidates_of
+from engram.plans.pipeline import candidates_of, process, stored_items
 from engram.session import cut_lineage
 from engram.streaming import jobs
 from engram.streaming.fold import Memory
@@ -235,3 +235,28 @@ def test_context_log(spark):
     assert got == {(1, "k", "two", 30), (3, "k", "stays", None)}
     assert "• k: stays" in context_block(live).filter("user_id = 3").first().short_term_text
     del at
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    said = [(1, t) for t in ("The database is Neon", "The framework is Hono", "The runtime is Bun",
+                             "The region is eu-west-1", "The budget is 9000 dollars")]
+    df = spark.createDataFrame([(u, i, "user", t) for i, (u, t) in enumerate(said)],
+                               "user_id long, seq long, role string, content string")
+    df = df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    gone = spark.createDataFrame([(1, "Region: eu-west-1 is old"), (2, "x")],
+                                 "user_id long, description string")
+    folder = str(tmp_path / "memory")
+    seen = []
+    for _ in range(2):
+        result = process(df, gone, folder, 7)
+        stored = stored_items(spark, folder, result["items"].schema)
+        seen.append(sorted((r.content, r.status, r.item_id) for r in stored.collect()))
+        assert seen[-1] == sorted((r.content, r.status, r.item_id) for r in result["items"].collect())
+    assert seen[0] == seen[1]
+    status = {c: s for c, s, _ in seen[0]}
+    assert status["Region: eu-west-1"] == "obsolete" and status["Database: Neon"] == "superseded"
+    record = [c for c in status if c.startswith("Tech Stack: ")]
+    assert len(record) == 1 and status[record[0]] == "active"
+    counts = result["counts"].first()
+    assert (counts.created, counts.obsolete, counts.consolidated) == (5, 1, 1)
+    assert counts.consolidation_superseded == 3 and counts.memory_changed
