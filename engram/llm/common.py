@@ -50,12 +50,25 @@ def fresh(docs: DataFrame, name: str) -> str:
 def without(docs: DataFrame, rejected) -> DataFrame:
     """The rows of docs that rejected(doc_id, text) does not name, with docs' columns.
 
-    Rows that share an id go together; rows without an id are told apart by their text.
+    Equal rows go together.  A row without an id, and of several texts under one id all but one
+    (the one whose hash is smallest keeps the id), stand for themselves: they get a number over
+    2^62 made from id and text.
     """
-    name = fresh(docs, "_gone_id")
-    gone = rejected(docs.select(row_id().alias("doc_id"), "text")).select(
+    name, first = fresh(docs, "_gone_id"), fresh(docs, "_first_mark")
+    number = F.col("doc_id").cast("long")
+    marks = docs.filter(number.isNotNull()).select(number.alias("doc_id"), mark().alias("m"))
+    twice = staged(marks.groupBy("doc_id").agg(F.min("m").alias(first), F.max("m").alias("_last"))
+                   .filter(F.col(first) != F.col("_last"))
+                   .select(F.col("doc_id").alias(name), first), "repeated-ids")
+    if twice.isEmpty():
+        own, rows = row_id(), docs
+    else:
+        rows = docs.join(twice, number == F.col(name), "left").drop(name)
+        made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+        own = F.when(F.col(first).isNotNull() & (F.col(first) != mark()), made).otherwise(row_id())
+    gone = rejected(rows.select(own.alias("doc_id"), "text")).select(
         F.col("doc_id").alias(name))
-    return docs.join(gone, row_id() == F.col(name), "left_anti")
+    return rows.join(gone, own == F.col(name), "left_anti").drop(first)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

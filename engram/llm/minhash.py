@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm import common as C
@@ -182,9 +182,27 @@ def _covered(groups: DataFrame) -> DataFrame:
     return groups.join(kept, "c")
 
 
+def _prefix(rows: DataFrame, percent: int) -> DataFrame:
+    """c, e, id, component, out, n: the elements beyond the center that a link must meet on.
+
+    A linked y shares percent of x at least, and no more than x and c share lies in the center;
+    so they share k elements that c lacks, k = what is left.  With these elements in one order,
+    rare ones of the group first, the first common one is among the first size - k + 1 of each.
+    """
+    shared = F.col("n") - F.size("added")
+    k = F.greatest(F.floor((F.col("n") * percent + 99) / 100) - shared, F.lit(1))
+    each = rows.select("c", F.explode("added").alias("e"), "id", "component", "out", "n",
+                       (F.size("added") - k + 1).alias("_most"))
+    rarity = each.groupBy("c", "e").agg(F.count("*").alias("_met"))
+    order = Window.partitionBy("c", "id").orderBy("_met", "e")
+    # An element that only one member has still counts among its first ones.
+    return (each.join(rarity, ["c", "e"]).withColumn("_place", F.row_number().over(order))
+            .filter("_place <= _most and _met > 1").drop("_met", "_place", "_most"))
+
+
 def _candidates(group: DataFrame, sets: DataFrame, percent: int):
     """Where else members of a group (c, id, component, center_component) that are not linked
-    to its center c can have a link: added (c, e, id, component, out) and pairs (a, b).
+    to its center c can have a link: added (c, e, id, component, out, n) and pairs (a, b).
 
     Let x be no link of c.  If x and y are linked, both have an element that c lacks, or both
     lack an element of c: else the common part of x and y is no larger than that of x and c
@@ -214,7 +232,7 @@ def _candidates(group: DataFrame, sets: DataFrame, percent: int):
         F.col("most").alias("most_b"), F.col("component").alias("to"))
     pairs = (x.join(y, ["c", "e"]).filter("from <> to and n_b <= most_a and n_a <= most_b")
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return rows.select("c", F.explode("added").alias("e"), "id", "component", "out"), pairs
+    return _prefix(rows, percent), pairs
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
@@ -285,16 +303,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int
                   .withColumn("component", F.coalesce("component", "id"))
                   .join(found.toDF("c", "center_component"), "c", "left")
                   .withColumn("center_component", F.coalesce("center_component", "c")))
-        added, pairs = _candidates(C.staged(placed, "placed"), sets, percent)
+        placed = C.staged(placed, "placed")
+        if placed.filter("component <> center_component").isEmpty():
+            break
+        added, pairs = _candidates(placed, sets, percent)
         open_ = cross(added, ["c", "e"])
         if step + 1 < rounds:
             group = C.staged(grouped(open_.withColumnRenamed("c", "g").select("g", "e", "id"),
                                      ["g", "e"]), "groups")
             tested = group.filter("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b"))
         else:
-            other = open_.select("c", "e", F.col("id").alias("b"), F.col("component").alias("to"))
+            other = open_.select("c", "e", F.col("id").alias("b"), F.col("component").alias("to"),
+                                 F.col("n").alias("m"))
+            # Sizes of linked sets differ by no more than the threshold lets them.
             tested = (open_.withColumnRenamed("id", "a").join(other, ["c", "e"])
-                      .filter("component <> to and a < b").select("a", "b"))
+                      .filter("component <> to and a < b")
+                      .filter((F.col("n") * percent <= F.col("m") * 100)
+                              & (F.col("m") * percent <= F.col("n") * 100)).select("a", "b"))
         more = verified(pairs.unionByName(tested).distinct())
         if not more.isEmpty():
             links = links.unionByName(more)

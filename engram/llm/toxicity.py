@@ -71,23 +71,28 @@ def features(data: np.ndarray, offsets: np.ndarray):
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, last + 1, score) in one pass over positive scores."""
+    """All maximal-scoring segments (first, last + 1, score), in time linear in the scores.
+
+    Every open segment knows the nearest one before it whose left sum is smaller.  The search
+    for a smaller left sum follows these links, so a segment that was passed over is looked at
+    again only when it is merged away."""
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    left, right, begin, end = [], [], [], []
+    left, right, begin, end, link = [], [], [], [], []
     for i in np.flatnonzero(scores > 0).tolist():
-        low, high, first = float(sums[i]), float(sums[i + 1]), i
+        low, high, first, j = float(sums[i]), float(sums[i + 1]), i, len(left) - 1
         while True:
-            j = len(left) - 1
             while j >= 0 and left[j] >= low:
-                j -= 1
+                j = link[j]
             if j < 0 or right[j] >= high:
                 left.append(low)
                 right.append(high)
                 begin.append(first)
                 end.append(i + 1)
+                link.append(j)
                 break
-            low, first = left[j], begin[j]
-            del left[j:], right[j:], begin[j:], end[j:]
+            low, first, before = left[j], begin[j], link[j]
+            del left[j:], right[j:], begin[j:], end[j:], link[j:]
+            j = before
     return [(b, e, r - x) for b, e, x, r in zip(begin, end, left, right, strict=True)]
 
 

@@ -207,9 +207,26 @@ def near_rows():
     return rows + [(doc + 1 + i, t) for i, t in enumerate(ODD)]
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
-def test_near_groups(spark, size, percent):
-    rows = near_rows()
+def crowd_rows():
+    """One large group of loose copies: families of near copies that differ from each other."""
+    rnd = random.Random(17)
+    base, rows = words(rnd, 120, 5000), []
+    for _ in range(25):
+        family = list(base)
+        for _ in range(rnd.choice([1, 4, 8])):
+            family[rnd.randrange(len(family))] = f"f{rnd.randrange(40)}"
+        for _ in range(rnd.choice([1, 4, 12])):
+            text = list(family)
+            for _ in range(rnd.choice([0, 1, 2, 3])):
+                at = rnd.randrange(len(text))
+                text[at:at + rnd.choice([0, 1, 1, 2])] = [f"m{rnd.randrange(60)}"] * rnd.choice([0, 1])
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "size", "percent"), [
+    (near_rows(), 3, 85), (near_rows(), 5, 80), (crowd_rows(), 3, 85), (crowd_rows(), 5, 80)])
+def test_near_groups(spark, rows, size, percent):
     sets = shingle_sets(rows, size)
     label = {d: d for d in sets}
     changed = True
@@ -227,6 +244,18 @@ def test_near_groups(spark, size, percent):
         (d, len(sets[d]), label[d], d == label[d]) for d in sets)
 
 
+def test_near_copies_of_texts_that_share_an_id(spark):
+    rnd = random.Random(3)
+    text, other = (" ".join(words(rnd, 60, 4000)) for _ in range(2))
+    near = text + " last"
+    kept = minhash.drop_near_copies(frame(spark, [(1, text), (2, near), (2, other), (2, other), (3, near)]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, text), (2, other), (2, other)])
+    bench = spark.createDataFrame([(1, " ".join(text.split()[10:45]))], "item_id long, text string")
+    rows = [(2, text), (2, other), (None, near), (None, other)]
+    clean = decontaminate.drop_contaminated(frame(spark, rows), bench)
+    assert sorted(r.text for r in clean.collect()) == [other, other]
+
+
 def test_near_groups_edges(spark):
     assert minhash.near_groups(frame(spark, near_rows()).limit(0)).count() == 0
     rows = [(None, "same words here now then"), (3, "same words here now then"), (None, None)]

@@ -1,6 +1,7 @@
 """Learned operators by held-out accuracy and edge rows; the pipeline stage by stage."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,17 @@ def test_segments_are_all_maximal():
             assert values[begin:end].sum() == pytest.approx(total)
 
 
+def test_segments_take_linear_time():
+    times = []
+    for n in (50_000, 500_000):
+        scores = np.tile([1.0, -3.0], n)
+        start = time.perf_counter()
+        found = toxicity.segments(scores)
+        times.append(time.perf_counter() - start)
+        assert len(found) == n and found[-1] == (2 * n - 2, 2 * n - 1, 1.0)
+    assert times[1] < 40 * times[0] + 1
+
+
 def test_quality_scores(spark, labels):
     rows = queries.op5_neighbour_votes(spark, SF).collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows)
