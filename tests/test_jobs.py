@@ -174,6 +174,23 @@ def test_grading_and_latency(spark):
     assert (r.n, r.p50_ms, r.p95_ms) == (6, s[3], s[5])
 
 
+def test_percentiles_of_skewed_runs(spark):
+    runs = {
+        "outlier": [float(v * 7919 % 5000) for v in range(5000)] + [1e12],
+        "ties": [1.0] * 4700 + [2.0] * 280 + [float(v) for v in range(20)],
+        "steep": [1.5 ** (v % 70) for v in range(3000)],
+        "single": [4.0], "unknown": [3.0, None, 1.0],
+    }
+    rows = spark.createDataFrame([(k, v) for k, vs in runs.items() for v in vs],
+                                 "run string, ms double")
+    for accuracy in (10_000, 20):
+        got = {r.run: (r.n, r.p50_ms, r.p95_ms) for r in
+               evaluate.latency_report(rows, "run", "ms", accuracy).collect()}
+        for run, values in runs.items():
+            s, n = sorted(values, key=lambda v: (v is None, v)), len(values)
+            assert got[run] == (n, *(s[min(n - 1, int(n * p))] for p in (0.5, 0.95))), run
+
+
 def test_union_of_candidates(spark):
     schema = "id long, pos int, candidate_content string"
     a = spark.createDataFrame([(1, 0, "Neon")], schema)
