@@ -147,23 +147,44 @@ def hybrid_facts(messages: DataFrame) -> DataFrame:
     return merged.selectExpr("*", str(chosen.alias("chosen")))
 
 
-def parse_candidates(rows: DataFrame) -> DataFrame:
-    """External candidates of a table message_id, user_id, response (JSON in prose), scored
-    and shaped like extracted candidates.  Rejected entries are left out."""
+def _judged_candidates(rows: DataFrame) -> DataFrame:
+    """Entries of a table with a response column (JSON in prose): pos, c, and the reason that
+    rejects one; a response without a readable list is one row without pos."""
     raw = isolate_json(col("response"))
     listed = F.when(raw.startswith("["), raw).otherwise(F.get_json_object(raw, "$.candidates"))
-    entries = rows.selectExpr("*", str(listed.alias("_j"))).withColumn(
-        "_c", SF.from_json("_j", CANDIDATE_JSON))
-    one = entries.selectExpr(*[f"`{c}`" for c in rows.columns if c != "response"],
-                             "posexplode(_c) AS (pos, c)")
+    one = rows.selectExpr("*", str(listed.alias("_j"))).withColumn(
+        "_c", SF.from_json("_j", CANDIDATE_JSON)).selectExpr(
+        *[f"`{c}`" for c in rows.columns if c != "response"],
+        "_c IS NULL AS unreadable", "posexplode_outer(_c) AS (pos, c)")
+    c = col("c")
+    action, destination = F.upper(_text(c["action"], "NEW")), F.upper(
+        _text(c["destination"], "STORE"))
+    reason = (
+        F.when(col("unreadable"), "unreadable").when(c.isNull(), "empty")
+        .when(action == "DISCARD", "discarded")
+        .when(~action.isin(*V.EXTERNAL_ACTIONS), "unknown action")
+        .when(~destination.isin("STORE", "CONTEXT"), "unknown destination")
+        .when((strip(_text(c["value"])) == "") | (strip(_text(c["predicate"])) == ""),
+              "missing field")
+        .when(_clamped(c["confidence"], 0.8) < V.MIN_EXTERNAL_CONFIDENCE, "low confidence"))
+    return one.selectExpr("*", str(reason.alias("reason"))).drop("unreadable")
+
+
+def rejected_candidates(rows: DataFrame) -> DataFrame:
+    """What parse_candidates leaves out: the columns beside response, pos, reason.
+
+    An empty list has nothing to reject and gives no row."""
+    return _judged_candidates(rows).filter("reason IS NOT NULL and reason <> 'empty'").drop("c")
+
+
+def parse_candidates(rows: DataFrame) -> DataFrame:
+    """External candidates of a table message_id, user_id, response (JSON in prose), scored
+    and shaped like extracted candidates.  rejected_candidates gives the others."""
     c = col("c")
     action, destination = F.upper(_text(c["action"], "NEW")), F.upper(
         _text(c["destination"], "STORE"))
     value, predicate = strip(_text(c["value"])), strip(_text(c["predicate"]))
     confidence = _clamped(c["confidence"], 0.8)
-    keep = (action.isin(*V.EXTERNAL_ACTIONS) & destination.isin("STORE", "CONTEXT")
-            & (action != "DISCARD") & (value != "") & (predicate != "")
-            & (confidence >= V.MIN_EXTERNAL_CONFIDENCE))
     scope = F.lower(F.when(F.upper(c["scope"]).isin("USER", "PROJECT", "SESSION"), c["scope"])
                     .otherwise("USER"))
     stability = F.when(F.lower(c["stability"]).isin(*V.STABILITY_LABELS), F.lower(
@@ -171,7 +192,7 @@ def parse_candidates(rows: DataFrame) -> DataFrame:
     mtype = F.lower(_text(c["type"], "FACT"))
     known = F.when(mtype.isin(*V.MEMORY_TYPES), mtype).otherwise("fact")
     replaces = action.isin("SUPERSEDES", "CONTRADICTS")
-    fields = one.filter(str(keep)).selectExpr(
+    fields = _judged_candidates(rows).filter("reason IS NULL").selectExpr(
         *[f"`{x}`" for x in rows.columns if x != "response"], "pos",
         f"{known} AS type", f"{value} AS value", f"{predicate} AS predicate",
         f"{_text(c['subject'], 'user')} AS subject", f"{scope} AS scope",

@@ -1308,6 +1308,64 @@ def external_facts_rejected(spark, sf):
     return external.parse_facts(_external_rows(spark, sf))[1]
 
 
+CANDIDATE_ACTIONS = "NEW UPDATE SUPERSEDES MAKE DISCARD REINFORCE new CONTRADICTS".split()
+CANDIDATE_PLACES = "STORE CONTEXT store STORE STORE NOWHERE STORE STORE".split()
+
+
+def _external_responses(spark, sf) -> DataFrame:
+    """Candidates an external extractor might have returned for the statements, in prose; some
+    are to be rejected, and some responses hold no list."""
+    said = P.archived_statements(spark, sf).withColumn("k", (F.col("seq") % 8 + 1).cast("int"))
+    one = F.struct(
+        F.element_at(F.array(*map(F.lit, CANDIDATE_ACTIONS)), F.col("k")).alias("action"),
+        F.element_at(F.array(*map(F.lit, CANDIDATE_PLACES)), F.col("k")).alias("destination"),
+        F.when(F.col("seq") % 2 == 0, "fact").otherwise("preference").alias("type"),
+        F.lit("uses").alias("predicate"),
+        F.regexp_extract("content", r"(\S+ ?\S*)[.?]?$", 1).alias("value"),
+        (F.col("seq") % 11 / 10.0).alias("confidence"))
+    return said.select(
+        F.col("seq").alias("message_id"), "user_id",
+        F.when(F.col("seq") % 17 == 0, "Nothing to keep.").otherwise(F.concat(
+            F.lit("Found:\n```json\n"), F.to_json(F.array(one, one)), F.lit("\n```")))
+        .alias("response"))
+
+
+def _external_candidates_sql() -> str:
+    return f"""
+st AS (SELECT event_id AS seq, user_id, {S.statement_text()} AS content FROM {O.EVENTS_K}),
+ext AS (SELECT seq, user_id, pos, seq % 17 = 0 AS unreadable,
+    upper(list_extract({O.arr(CANDIDATE_ACTIONS)}, CAST(seq % 8 AS INT) + 1)) AS action,
+    upper(list_extract({O.arr(CANDIDATE_PLACES)}, CAST(seq % 8 AS INT) + 1)) AS place,
+    CASE WHEN seq % 2 = 0 THEN 'fact' ELSE 'preference' END AS type,
+    (seq % 11) / 10.0::DOUBLE AS confidence,
+    {O.strip("regexp_extract(content, '(\\S+ ?\\S*)[.?]?$', 1)")} AS value
+    FROM st, (SELECT unnest([0, 1]) AS pos)),
+judged AS (SELECT *, CASE WHEN unreadable THEN 'unreadable' WHEN action = 'DISCARD' THEN 'discarded'
+    WHEN action = 'MAKE' THEN 'unknown action' WHEN place = 'NOWHERE' THEN 'unknown destination'
+    WHEN value = '' THEN 'missing field' WHEN confidence < 0.4 THEN 'low confidence' END AS reason
+    FROM ext)"""
+
+
+@query("external_candidates", f"""
+WITH {_external_candidates_sql()}
+SELECT seq AS message_id, user_id, pos, type, value AS content, 'user.uses' AS topic_key,
+    action IN ('SUPERSEDES', 'CONTRADICTS') AS is_correction, lower(place) AS bucket, confidence
+FROM judged WHERE reason IS NULL""")
+def external_candidates(spark, sf):
+    return external.parse_candidates(_external_responses(spark, sf)).select(
+        "message_id", "user_id", "pos", "type", F.col("candidate_content").alias("content"),
+        "topic_key", "is_correction", F.col("source_bucket").alias("bucket"),
+        F.col("source_confidence").alias("confidence"))
+
+
+@query("external_candidates_rejected", f"""
+WITH {_external_candidates_sql()}
+SELECT DISTINCT seq AS message_id, user_id, CASE WHEN unreadable THEN -1 ELSE pos END AS pos, reason
+FROM judged WHERE reason IS NOT NULL""")
+def external_candidates_rejected(spark, sf):
+    return external.rejected_candidates(_external_responses(spark, sf)).na.fill(-1, ["pos"])
+
+
 @query("external_facts_validated")
 def external_facts_validated(spark, sf):
     accepted, _ = external.parse_facts(_external_rows(spark, sf))

@@ -92,6 +92,9 @@ def test_candidates_and_records(spark):
     got = X.parse_candidates(df).orderBy("pos").collect()
     assert [(r.candidate_content, r.type, r.is_correction) for r in got] == [
         ("Vim", "preference", False), ("uses Emacs", "fact", True)]
+    left = X.rejected_candidates(df)
+    assert left.columns == ["message_id", "user_id", "pos", "reason"]
+    assert left.filter("pos is null").collect() == [(2, 9, None, "unreadable")]
     assert got[0].source_confidence == 1.0 and got[0].ttl_hours == 2.0
     assert got[1].source_stability == 1.0 and got[1].obsolete_id == "7"
     record = {"consolidated": [{"predicate": "tech_stack", "value": "x", "confidence": -1},
@@ -103,3 +106,19 @@ def test_candidates_and_records(spark):
     assert [(r.predicate, r.confidence, r.topic_key) for r in records.collect()] == [
         ("tech_stack", 0.0, "project.tech_stack")]
     assert conflicts.first().memory_ids == ["1", "2"]
+
+
+def test_rejected_candidates(spark):
+    fine = {"predicate": "uses", "value": "Vim"}
+    entries = [fine, fine | {"action": "discard"}, fine | {"action": "MAKE"},
+               fine | {"destination": "x"}, fine | {"value": " "}, {"value": "Vim"},
+               fine | {"confidence": 0.39}, fine | {"confidence": 0.4}]
+    df = spark.createDataFrame(
+        [(1, json.dumps(entries)), (2, "[]"), (3, None), (4, "none")], "id int, response string")
+    got = sorted((r.id, -1 if r.pos is None else r.pos, r.reason)
+                 for r in X.rejected_candidates(df).collect())
+    assert got == [
+        (1, 1, "discarded"), (1, 2, "unknown action"), (1, 3, "unknown destination"),
+        (1, 4, "missing field"), (1, 5, "missing field"), (1, 6, "low confidence"),
+        (3, -1, "unreadable"), (4, -1, "unreadable")]
+    assert sorted(r.pos for r in X.parse_candidates(df).collect()) == [0, 7]
