@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from engram.functions import fixed_values as V
 from engram.functions.sql import col
 from engram.functions.text import estimate_tokens, message_tokens
-from engram.operators.substrings import containment
+from engram.operators.substrings import containment, text_id
 
 
 def grade_answers(answers: DataFrame) -> DataFrame:
@@ -122,8 +122,8 @@ def leak_report(secrets: DataFrame, outputs: DataFrame) -> DataFrame:
     found = containment(outputs.select("text"), secrets.select(F.col("secret").alias("needle")),
                         [])
     said = outputs.select(F.col("user_id").alias("reader_id"), "output_id",
-                          F.xxhash64("text").alias("text_id"), F.col("text").alias("_own"))
-    return (found.join(said, "text_id").filter("text = _own")
+                          text_id("text").alias("text_id"))
+    return (found.drop("text").join(said, "text_id")
             .join(secrets.withColumnRenamed("user_id", "owner_id"),
                   F.col("needle") == F.col("secret"))
             .filter("reader_id <> owner_id")

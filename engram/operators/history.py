@@ -22,7 +22,7 @@ from engram.functions.facts import topic_from_content
 from engram.functions.similarity import similar_texts
 from engram.operators import chains
 from engram.operators.components import connected
-from engram.operators.substrings import containment
+from engram.operators.substrings import containment, text_id
 from engram.session import cut_lineage
 from engram.streaming.fold import SOFT, Memory
 
@@ -138,7 +138,7 @@ def independent_parts(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     needles = asks.select("user_id", "needle").distinct()
     inside = containment(lowered.select("user_id", "text"), needles, ["user_id"]).select(
         "user_id", "needle", "text_id")
-    reached = inside.join(lowered.withColumn("text_id", F.xxhash64("text")),
+    reached = inside.join(lowered.withColumn("text_id", text_id("text")),
                           ["user_id", "text_id"]).select("user_id", "needle", "node")
     alike = similar_texts(needles.withColumnRenamed("needle", "text"),
                           held.select("user_id", F.col("content").alias("text")), ["user_id"],
@@ -176,7 +176,7 @@ def _reached_by_revocations(events: DataFrame, held: DataFrame) -> DataFrame:
     inside = containment(lowered.select("user_id", "text"), asks.filter("needle <> ''").select(
         "user_id", "needle"), ["user_id"]).select("user_id", "needle", "text_id")
     by_value = (asks.filter("needle <> ''").join(inside, ["user_id", "needle"])
-                .join(lowered.withColumn("text_id", F.xxhash64("text")), ["user_id", "text_id"])
+                .join(lowered.withColumn("text_id", text_id("text")), ["user_id", "text_id"])
                 .filter(F.col("text").contains(F.col("needle"))))
     cols = ["user_id", "ask", "node", "part", "content"]
     return by_word.select(*cols).unionByName(by_value.select(*cols)).distinct()

@@ -12,7 +12,7 @@ from engram.functions import sql as X
 from engram.functions.classify import wants_history
 from engram.functions.sql import col
 from engram.functions.text import keywords, ranked_keywords
-from engram.operators.substrings import containment
+from engram.operators.substrings import containment, text_id
 from engram.session import cut_lineage
 
 SEARCHED = ("content", "value", "predicate", "subject", "topic_key")
@@ -147,9 +147,8 @@ def fetch_tiers(requests: DataFrame, items: DataFrame) -> DataFrame:
                         asked.select("user_id", "needle"), ["user_id"])
     newest = Window.partitionBy("user_id", "needle").orderBy(
         F.col("updated_seq").desc(), "item_id")
-    placed = texts.withColumn("text_id", F.xxhash64("text")).withColumnRenamed("text", "_own")
-    hits = (found.join(placed, ["user_id", "text_id"]).filter("text = _own")
-            .drop("text", "_own", "text_id")
+    placed = texts.select(*keys, "updated_seq", text_id("text").alias("text_id"))
+    hits = (found.drop("text").join(placed, ["user_id", "text_id"]).drop("text_id")
             .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= V.KEYWORD_HITS)
             .drop("_r"))
     per_request = Window.partitionBy("request_id").orderBy(
