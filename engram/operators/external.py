@@ -18,6 +18,7 @@ from engram.functions.regex import matches, strip
 from engram.functions.scoring import score_columns
 from engram.functions.sql import Expr, col, let
 from engram.functions.text import is_invalid_key, slugify, stability_score
+from engram.operators.route import context_key
 
 FACT_JSON = ("struct<facts:array<struct<entity:string,attribute:string,value:string,type:string,"
              "state:string,scope:string,confidence:double,rawText:string,"
@@ -228,6 +229,34 @@ def union_candidates(local: DataFrame, external: DataFrame, message: list[str])
     return local.select(*columns).unionByName(kept.select(*columns))
 
 
+def with_external(routed: DataFrame, external: DataFrame, messages: DataFrame) -> DataFrame:
+    """Routed candidates of `messages` (user_id, seq, ts) and, placed after them in their
+    message, those external ones that say something new there; adds valid_until.
+
+    ``external``: parse_candidates of a table whose message_id is the seq.  Its scores are the
+    blended ones.  A TTL ends a stored item (valid_until) or a context entry (ttl_seconds).
+    Entries of messages that are not among ``messages``, or without a user, are left out."""
+    place = ["user_id", "seq"]
+    said = messages.groupBy(*place).agg(SF.min("ts").alias("ts"))
+    taken = routed.groupBy(*place).agg(SF.max("pos").alias("_last"))
+    text, in_context = col("candidate_content"), col("source_bucket") == "context"
+    key = context_key(text)
+    usual = F.when(key == "current_error", V.ERROR_TTL_SECONDS).otherwise(V.CONTEXT_TTL_SECONDS)
+    replaced = {"seq": col("message_id"), "bucket": col("source_bucket"),
+                "confidence": col("blended_confidence"), "importance": col("blended_importance"),
+                "context_key": F.when(in_context, key),
+                "ttl_seconds": F.when(in_context, F.coalesce(
+                    (col("ttl_hours") * 3600).cast("double"), usual.cast("double")))}
+    kept = [f"`{c}`" for c in external.columns if c not in (*replaced, "message_id")]
+    placed = external.selectExpr(*kept, *[f"{e} AS {n}" for n, e in replaced.items()]).join(
+        said, place).join(taken, place, "left").withColumns({
+            "pos": (SF.col("pos") + SF.coalesce(SF.col("_last") + 1, SF.lit(0))).cast("int"),
+            "valid_until": SF.expr("CASE WHEN bucket = 'store' THEN "
+                                   "ts + make_dt_interval(0, 0, 0, ttl_hours * 3600) END")})
+    local = routed.withColumn("valid_until", SF.lit(None).cast("timestamp_ntz"))
+    return union_candidates(local, placed, place)
+
+
 def parse_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, conflicts) of external consolidation results: cluster, response."""
     parsed = rows.selectExpr("*", str(isolate_json(col("response")).alias("_j"))).withColumn(

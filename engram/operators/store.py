@@ -46,6 +46,30 @@ def with_status(items: DataFrame, log: DataFrame) -> DataFrame:
         "status", F.coalesce("_status", "status")).select(items.columns)
 
 
+def with_expiry(versions: DataFrame, routed: DataFrame) -> DataFrame:
+    """Versions with the valid_until of the statement that each began with (null: none)."""
+    until = routed.filter("bucket = 'store' and valid_until is not null").select(
+        "user_id", F.col("seq").alias("started_seq"), F.col("pos").alias("started_pos"),
+        "valid_until")
+    return versions.join(until, ["user_id", "started_seq", "started_pos"], "left").select(
+        *versions.columns, "valid_until")
+
+
+def expired_at(items: DataFrame, as_of) -> DataFrame:
+    """Items with status expired where they are active and their time is over."""
+    over = (F.col("status") == "active") & (F.col("valid_until") <= F.lit(as_of))
+    return items.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
+
+
+def latest_of_users(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """Rows of a table that every user's latest finished batch wrote.
+
+    The users of a batch are written last, so a batch that was broken off is not seen."""
+    done = committed(spark, folder, "users", "user_id bigint, batch int")
+    last = done.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return committed(spark, folder, name, schema).join(last, ["user_id", "batch"]).drop("batch")
+
+
 def record_items(records: DataFrame, sources: DataFrame, like: DataFrame) -> DataFrame:
     """Consolidated records as active items of their own, with the columns of `like`.
 

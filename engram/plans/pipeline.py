@@ -140,14 +140,19 @@ def utterance_versions(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "versions", lambda: versions_of(applied_utterances(spark, folder)))
 
 
+def obsolete_sayings(spark: SparkSession, folder: str) -> DataFrame:
+    """What users said in error events: user_id, seq, description of what is obsolete."""
+    errors = table(spark, folder, "events").filter("event_type = 'error'").select(
+        F.col("event_id").alias("seq"))
+    return archived_utterances(spark, folder).filter("role = 'user'").join(
+        errors, "seq", "left_semi").select("user_id", "seq", F.col("content").alias("description"))
+
+
 def utterances_processed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The whole pass over the events table; messages of error events say what is obsolete."""
     key = (spark.sparkContext.applicationId, folder, "processed")
     if key not in _written:
-        errors = table(spark, folder, "events").filter("event_type = 'error'").select(
-            F.col("event_id").alias("seq"))
-        said = archived_utterances(spark, folder).filter("role = 'user'").join(
-            errors, "seq", "left_semi").select("user_id", F.col("content").alias("description"))
+        said = obsolete_sayings(spark, folder)
         _written[key] = _passed(routed_utterances(spark, folder),
                                 utterance_versions(spark, folder), said, None, 0)
     return _written[key]

@@ -22,6 +22,7 @@ from engram.operators import (
     consolidate, context, evaluate, external, extract, history, memory, rates, retrieve, select,
 )
 from engram.operators import messages as M
+from engram.plans import incremental
 from engram.plans import oracle as O
 from engram.plans import pipeline as P
 from engram.sources import tables as S
@@ -1006,6 +1007,18 @@ def process_counts(spark, sf):
     return P.utterances_processed(spark, sf)["counts"]
 
 
+@query("incremental_items", ORACLES["processed_items"])
+def incremental_items(spark, sf):
+    """Two batches, one after the other, end where one pass does."""
+    return incremental.utterances_in_halves(spark, sf)["items"].select(
+        "user_id", "type", "topic_key", "content", "version", "information_gain", "status")
+
+
+@query("incremental_counts", ORACLES["process_counts"])
+def incremental_counts(spark, sf):
+    return incremental.utterances_in_halves(spark, sf)["counts"]
+
+
 # --- rates and evaluation --------------------------------------------------------------
 
 @query("rate_counts", """
@@ -1322,7 +1335,8 @@ def _external_responses(spark, sf) -> DataFrame:
         F.when(F.col("seq") % 2 == 0, "fact").otherwise("preference").alias("type"),
         F.lit("uses").alias("predicate"),
         F.regexp_extract("content", r"(\S+ ?\S*)[.?]?$", 1).alias("value"),
-        (F.col("seq") % 11 / 10.0).alias("confidence"))
+        (F.col("seq") % 11 / 10.0).alias("confidence"),
+        F.when(F.col("seq") % 5 == 0, 12).alias("ttl_hours"))
     return said.select(
         F.col("seq").alias("message_id"), "user_id",
         F.when(F.col("seq") % 17 == 0, "Nothing to keep.").otherwise(F.concat(
@@ -1366,6 +1380,25 @@ def external_candidates_rejected(spark, sf):
     return external.rejected_candidates(_external_responses(spark, sf)).na.fill(-1, ["pos"])
 
 
+@query("candidates_with_external", f"""
+WITH {O.utterances()}, {O.routed_cte()}, {_external_candidates_sql()},
+own AS (SELECT DISTINCT user_id, seq, lower(cc) AS said FROM routed),
+more AS (SELECT user_id, seq, lower(value) AS said, any_value(type) AS type,
+    any_value(value) AS content, any_value(lower(place)) AS bucket FROM judged
+    WHERE reason IS NULL AND (user_id, seq, lower(value)) NOT IN (FROM own) GROUP BY ALL)
+SELECT user_id, seq, type, cc AS content, bucket, CAST(NULL AS TIMESTAMP) AS valid_until
+FROM routed
+UNION ALL SELECT user_id, seq, type, more.content, bucket, CASE WHEN seq % 5 = 0 AND bucket = 'store'
+    THEN ts + INTERVAL 12 HOUR END FROM more JOIN utt USING (user_id, seq)""")
+def candidates_with_external(spark, sf):
+    """Candidates of the messages, and what an external extractor adds to them."""
+    found = external.parse_candidates(_external_responses(spark, sf))
+    return external.with_external(
+        P.routed_utterances(spark, sf), found, P.archived_utterances(spark, sf)).select(
+        "user_id", "seq", "type", F.col("candidate_content").alias("content"), "bucket",
+        "valid_until")
+
+
 @query("external_facts_validated")
 def external_facts_validated(spark, sf):
     accepted, _ = external.parse_facts(_external_rows(spark, sf))
