@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import audit, ranking, secrets
 
@@ -307,3 +308,42 @@ def test_scan_without_findings(spark):
     rows = secrets.scan(docs, None).collect()
     assert [(r.spans, r.n_assign) for r in rows] == [("", 0)] * 2
     assert secrets.scan(docs.limit(0), None).count() == 0 and secrets.learn(docs.limit(0)) is None
+
+
+def test_learning_reads_every_document(spark, secret_docs, monkeypatch):
+    # An access key in one document of many, and several trainers that meet.
+    monkeypatch.setattr(secrets, "LOAD", 100)
+    monkeypatch.setattr(secrets, "TRAINERS", 3)
+    rows = [(n, f"{t} mail{n}-{c}.host{n}.example.org") for n, t in secret_docs for c in "abc"]
+    rare = "AKIA" + "Q7" * 8
+    rows += [(9000 + n, f"key {rare}{n} here") for n in range(6)]
+    docs = frame(spark, rows)
+    turns = secrets.turns_of(docs)
+    want = {}
+    for _, text in rows:
+        known = secrets.base_findings(text)
+        for start, end in secrets.candidates(text):
+            bits = sum({1 << k for s, k, e in known if s < end and e > start})
+            for w in secrets.pieces(text, start, end):
+                want[w] = want.get(w, 0) | bits
+    assert {r.w: r.bits for r in turns.collect()} == want
+    seen = []
+    kept = secrets.fit
+
+    def fit(rows, count, share, **more):
+        seen.append((rows.count(), count))
+        return kept(rows, count, share, **more)
+
+    monkeypatch.setattr(secrets, "fit", fit)
+    net = secrets.learn(docs)
+    own = turns.filter(F.col("turn") != secrets.ASIDE).count()
+    assert seen == [(own, own)] and own > 3 * secrets.LOAD
+    levels = secrets.judged_logits(turns, net.params)
+    assert [sum(n for _, n, _, _ in levels[k]) for k in range(3)] == [len(want)] * 3
+    assert sum(n for label, n, _, _ in levels[1] if label) == sum(b & 2 > 0 for b in want.values())
+    again = secrets.learn(docs)
+    assert all((net.params[k] == again.params[k]).all() for k in net.params)
+    windows, y = secrets.labelled_windows(docs, 10_000)
+    chance = net.chances(secrets.symbols(windows))
+    assert (chance[y[:, 0] > 0, 0] >= net.threshold[0]).mean() >= 0.9
+    assert (chance[y[:, 0] == 0, 0] >= net.threshold[0]).mean() < 0.1
