@@ -287,8 +287,11 @@ def parse_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def validated_candidates(messages: DataFrame, column: str = "validated") -> DataFrame:
     """Facts of a message as rows, for the candidate pipeline."""
-    return messages.selectExpr("message_id", f"posexplode({column}) AS (pos, fact)").selectExpr(
-        "message_id", "pos", *[f"fact.{n}" for n in (
+    # The outer form, because a plain explode adds a filter on the array below it, which would
+    # evaluate the rules again.
+    return messages.selectExpr(
+        "message_id", f"posexplode_outer({column}) AS (pos, fact)").filter(
+        "pos is not null").selectExpr("message_id", "pos", *[f"fact.{n}" for n in (
             "entity", "attribute", "value", "type", "key", "scope", "state", "confidence",
             "raw_text", "metadata")])
 
