@@ -5,7 +5,7 @@ Bad rows go to a quarantine result with a reason; the rest is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as SF
 
 from engram.functions import external as E
@@ -224,8 +224,10 @@ def union_candidates(local: DataFrame, external: DataFrame, message: list[str])
     said = local.select(*message, SF.lower("candidate_content").alias("_l")).distinct()
     fresh = external.withColumn("_l", SF.lower("candidate_content")).join(
         said, [*message, "_l"], "left_anti")
-    first = fresh.groupBy(*message, "_l").agg(SF.min("pos").alias("_first"))
-    kept = fresh.join(first, [*message, "_l"]).filter("pos = _first")
+    # A window of a message's few rows, so that they are read and scored once.
+    known = " and ".join(f"{c} is not null" for c in (*message, "_l"))
+    kept = fresh.filter(known).withColumn("_first", SF.min("pos").over(
+        Window.partitionBy(*message, "_l"))).filter("pos = _first")
     return local.select(*columns).unionByName(kept.select(*columns))
 
 

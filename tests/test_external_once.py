@@ -21,3 +21,20 @@ def test_validation_runs_once(spark):
         line for line in _plan(rows).split("\n") if line.lstrip(" +-:").startswith("Filter"))
     assert {(r["message_id"], r["pos"], r["attribute"], r["value"]) for r in rows.collect()} == {
         (1, 0, "uses", "Redis"), (2, 0, "uses", "Redis")}
+
+
+def test_external_candidates_are_read_once(spark):
+    local = spark.createDataFrame([(1, 1, 0, "Tea"), (1, 2, 0, "Oslo")],
+                                  "user_id long, seq long, pos int, candidate_content string")
+    more = spark.createDataFrame([
+        (1, 1, 1, "TEA"), (1, 1, 3, "milk"), (1, 1, 2, "Milk"), (1, 1, 2, "mILK"), (1, 2, 0, "tea"),
+        (1, 2, 1, None), (None, 2, 1, "jam"), (2, 1, None, "x")],
+        "user_id long, seq long, pos int, candidate_content string").withColumn(
+        "marked", F.expr("concat(candidate_content, '-only-outside')"))
+    out = external.union_candidates(local, more, ["user_id", "seq"])
+    assert out.columns == local.columns
+    leaves = [line for line in _plan(out).split("\n") if "LogicalRDD" in line]
+    assert len(leaves) == 3  # local twice, external once
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 1, 0, "Tea"), (1, 1, 2, "Milk"), (1, 1, 2, "mILK"), (1, 2, 0, "Oslo"),
+        (1, 2, 0, "tea")]
