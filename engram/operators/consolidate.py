@@ -11,6 +11,7 @@ from engram.functions.classify import lookup
 from engram.functions.regex import matches, strip
 from engram.functions.sql import Expr, col
 from engram.functions.text import stability_label, stability_score, title_text
+from engram.session import written
 
 CLUSTER = ["user_id", "cluster"]
 
@@ -53,7 +54,11 @@ def clustered(items: DataFrame) -> DataFrame:
 
 def find_clusters(items: DataFrame, min_size: int = V.MIN_CLUSTER_SIZE) -> DataFrame:
     """Clusters worth consolidating, with their sizes."""
-    sizes = clustered(items).groupBy(*CLUSTER).agg(
+    return _large_enough(clustered(items), min_size)
+
+
+def _large_enough(members: DataFrame, min_size: int) -> DataFrame:
+    sizes = members.groupBy(*CLUSTER).agg(
         F.count("*").alias("size"), F.count_if(~F.col("is_record")).alias("atomics"),
         F.bool_or("is_record").alias("has_record"))
     return sizes.filter(
@@ -64,8 +69,11 @@ def find_clusters(items: DataFrame, min_size: int = V.MIN_CLUSTER_SIZE) -> DataF
 
 def field_values(items: DataFrame, min_size: int = V.MIN_CLUSTER_SIZE) -> DataFrame:
     """One row per (item, field, value) of the clusters: atomic items as they are, earlier
-    records as the entries of their JSON value."""
-    members = clustered(items).join(find_clusters(items, min_size).select(*CLUSTER), CLUSTER)
+    records as the entries of their JSON value.  The items are looked at once."""
+    found = written(clustered(items).select(
+        *CLUSTER, "item_id", "started_seq", "started_pos", "confidence", "importance",
+        "stability", "field", "is_record", "value", "content"))
+    members = found.join(_large_enough(found, min_size).select(*CLUSTER), CLUSTER)
     entries = F.from_json(F.coalesce("value", "content"), "map<string,string>")
     text = F.trim(F.coalesce(F.expr("nullif(value, '')"), "content"))
     pairs = F.when(F.col("is_record"), entries).when(
@@ -101,10 +109,14 @@ def field_conflicts(values: DataFrame) -> DataFrame:
 
 
 def consolidate(items: DataFrame, min_size: int = V.MIN_CLUSTER_SIZE) -> DataFrame:
-    """New records: one architecture item per cluster with two or more fields.
+    """New records: one architecture item per cluster with two or more fields."""
+    return records_of(written(field_values(items, min_size)))
+
+
+def records_of(values: DataFrame) -> DataFrame:
+    """The records that stored field values make.
 
     Fields per cluster are few (the stack fields), so a record's map is small."""
-    values = field_values(items, min_size)
     winners = field_winners(values)
     unique = winners.groupBy(*CLUSTER, "winner_id").agg(
         F.first("confidence").alias("confidence"), F.first("importance").alias("importance"),
@@ -136,6 +148,11 @@ def consolidate(items: DataFrame, min_size: int = V.MIN_CLUSTER_SIZE) -> DataFra
 def superseded_by_consolidation(items: DataFrame,
                                 min_size: int = V.MIN_CLUSTER_SIZE) -> DataFrame:
     """Items that contributed to a new record and are superseded by it."""
-    made = consolidate(items, min_size).select(*CLUSTER)
-    return field_values(items, min_size).join(made, CLUSTER, "left_semi").select(
+    return sources_of(written(field_values(items, min_size)))
+
+
+def sources_of(values: DataFrame) -> DataFrame:
+    """Items behind the records that stored field values make: those of two or more fields."""
+    made = values.groupBy(*CLUSTER).agg(F.min("field").alias("a"), F.max("field").alias("b"))
+    return values.join(made.filter("a < b").select(*CLUSTER), CLUSTER, "left_semi").select(
         *CLUSTER, "item_id").distinct()
