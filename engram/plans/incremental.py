@@ -19,7 +19,7 @@ from engram.operators.store import commit, committed, latest_of_users, with_expi
 from engram.plans.pipeline import (
     _passed, archived_utterances, candidates_of, obsolete_sayings,
 )
-from engram.session import cut_lineage, shared_folder
+from engram.session import shared_folder, written
 
 _halves: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
@@ -54,12 +54,12 @@ def process_batch(messages: DataFrame, folder: str, batch: int,
     if responses is None:
         responses = spark.createDataFrame([], "message_id long, user_id long, response string")
     said = descriptions.filter("user_id is not null").select("user_id", "description")
-    routed = cut_lineage(candidates_of(messages))
-    fresh = cut_lineage(with_external(routed, parse_candidates(responses), messages))
-    users = cut_lineage(fresh.select("user_id").union(said.select("user_id")).distinct())
+    routed = written(candidates_of(messages))
+    fresh = written(with_external(routed, parse_candidates(responses), messages))
+    users = written(fresh.select("user_id").union(said.select("user_id")).distinct())
     commit(fresh, folder, "candidates", batch)
     commit(said, folder, "descriptions", batch)
-    every = cut_lineage(_so_far(fresh, folder, "candidates", batch, users))
+    every = fresh if batch == 0 else written(_so_far(fresh, folder, "candidates", batch, users))
     told = _so_far(said, folder, "descriptions", batch, users)
     versions = with_expiry(versions_of(apply_in_order(every)), every)
     result = _passed(every, versions, told, None, 0)
