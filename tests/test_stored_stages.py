@@ -82,3 +82,14 @@ def test_remembered_pairs_are_bounded_by_length():
     assert fold.closeness("the region is oslo", "the region is osla") > 0.9
     info = fold._known_ratio.cache_info()
     assert info.currsize == 1 and info.maxsize * fold.KNOWN_LENGTH < 1 << 24
+
+
+def test_rows_of_one_place_keep_one_order_in_chunks(spark):
+    from tests.test_memory import routed_of
+    one = routed_of(spark, [(1, f"The region is eu-{i // 3}") for i in range(60)])
+    # Every candidate comes twice, at one place.
+    routed = written(one.unionByName(one).repartition(5))
+    names = ("item_id", "segment", "version", "content", "source_count", "started_seq")
+    whole = H.apply_candidates(routed).select(*names)
+    split = H.apply_candidates(routed, hot_rows=4, chunk=8, hot_chain=4).select(*names)
+    assert _rows(split) == _rows(whole)
