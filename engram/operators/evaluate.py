@@ -37,16 +37,20 @@ def recent_messages(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-def token_total(messages: DataFrame, name: str) -> DataFrame:
-    return messages.selectExpr(
-        "request_id", f"{message_tokens(col('content'))} AS t").groupBy("request_id").agg(
-        (F.sum("t") + 3).alias(name))
+def token_costs(messages: DataFrame) -> DataFrame:
+    """request_id, ordinal and tokens of every message: what totals need, without its text."""
+    return messages.selectExpr("request_id", "ordinal", f"{message_tokens(col('content'))} AS t")
+
+
+def token_total(costs: DataFrame, name: str) -> DataFrame:
+    return costs.groupBy("request_id").agg((F.sum("t") + 3).alias(name))
 
 
 def compression_report(messages: DataFrame, compiled_stats: DataFrame, n: int) -> DataFrame:
     """Tokens of the full transcript, the last n messages and the compiled context."""
-    full = token_total(messages, "full_tokens")
-    recent = token_total(recent_messages(messages, n), "recent_tokens")
+    costs = token_costs(messages)
+    full = token_total(costs, "full_tokens")
+    recent = token_total(recent_messages(costs, n), "recent_tokens")
     rows = full.join(recent, "request_id").join(compiled_stats.select(
         "request_id", F.col("total_tokens").alias("compiled_tokens")), "request_id")
     return rows.withColumn("reduction_pct", F.round(

@@ -8,7 +8,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from engram.functions import fixed_values as V
 from engram.operators import compile as C
-from engram.operators import retrieve
+from engram.operators import evaluate, retrieve
 from engram.operators.select import select_for_budget, select_lists
 from engram.plans import incremental
 
@@ -123,3 +123,16 @@ def test_small_budget_keeps_what_rows_would(spark):
     assert got[4].selection == "exact" and 2 <= got[4].messages_out < 9
     assert compiled.filter("request_id = 4").agg(F.max("position")).first()[0] + 1 == got[
         4].messages_out
+
+def test_compression_counts_tokens_before_it_ranks(spark):
+    costs = evaluate.token_costs(_messages(spark))
+    assert costs.columns == ["request_id", "ordinal", "t"]
+    rows = evaluate.compression_report(_messages(spark), spark.createDataFrame(
+        [(n, 20) for n in (1, 2, 3, 4)], "request_id long, total_tokens long"), 2)
+    t = {}
+    for r in costs.orderBy("request_id", "ordinal").collect():
+        t.setdefault(r.request_id, []).append(r.t)
+    got = {r.request_id: (r.full_tokens, r.recent_tokens) for r in rows.collect()}
+    assert got == {q: (sum(x) + 3, sum(x[-2:]) + 3) for q, x in t.items()}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not [x for x in plan.split("\n") if "Window" in x and "content" in x]
