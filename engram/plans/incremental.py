@@ -50,12 +50,15 @@ def process_batch(messages: DataFrame, folder: str, batch: int,
     spark = messages.sparkSession
     messages = messages.filter("user_id is not null")
     if descriptions is None:
-        descriptions = spark.createDataFrame([], "user_id long, description string")
-    if responses is None:
-        responses = spark.createDataFrame([], "message_id long, user_id long, response string")
+        descriptions = spark.sql("SELECT 0L AS user_id, '' AS description WHERE false")
     said = descriptions.filter("user_id is not null").select("user_id", "description")
     routed = written(candidates_of(messages))
-    fresh = written(with_external(routed, parse_candidates(responses), messages))
+    if responses is None:
+        # Nothing from outside: the optimizer leaves a scan of the stored candidates.
+        nothing = spark.sql("SELECT 0L AS message_id, 0L AS user_id, '' AS response WHERE false")
+        fresh = with_external(routed, parse_candidates(nothing), messages)
+    else:
+        fresh = written(with_external(routed, parse_candidates(responses), messages))
     users = written(fresh.select("user_id").union(said.select("user_id")).distinct())
     commit(fresh, folder, "candidates", batch)
     commit(said, folder, "descriptions", batch)

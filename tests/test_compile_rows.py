@@ -136,3 +136,10 @@ def test_compression_counts_tokens_before_it_ranks(spark):
     assert got == {q: (sum(x) + 3, sum(x[-2:]) + 3) for q, x in t.items()}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and not [x for x in plan.split("\n") if "Window" in x and "content" in x]
+
+
+def test_a_batch_stores_its_candidates_once(spark, tmp_path, stored):
+    from tests.test_incremental import SAID, _messages as said
+    result = incremental.process_batch(said(spark, SAID[:5]), str(tmp_path / "m"), 0)
+    assert result["items"].count() == 5
+    assert len([c for c in stored if "candidate_content" in c]) == 1
