@@ -10,7 +10,7 @@ from engram.functions import fixed_values as V
 from engram.operators import compile as C
 from engram.operators import evaluate, retrieve
 from engram.operators.select import select_for_budget, select_lists
-from engram.plans import incremental
+from engram.plans import incremental, queries
 
 
 def _items(spark, n=6):
@@ -143,3 +143,10 @@ def test_a_batch_stores_its_candidates_once(spark, tmp_path, stored):
     result = incremental.process_batch(said(spark, SAID[:5]), str(tmp_path / "m"), 0)
     assert result["items"].count() == 5
     assert len([c for c in stored if "candidate_content" in c]) == 1
+
+
+def test_requests_are_dealt_out_to_every_core(spark, sf_dir):
+    """The conversations are one file; their messages are scored in more tasks than one."""
+    said = queries._requests(spark, sf_dir).filter("request_id >= 1000000000")
+    tasks = {r.p for r in said.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert len(tasks) >= spark.sparkContext.defaultParallelism
